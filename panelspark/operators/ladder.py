@@ -20,7 +20,9 @@ def slice_of(value: Column) -> Column:
     """Monotone slice number; about 2800 slices between a value and its double."""
     x = value.cast("double")
     size = F.floor(F.log1p(F.abs(x) * F.lit(float(2**20))) * F.lit(float(SLICES_PER_E_FOLD)))
-    return F.when(F.isnan(x), F.lit(2**62)).when(x < 0, -size).otherwise(size).cast("bigint")
+    number = F.when(F.isnan(x), F.lit(2**62)).when(x < 0, -size).otherwise(size).cast("bigint")
+    # never null for a value: stated, so that no null filter sets the two uses of one shuffle apart
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def value_ladder(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:

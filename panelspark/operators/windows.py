@@ -65,18 +65,22 @@ def relative_change(value: str, w: Window, base: str = "previous", fill: bool =
     return F.try_divide(x - before, before if base == "previous" else x)
 
 
-def augment_indicators(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
+def augment_indicators(df: DataFrame, key: str, digits: int | None = 4) -> DataFrame:
     """lag, rank, delta and pct_change of ``raw`` on a long (key, feature, period) table.
 
     One shuffle by (key, feature) serves all row-order columns; the rank goes through
     the value ladder because one feature may hold a large part of all rows.
     """
     w = over([key, "feature"], "period")
+
+    def short(c: Column) -> Column:
+        return c if digits is None else F.bround(c, digits)
+
     stepped = df.select(
         "*",
-        F.bround(F.lag("raw").over(w), digits).alias("lag"),
-        F.bround(difference("raw", w), digits).alias("delta"),
-        finite(F.bround(relative_change("raw", w), digits)).alias("pct_change"),
+        short(F.lag("raw").over(w)).alias("lag"),
+        short(difference("raw", w)).alias("delta"),
+        finite(short(relative_change("raw", w))).alias("pct_change"),
     )
     return pct_rank_avg(stepped, ["feature", "period"], "raw", "rank", digits)
 
