@@ -78,7 +78,7 @@ def noise_law(df: DataFrame, keys: list[str], size: str, gamma: str, pi: str, st
         F.sum(u * u).alias("uu"), F.sum(u * w).alias("uw"), F.sum(w * w).alias("ww"), F.sum(u * F.col("_y")).alias("uy"),
         F.sum(w * F.col("_y")).alias("wy"), F.sum(F.col("_y") * F.col("_y")).alias("yy"), F.avg("_pi").alias("_p"), F.count(F.lit(1)).alias("n"),
     )
-    pir = 1 / (F.col("_p") * (1 - F.col("_p")))
+    pir = F.try_divide(F.lit(1.0), F.col("_p") * (1 - F.col("_p")))
     sums = sums.withColumns({"_lo": pir, "_hi": 5 * pir})
     uu, uw, ww, uy, wy, yy = (F.col(c) for c in ("uu", "uw", "ww", "uy", "wy", "yy"))
 

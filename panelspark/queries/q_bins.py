@@ -215,6 +215,16 @@ _POINTS_SQL = (
 )
 
 
+@query(
+    "e1_power_law_grid",
+    f"{_POINTS_SQL}, g AS (SELECT -1 + i / 20 AS c FROM (SELECT unnest(range(0, 41)) AS i) WHERE i <> 20), f AS (SELECT kind, c, regr_slope(m, pow(n_avg, c)) AS b, regr_intercept(m, pow(n_avg, c)) AS a, regr_r2(m, pow(n_avg, c)) AS r2, regr_syy(m, pow(n_avg, c)) AS syy FROM pts, g GROUP BY kind, c) "
+    "SELECT kind, round(arg_min(a, syy * (1 - r2)), 6) AS a, round(arg_min(b, syy * (1 - r2)), 6) AS b, round(arg_min(c, syy * (1 - r2)), 6) AS c, round(arg_min(r2, syy * (1 - r2)), 6) AS r2 FROM f GROUP BY kind",
+)
+def _(spark, sf):
+    out = fits.power_law(binned_points(spark, sf), ["kind"], "n_avg", "m", refine=0)
+    return out.select("kind", *[r(c).alias(c) for c in ("a", "b", "c", "r2")])
+
+
 @query("e1_power_law")
 def _(spark, sf):
     out = fits.power_law(binned_points(spark, sf), ["kind"], "n_avg", "m")
@@ -237,7 +247,7 @@ def _(spark, sf):
 
 @query("e4_noise_law")
 def _(spark, sf):
-    pts = binned_points(spark, sf).withColumns({"gamma": F.col("sigma") * F.col("sigma") / F.pow(F.col("m") * (1 - F.col("m")), F.lit(2)), "pi": F.col("m")})
+    pts = binned_points(spark, sf).withColumns({"gamma": S.ratio(F.col("sigma") * F.col("sigma"), F.pow(F.col("m") * (1 - F.col("m")), F.lit(2))), "pi": F.col("m")})
     out = fits.noise_law(pts, ["kind"], "n_avg", "gamma", "pi")
     return out.select("kind", *[r(c).alias(c) for c in ("a1", "a2", "omega", "h", "sse")], "n")
 
