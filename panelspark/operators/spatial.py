@@ -89,7 +89,7 @@ def _cell(long: Column, cells: Column) -> Column:
     return F.least(F.floor(east * cells / 360.0), cells - 1).cast("bigint")
 
 
-def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM) -> DataFrame:
+def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM, splits: int = 16) -> DataFrame:
     """Unordered pairs (key < key_dest) at most ``max_km`` apart with their distance.
 
     Latitude bands as high as the radius and, inside each band, longitude cells wide
@@ -97,6 +97,10 @@ def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long:
     cell and probes nine, with wrap-around at the date line and one cell near the poles.
     Only rows of neighbouring cells meet, and only true pairs leave the join. Every other
     column of ``df`` comes along, with suffix ``_dest`` for the second row.
+
+    A crowded cell is shared out over ``splits`` keys: the probing row takes one by hash, the
+    home row is copied to all. The partition count is stated, because the inputs are small
+    against the work and would otherwise be merged into few tasks.
     """
     angle = max_km / radius_km
     height = math.degrees(angle) * (1 + 1e-9)
@@ -108,9 +112,12 @@ def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long:
     middle = _cell(F.col(long), cells)
     around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(middle + d, cells)))
     probe = probe.withColumn("_cell", F.explode(around))
-    met = probe.join(home, ["_band", "_cell"]).where(F.col(key) < F.col(f"{key}_dest"))
+    probe = probe.withColumn("_split", F.pmod(F.hash(lat, long, key), F.lit(splits)))
+    home = home.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    on, tasks = ["_band", "_cell", "_split"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = probe.repartition(tasks, *on).join(home.repartition(tasks, *on), on).where(F.col(key) < F.col(f"{key}_dest"))
     distance = haversine_km(lat, long, f"{lat}_dest", f"{long}_dest", radius_km)
-    return met.withColumn("distance_km", distance).where(F.col("distance_km") <= max_km).drop("_band", "_cell")
+    return met.withColumn("distance_km", distance).where(F.col("distance_km") <= max_km).drop(*on)
 
 
 def pair_table(df: DataFrame, key: str, edges: list[float], max_km: float | None = None) -> DataFrame:
@@ -151,28 +158,39 @@ def spatial_correlation(field: DataFrame, event: str, value: str, edges: list[fl
     """
     last = len(edges)
     x = F.col(value).cast("double")
+    # one shuffle feeds the three uses of the spots, as long as they all read the same columns
     spots = field.where(x.isNotNull()).groupBy(lat, long, event).agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.lit(1)).cast("double").alias("n"))
     here = spots.select(event, F.lit(0).alias("distance_bin"), ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("xx"), (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
-    places = spots.groupBy(lat, long).agg(F.map_from_entries(F.collect_list(F.struct(F.col(event), F.struct("s", "n")))).alias("_e"))
+    places = spots.groupBy(lat, long).agg(F.map_from_entries(F.collect_list(F.struct(F.col(event), F.struct("s", "q", "n")))).alias("_e"))
     places = places.withColumn("_k", F.struct(lat, long))
     met = pairs_within(places, "_k", edges[-1], lat, long).withColumn("distance_bin", even_cut("distance_km", edges))
-    both = F.filter(F.map_keys("_e"), lambda e: F.map_contains_key("_e_dest", e))
-    apart = met.select("distance_bin", "_e", "_e_dest", F.explode(both).alias(event)).select(
-        event,
-        "distance_bin",
-        (F.col("_e")[F.col(event)]["s"] * F.col("_e_dest")[F.col(event)]["s"]).alias("xx"),
-        (F.col("_e")[F.col(event)]["n"] * F.col("_e_dest")[F.col(event)]["n"]).alias("pairs"),
+    apart = (
+        met.select("distance_bin", "_e_dest", F.explode("_e").alias(event, "_a"))
+        .withColumn("_b", F.col("_e_dest")[F.col(event)])
+        .where(F.col("_b").isNotNull())
+        .select(event, "distance_bin", (F.col("_a.s") * F.col("_b.s")).alias("xx"), (F.col("_a.n") * F.col("_b.n")).alias("pairs"))
     )
     inner = here.unionByName(apart).groupBy(event, "distance_bin").agg(F.sum("xx").alias("xx"), F.sum("pairs").alias("pairs"))
     totals = spots.groupBy(event).agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
-    closed = inner.groupBy(event).agg(F.sum("xx").alias("_xx"), F.sum("pairs").alias("_pairs"))
-    rest = totals.join(closed, event).select(
+    whole = totals.select(
         event,
         F.lit(last).alias("distance_bin"),
-        ((F.col("s") * F.col("s") - F.col("q")) / 2 - F.col("_xx")).alias("xx"),
-        (F.col("n") * (F.col("n") - 1) / 2 - F.col("_pairs")).alias("pairs"),
+        ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("xx"),
+        (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"),
+    )
+    # every closed bin also counts against the open one, so the pair sums are read once
+    signed = F.array(
+        F.struct(F.col("distance_bin"), F.col("xx"), F.col("pairs")),
+        F.struct(F.lit(last).alias("distance_bin"), (-F.col("xx")).alias("xx"), (-F.col("pairs")).alias("pairs")),
+    )
+    every = (
+        inner.select(event, F.explode(signed).alias("_b"))
+        .select(event, "_b.*")
+        .unionByName(whole)
+        .groupBy(event, "distance_bin")
+        .agg(F.sum("xx").alias("xx"), F.sum("pairs").alias("pairs"))
+        .where("pairs > 0")
     )
-    every = inner.unionByName(rest).where("pairs > 0")
     spread = totals.select(event, ratio("q", "n").alias("_v"))
     return attach(every, spread, [event]).select(event, "distance_bin", "pairs", ratio(ratio("xx", "pairs"), F.col("_v")).alias("c_tau"))
 

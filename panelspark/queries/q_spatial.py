@@ -36,11 +36,14 @@ def places(spark, sf):
 
 
 def spots(spark, sf):
-    """One row per distinct place, named by its smallest entity."""
-    return places(spark, sf).groupBy("lat", "long").agg(F.min("entity").alias("place"), F.count(F.lit(1)).cast("double").alias("people"))
+    """One row per distinct place, named by its smallest entity, with the balance of its entities."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
+    balance = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), cents.alias("cents"))
+    rows = places(spark, sf).join(balance, "entity")
+    return rows.groupBy("lat", "long").agg(F.min("entity").alias("place"), (F.sum("cents").cast("double") / 100).alias("balance"))
 
 
-SPOTS_SQL = f"{PLACES_SQL}, spots AS (SELECT lat, long, min(entity) AS place, CAST(count(*) AS DOUBLE) AS people FROM places GROUP BY lat, long)"
+SPOTS_SQL = f"{PLACES_SQL}, spots AS (SELECT lat, long, min(entity) AS place, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / 100 AS balance FROM places JOIN customer ON entity = c_custkey GROUP BY lat, long)"
 
 
 @query(
@@ -92,7 +95,7 @@ def _(spark, sf):
     f"WITH {SPOTS_SQL}, p AS (SELECT a.place AS a, b.place AS b FROM spots a JOIN spots b ON a.place < b.place AND {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} <= 40) SELECT place, CAST(count(*) AS BIGINT) AS neighbours FROM (SELECT a AS place FROM p UNION ALL SELECT b FROM p) GROUP BY place",
 )
 def _(spark, sf):
-    pairs = spatial.pairs_within(spots(spark, sf).drop("people"), "place", 40.0)
+    pairs = spatial.pairs_within(spots(spark, sf).drop("balance"), "place", 40.0)
     ends = pairs.select(F.explode(F.array("place", "place_dest")).alias("place"))
     return ends.groupBy("place").agg(F.count(F.lit(1)).alias("neighbours"))
 
@@ -218,17 +221,17 @@ def _(spark, sf):
 
 @query(
     "g8_local_moran",
-    f"WITH {SPOTS_SQL}, y AS (SELECT place, lat, long, people - avg(people) OVER () AS y FROM spots), p AS (SELECT a.place, b.y / ({hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')}) AS wy FROM y a JOIN y b ON a.place <> b.place WHERE {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} <= 30), "
+    f"WITH {SPOTS_SQL}, y AS (SELECT place, lat, long, balance - avg(balance) OVER () AS y FROM spots), p AS (SELECT a.place, b.y / ({hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')}) AS wy FROM y a JOIN y b ON a.place <> b.place WHERE {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} <= 30), "
     "s AS (SELECT place, sum(wy) AS wy FROM p GROUP BY place) SELECT place, round(y * coalesce(wy, 0) / (SELECT avg(y * y) FROM y), 6) AS moran FROM y LEFT JOIN s USING (place)",
 )
 def _(spark, sf):
-    return spatial.local_moran(spots(spark, sf), "place", "people", 30.0).withColumn("moran", r("moran"))
+    return spatial.local_moran(spots(spark, sf), "place", "balance", 30.0).withColumn("moran", r("moran"))
 
 
 @query(
     "g9_logarithmic_law",
-    f"{_CORR_SQL}, m AS (SELECT event, distance_bin, (distance_bin + 0.5) * 25 AS mid, c_tau FROM corr WHERE distance_bin < 8), f AS (SELECT event, regr_slope(c_tau, ln(mid)) AS slope, regr_intercept(c_tau, ln(mid)) AS intercept, regr_r2(c_tau, ln(mid)) AS r2 FROM m WHERE mid BETWEEN 20 AND 180 GROUP BY event) "
-    "SELECT event, round(CASE WHEN slope < 0 THEN sqrt(-slope) END, 6) AS lambda, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM f",
+    f"{_CORR_SQL}, m AS (SELECT event, distance_bin, (distance_bin + 0.5) * 25 AS mid, c_tau FROM corr WHERE distance_bin < 8), fit AS (SELECT event, regr_slope(c_tau, ln(mid)) AS slope, regr_intercept(c_tau, ln(mid)) AS intercept, regr_r2(c_tau, ln(mid)) AS r2 FROM m WHERE mid BETWEEN 20 AND 180 GROUP BY event) "
+    "SELECT event, round(CASE WHEN slope < 0 THEN sqrt(-slope) END, 6) AS lambda, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM fit",
 )
 def _(spark, sf):
     c = correlation_rows(spark, sf).where("distance_bin < 8").withColumn("mid", (F.col("distance_bin") + 0.5) * 25)
