@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import even_cut
 from ..functions.scalars import haversine_km, ratio
+from ..session import cut_lineage
 from .ladder import attach
 
 EARTH_KM = 6371.0088
@@ -89,7 +90,7 @@ def _cell(long: Column, cells: Column) -> Column:
     return F.least(F.floor(east * cells / 360.0), cells - 1).cast("bigint")
 
 
-def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM, splits: int = 16) -> DataFrame:
+def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM, splits: int = 16, before: Column | None = None) -> DataFrame:
     """Unordered pairs (key < key_dest) at most ``max_km`` apart with their distance.
 
     Latitude bands as high as the radius and, inside each band, longitude cells wide
@@ -98,15 +99,19 @@ def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long:
     Only rows of neighbouring cells meet, and only true pairs leave the join. Every other
     column of ``df`` comes along, with suffix ``_dest`` for the second row.
 
+    ``before`` replaces key < key_dest where another total order is cheaper to test.
     A crowded cell is shared out over ``splits`` keys: the probing row takes one by hash, the
     home row is copied to all. The partition count is stated, because the inputs are small
     against the work and would otherwise be merged into few tasks.
     """
     angle = max_km / radius_km
     height = math.degrees(angle) * (1 + 1e-9)
-    rows = df.where(F.col(lat).isNotNull() & F.col(long).isNotNull()).withColumn("_band", F.floor((F.col(lat) + 90) / F.lit(height)))
+    phi, lam = F.radians(lat), F.radians(long)
+    unit = {"_x": F.cos(phi) * F.cos(lam), "_y": F.cos(phi) * F.sin(lam), "_z": F.sin(phi)}
+    rows = df.where(F.col(lat).isNotNull() & F.col(long).isNotNull()).withColumns(unit | {"_band": F.floor((F.col(lat) + 90) / F.lit(height))})
     home_cells = _band_cells(F.col("_band"), height, angle)
-    home = rows.withColumn("_cell", _cell(F.col(long), home_cells)).withColumnsRenamed({c: f"{c}_dest" for c in df.columns})
+    renamed = {c: f"{c}_dest" for c in [*df.columns, *unit]}
+    home = rows.withColumn("_cell", _cell(F.col(long), home_cells)).withColumnsRenamed(renamed)
     probe = rows.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("_band") + d)))
     cells = _band_cells(F.col("_band"), height, angle)
     middle = _cell(F.col(long), cells)
@@ -115,9 +120,14 @@ def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long:
     probe = probe.withColumn("_split", F.pmod(F.hash(lat, long, key), F.lit(splits)))
     home = home.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     on, tasks = ["_band", "_cell", "_split"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = probe.repartition(tasks, *on).join(home.repartition(tasks, *on), on).where(F.col(key) < F.col(f"{key}_dest"))
+    # straight-line filter first: three products instead of six trigonometric calls per candidate
+    gaps = [F.col(c) - F.col(f"{c}_dest") for c in unit]
+    chord2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+    near = chord2 <= F.lit(4 * math.sin(min(angle, math.pi) / 2) ** 2 * (1 + 1e-9))
+    met = probe.repartition(tasks, *on).join(home.repartition(tasks, *on), on).where(near & (F.col(key) < F.col(f"{key}_dest") if before is None else before))
     distance = haversine_km(lat, long, f"{lat}_dest", f"{long}_dest", radius_km)
-    return met.withColumn("distance_km", distance).where(F.col("distance_km") <= max_km).drop(*on)
+    far = [*on, *unit, *[f"{c}_dest" for c in unit]]
+    return met.withColumn("distance_km", distance).where(F.col("distance_km") <= max_km).drop(*far)
 
 
 def pair_table(df: DataFrame, key: str, edges: list[float], max_km: float | None = None) -> DataFrame:
@@ -147,52 +157,66 @@ def pair_correlation(pairs: DataFrame, field: DataFrame, event: str, key: str, v
     return attach(sums, spread, [event]).select(event, "distance_bin", "pairs", ratio("_c", "_v").alias("c_tau"))
 
 
+EVENTS_PER_PASS = 24
+
+
 def spatial_correlation(field: DataFrame, event: str, value: str, edges: list[float], lat: str = "lat", long: str = "long") -> DataFrame:
-    """C(r) = mean(x·x' over pairs in the distance bin) / mean(x²), for all events in one plan.
+    """C(r) = mean(x·x' over pairs in the distance bin) / mean(x²), for all events together.
 
     * Rows of one place are folded first to (Σx, Σx², n) per event: pairs inside a place
       follow from these sums, so a crowded place costs one row.
-    * Places meet once, whatever the number of events; the event sums ride along as a map.
+    * Places meet once for up to ``EVENTS_PER_PASS`` events, whose sums ride along as plain
+      columns; each pair adds to one row per distance bin, map-side.
     * The open last bin holds all remaining pairs: total minus the rest, from three sums.
       No pair beyond the last edge is ever formed.
+
+    ``field`` should be a stored table: it is read for the event list and for the places.
     """
-    last = len(edges)
+    events = [row[0] for row in field.select(event).distinct().orderBy(event).collect()]
+    out = None
+    for i in range(0, len(events), EVENTS_PER_PASS):
+        part = _correlation_pass(field, event, events[i : i + EVENTS_PER_PASS], value, edges, lat, long)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _correlation_pass(field: DataFrame, event: str, events: list, value: str, edges: list[float], lat: str, long: str) -> DataFrame:
+    last, ids, names = len(edges), range(len(events)), [F.lit(e) for e in events]
     x = F.col(value).cast("double")
-    # one shuffle feeds the three uses of the spots, as long as they all read the same columns
-    spots = field.where(x.isNotNull()).groupBy(lat, long, event).agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(F.lit(1)).cast("double").alias("n"))
-    here = spots.select(event, F.lit(0).alias("distance_bin"), ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("xx"), (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
-    places = spots.groupBy(lat, long).agg(F.map_from_entries(F.collect_list(F.struct(F.col(event), F.struct("s", "q", "n")))).alias("_e"))
-    places = places.withColumn("_k", F.struct(lat, long))
-    met = pairs_within(places, "_k", edges[-1], lat, long).withColumn("distance_bin", even_cut("distance_km", edges))
-    apart = (
-        met.select("distance_bin", "_e_dest", F.explode("_e").alias(event, "_a"))
-        .withColumn("_b", F.col("_e_dest")[F.col(event)])
-        .where(F.col("_b").isNotNull())
-        .select(event, "distance_bin", (F.col("_a.s") * F.col("_b.s")).alias("xx"), (F.col("_a.n") * F.col("_b.n")).alias("pairs"))
+    of = [F.when((F.col(event) == names[i]) & x.isNotNull(), x) for i in ids]
+    sums = [c for i in ids for c in (F.coalesce(F.sum(of[i]), F.lit(0.0)).alias(f"s{i}"), F.coalesce(F.sum(of[i] * of[i]), F.lit(0.0)).alias(f"q{i}"), F.count(of[i]).cast("double").alias(f"n{i}"))]
+    places = cut_lineage(field.where(F.col(event).isin(events)).groupBy(lat, long).agg(*sums)).withColumn("_k", F.xxhash64(lat, long))
+
+    def rows(df: DataFrame, bin_no, cells: list[tuple]) -> DataFrame:
+        """(event, bin, xx, pairs) rows from one wide row; ``cells`` holds the two columns per event."""
+        packed = [F.struct(names[i].alias(event), xx.alias("xx"), n.alias("pairs")) for i, (xx, n) in enumerate(cells)]
+        return df.select(bin_no.alias("distance_bin"), F.explode(F.array(*packed)).alias("_c")).select(f"_c.{event}", "distance_bin", "_c.xx", "_c.pairs")
+
+    light = places.select("_k", lat, long, *[c for i in ids for c in (f"s{i}", f"n{i}")])
+    y, y2, x1, x2 = F.col(lat), F.col(f"{lat}_dest"), F.col(long), F.col(f"{long}_dest")
+    first = (y < y2) | ((y == y2) & (x1 < x2))
+    met = pairs_within(light, "_k", edges[-1], lat, long, before=first).withColumn("distance_bin", even_cut("distance_km", edges))
+    per_bin = met.groupBy("distance_bin").agg(
+        *[F.sum(F.col(f"{c}{i}") * F.col(f"{c}{i}_dest")).alias(f"{c}{i}") for i in ids for c in ("s", "n")]
     )
-    inner = here.unionByName(apart).groupBy(event, "distance_bin").agg(F.sum("xx").alias("xx"), F.sum("pairs").alias("pairs"))
-    totals = spots.groupBy(event).agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
-    whole = totals.select(
-        event,
-        F.lit(last).alias("distance_bin"),
-        ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("xx"),
-        (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"),
+    apart = rows(per_bin, F.col("distance_bin"), [(F.col(f"s{i}"), F.col(f"n{i}")) for i in ids])
+    totals = places.agg(
+        *[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in ids for c in ("s", "q", "n")],
+        *[F.sum((F.col(f"s{i}") * F.col(f"s{i}") - F.col(f"q{i}")) / 2).alias(f"hs{i}") for i in ids],
+        *[F.sum(F.col(f"n{i}") * (F.col(f"n{i}") - 1) / 2).alias(f"hn{i}") for i in ids],
     )
-    # every closed bin also counts against the open one, so the pair sums are read once
+    here = rows(totals, F.lit(0), [(F.col(f"hs{i}"), F.col(f"hn{i}")) for i in ids])
+    every = [((F.col(f"s{i}") * F.col(f"s{i}") - F.col(f"q{i}")) / 2, F.col(f"n{i}") * (F.col(f"n{i}") - 1) / 2) for i in ids]
+    whole = rows(totals, F.lit(last), every)
+    # every closed bin also counts against the open one
     signed = F.array(
         F.struct(F.col("distance_bin"), F.col("xx"), F.col("pairs")),
         F.struct(F.lit(last).alias("distance_bin"), (-F.col("xx")).alias("xx"), (-F.col("pairs")).alias("pairs")),
     )
-    every = (
-        inner.select(event, F.explode(signed).alias("_b"))
-        .select(event, "_b.*")
-        .unionByName(whole)
-        .groupBy(event, "distance_bin")
-        .agg(F.sum("xx").alias("xx"), F.sum("pairs").alias("pairs"))
-        .where("pairs > 0")
-    )
-    spread = totals.select(event, ratio("q", "n").alias("_v"))
-    return attach(every, spread, [event]).select(event, "distance_bin", "pairs", ratio(ratio("xx", "pairs"), F.col("_v")).alias("c_tau"))
+    closed = apart.unionByName(here).select(event, F.explode(signed).alias("_b")).select(event, "_b.*")
+    binned = closed.unionByName(whole).groupBy(event, "distance_bin").agg(F.sum("xx").alias("xx"), F.sum("pairs").alias("pairs")).where("pairs > 0")
+    spread = rows(totals, F.lit(last), [(F.col(f"q{i}"), F.col(f"n{i}")) for i in ids]).select(event, ratio("xx", "pairs").alias("_v"))
+    return attach(binned, spread, [event]).select(event, "distance_bin", "pairs", ratio(ratio("xx", "pairs"), F.col("_v")).alias("c_tau"))
 
 
 def local_moran(df: DataFrame, key: str, value: str, max_km: float) -> DataFrame:

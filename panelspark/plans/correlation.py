@@ -11,6 +11,7 @@ from ..operators.joins import assert_unique
 from ..operators.quality import require
 from ..operators.spatial import spatial_correlation
 from ..operators.windows import centre, group_mean_fill
+from ..session import cut_lineage
 
 
 def logit_field(events: DataFrame, places: DataFrame, share: str, blocs: int = 0, check: bool = False) -> DataFrame:
@@ -32,13 +33,18 @@ def logit_field(events: DataFrame, places: DataFrame, share: str, blocs: int = 0
 
 
 def centred_field(field: DataFrame, per_bin: int = 1000) -> DataFrame:
-    """tau minus the mean of its (event, size bin)."""
+    """tau minus the mean of its (event, size bin).
+
+    The field feeds the edges, the bin search and the rows, so it is written once.
+    """
+    field = cut_lineage(field)
     binned, _ = size_bins(field, ["event"], "size", per_bin)
     return centre(binned, ["event", "size_bin"], "tau", "tau_minus_m")
 
 
 def correlation_job(events: DataFrame, places: DataFrame, share: str, edges: list[float], blocs: int = 0, per_bin: int = 1000) -> DataFrame:
-    return spatial_correlation(centred_field(logit_field(events, places, share, blocs), per_bin), "event", "tau_minus_m", edges)
+    centred = cut_lineage(centred_field(logit_field(events, places, share, blocs), per_bin).select("event", "lat", "long", "tau_minus_m"))
+    return spatial_correlation(centred, "event", "tau_minus_m", edges)
 
 
 def correlation_of_measures(events: DataFrame, places: DataFrame, shares: dict[str, int], edges: list[float], per_bin: int = 1000) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Which priority plays which bloc.
 BLOC_OF = {"1-URGENT": "g", "2-HIGH": "cg", "3-MEDIUM": "c", "4-NOT SPECIFIED": "cd", "5-LOW": "d"}
 BLOCS = list(BLOC_OF.values())
@@ -55,6 +57,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ballots(spark, sf_dir).groupBy("entity", "region", "kind", "period").agg(*measures())
 
 
+def stored_panel(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The panel written once, for queries that read it in several branches."""
+    return cut_lineage(panel(spark, sf_dir).select(*cols))
+
+
 def region_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense panel: one row per (region, kind, period)."""
     return ballots(spark, sf_dir).groupBy("region", "kind", "period").agg(*measures())

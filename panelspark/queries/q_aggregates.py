@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates, reshape
-from .base import BALLOTS_SQL, BLOCS, PANEL_SQL, REGION_SQL, ballots, panel, r, region_panel, table
+from ..session import cut_lineage
+from .base import BALLOTS_SQL, BLOCS, PANEL_SQL, REGION_SQL, ballots, panel, r, region_panel, stored_panel, table
 from .registry import query
 
 VOTES = [f"vote_{b}" for b in BLOCS]
@@ -112,9 +113,9 @@ def _(spark, sf):
     "SELECT round(avg(CASE WHEN p = t THEN 1.0 ELSE 0.0 END), 8) AS agreement, (SELECT p FROM m ORDER BY n DESC, p LIMIT 1) AS predicted_mode, (SELECT t FROM k ORDER BY n DESC, t LIMIT 1) AS actual_mode FROM x",
 )
 def _(spark, sf):
-    w = panel(spark, sf).select("entity", "period", S.row_argmax(VOTES, BLOCS).alias("winner"))
+    w = cut_lineage(panel(spark, sf).select("entity", "period", S.row_argmax(VOTES, BLOCS).alias("winner")))
     before = w.select("entity", (F.col("period") + 1).alias("period"), F.col("winner").alias("p"))
-    x = before.join(w.withColumnRenamed("winner", "t"), ["entity", "period"])
+    x = cut_lineage(before.join(w.withColumnRenamed("winner", "t"), ["entity", "period"]))
     out = aggregates.agreement(x, "p", "t")
     return out.withColumn("agreement", r("agreement", 8))
 
@@ -159,7 +160,7 @@ def _(spark, sf):
     "SELECT year1, year2, round(avg(abs(v1 - v2)), 3) AS mae, round(avg(abs(v1 - v2)) / avg(v1), 6) AS mape, round(quantile_cont(abs(v1 - v2), 0.5), 3) AS mad, round(avg((v1 - v2) * (v1 - v2)) / 1e6, 3) AS mse, round(sqrt(avg((v1 - v2) * (v1 - v2))), 3) AS rmse FROM p GROUP BY 1, 2",
 )
 def _(spark, sf):
-    out = aggregates.stability_matrix(panel(spark, sf).select("entity", "period", "amount"), ["entity"], "period", "amount")
+    out = aggregates.stability_matrix(stored_panel(spark, sf, "entity", "period", "amount"), ["entity"], "period", "amount")
     return out.select("year1", "year2", r("mae", 3).alias("mae"), r("mape").alias("mape"), r("mad", 3).alias("mad"), r(F.col("mse") / 1e6, 3).alias("mse"), r("rmse", 3).alias("rmse"))
 
 

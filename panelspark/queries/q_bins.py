@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import binning, scalars as S
 from ..operators import aggregates, bins, fits, ladder
-from .base import PANEL_SQL, panel, r, table
+from ..session import cut_lineage
+from .base import PANEL_SQL, panel, r, stored_panel, table
 from .registry import query
 
 _EDGES = [5.0, 10.0, 20.0, 35.0]
@@ -57,7 +58,7 @@ def _(spark, sf):
     "SELECT entity, p.period, CAST(count(e.edge) AS BIGINT) AS bin FROM panel p LEFT JOIN e ON e.period = p.period AND e.edge < p.amount GROUP BY entity, p.period",
 )
 def _(spark, sf):
-    p = panel(spark, sf).select("entity", "period", "amount")
+    p = stored_panel(spark, sf, "entity", "period", "amount")
     edges = ladder.quantile_edges(p, ["period"], "amount", 5)
     out = ladder.bin_by_edges(p, ["period"], "amount", edges, "bin", "right")
     return out.select("entity", "period", F.col("bin").cast("bigint").alias("bin"))
@@ -77,7 +78,7 @@ def _(spark, sf):
     "SELECT entity, period, CAST((SELECT count(*) FROM e WHERE e.kind = p.kind AND e.edge <= p.size) AS BIGINT) AS bin FROM panel p",
 )
 def _(spark, sf):
-    p = panel(spark, sf).select("entity", "kind", "period", "size")
+    p = stored_panel(spark, sf, "entity", "kind", "period", "size")
     return bins.percentile_bins(p, ["kind"], "size", 4).select("entity", "period", F.col("bin").cast("bigint").alias("bin"))
 
 
@@ -119,7 +120,7 @@ _SIZE_BIN_SQL = (
 
 def size_binned(spark, sf):
     x = panel(spark, sf).select("entity", "period", "amount", "participants", S.ratio("valid", "size").alias("share"))
-    return bins.size_bins(x, ["period"], "amount", 100)
+    return bins.size_bins(cut_lineage(x), ["period"], "amount", 100)
 
 
 @query(
@@ -268,5 +269,5 @@ def _(spark, sf):
 )
 def _(spark, sf):
     b = panel(spark, sf).groupBy("region", "period", F.least(F.col("size"), F.lit(3.0)).cast("int").alias("bin")).agg(F.avg(F.col("valid") / F.col("size")).alias("m"))
-    ratios = bins.group_ratio(b, ["region", "period"], "bin", 1, 3, "m")
+    ratios = cut_lineage(bins.group_ratio(b, ["region", "period"], "bin", 1, 3, "m"))
     return aggregates.iqr_filter(ratios, ["ratio"]).agg(r(F.avg("ratio"), 8).alias("lambda_m"), F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import has_control_chars
 from ..operators import ladder, reshape, sampling, windows
-from .base import PANEL_SQL, REGION_SQL, panel, r, region_panel, table
+from ..session import cut_lineage
+from .base import PANEL_SQL, REGION_SQL, panel, r, region_panel, stored_panel, table
 from .q_schema import _LONG_SQL, yearly_wide
 from .registry import query
 
@@ -42,13 +43,13 @@ def _(spark, sf):
 
 @query("w2_percentile_rank", f"WITH {PANEL_SQL} SELECT entity, period, valid_amount, {rank_sql('kind, period', 'valid_amount')} AS percentile FROM panel")
 def _(spark, sf):
-    p = panel(spark, sf).select("entity", "kind", "period", "valid_amount")
+    p = stored_panel(spark, sf, "entity", "kind", "period", "valid_amount")
     return ladder.pct_rank_avg(p, ["kind", "period"], "valid_amount", "percentile").drop("kind")
 
 
 @query("w2_percentile_rank_ties", f"WITH {PANEL_SQL} SELECT entity, period, participants, {rank_sql('period', 'participants')} AS percentile FROM panel")
 def _(spark, sf):
-    p = panel(spark, sf).select("entity", "period", "participants")
+    p = stored_panel(spark, sf, "entity", "period", "participants")
     return ladder.pct_rank_avg(p, ["period"], "participants", "percentile")
 
 
@@ -82,11 +83,12 @@ _LINE_SQL = (
 
 @query("j4_period_grid", f"{_GRID_SQL} SELECT entity, feature, period, raw FROM grid")
 def _(spark, sf):
-    return reshape.fill_grid(reshape.unpivot_years(yearly_wide(spark, sf), "entity", "accounts"), "entity")
+    return reshape.fill_grid(cut_lineage(reshape.unpivot_years(yearly_wide(spark, sf), "entity", "accounts")), "entity")
 
 
 def interpolated(spark, sf):
-    grid = reshape.fill_grid(reshape.unpivot_years(yearly_wide(spark, sf), "entity", "accounts"), "entity")
+    long = cut_lineage(reshape.unpivot_years(yearly_wide(spark, sf), "entity", "accounts"))
+    grid = reshape.fill_grid(long, "entity")
     return windows.interpolate_linear(grid, ["entity", "feature"], "period", "raw")
 
 
@@ -130,7 +132,7 @@ def _(spark, sf):
     "SELECT entity, period, round(least(greatest(amount, a), b), 6) AS clipped FROM panel JOIN q USING (period)",
 )
 def _(spark, sf):
-    out = windows.clip_to_quantiles(panel(spark, sf).select("entity", "period", "amount"), ["period"], "amount", 0.01, 0.99, "clipped")
+    out = windows.clip_to_quantiles(stored_panel(spark, sf, "entity", "period", "amount"), ["period"], "amount", 0.01, 0.99, "clipped")
     return out.select("entity", "period", r("clipped").alias("clipped"))
 
 
@@ -207,7 +209,7 @@ def _(spark, sf):
     "SELECT region, kind, period, valid - p1 AS delta_valid, round(percentile_valid - pp, 6) AS delta_percentile_valid, 0.0 AS previous_delta_percentile_valid, p1 - p2 AS previous_delta_valid FROM y",
 )
 def _(spark, sf):
-    p = region_panel(spark, sf).select("region", "kind", "period", "valid")
+    p = cut_lineage(region_panel(spark, sf).select("region", "kind", "period", "valid"))
     ranked = ladder.pct_rank_avg(p, ["kind", "period"], "valid", "percentile_valid")
     lagged = windows.lags(ranked, ["region", "kind"], "period", ["valid", "percentile_valid"], {"previous_": 1, "previousprevious_": 2})
     return windows.level_deltas(lagged, "valid").select(
@@ -228,7 +230,7 @@ def _(spark, sf):
     "SELECT entity, period, greatest(least(amount, hi), lo) AS winsorised FROM panel JOIN b USING (kind)",
 )
 def _(spark, sf):
-    p = panel(spark, sf).select("entity", "kind", "period", "amount")
+    p = stored_panel(spark, sf, "entity", "kind", "period", "amount")
     return ladder.clamp_order_statistics(p, ["kind"], "amount", 0.05, "winsorised").select("entity", "period", "winsorised")
 
 
@@ -239,7 +241,7 @@ def _(spark, sf):
     f"SELECT entity, feature, period, round(raw, 5) AS raw, round(y, 5) AS lag, round({rank_sql('feature, period', 'raw', None)}, 5) AS rank, round(raw - y, 5) AS delta, round((x1 - y1) / nullif(y1, 0), 5) AS pct_change FROM f",
 )
 def _(spark, sf):
-    out = windows.augment_indicators(interpolated(spark, sf), "entity", None)
+    out = windows.augment_indicators(cut_lineage(interpolated(spark, sf)), "entity", None)
     return out.select("entity", "feature", "period", *[r(c, 5).alias(c) for c in ("raw", "lag", "rank", "delta", "pct_change")])
 
 
