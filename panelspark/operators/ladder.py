@@ -66,6 +66,18 @@ def pct_rank_avg(df: DataFrame, keys: list[str], value: str, out: str, digits: i
     return rank_columns(df, keys, value, **{out: share if digits is None else F.bround(share, digits)})
 
 
+def pct_rank_many(df: DataFrame, row_key: list[str], keys: list[str], cols: list[str], prefix: str = "percentile_", digits: int | None = 4) -> DataFrame:
+    """Percentile ranks of several columns with one ladder: long form, one join, one pivot back.
+
+    ``row_key`` names a row; ``df`` should be a stored table, since it is read three times.
+    """
+    index = list(dict.fromkeys([*row_key, *keys]))
+    long = df.select(*index, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(index, cols, "_name", "_value")
+    ranked = pct_rank_avg(long.where("_value IS NOT NULL"), [*keys, "_name"], "_value", "_rank", digits)
+    wide = ranked.groupBy(*row_key).agg(*[F.max(F.when(F.col("_name") == c, F.col("_rank"))).alias(f"{prefix}{c}") for c in cols])
+    return df.join(wide, row_key, "left")
+
+
 def avg_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return rank_columns(df, keys, value, **{out: F.col("below") + (F.col("n") + 1) / 2})
 

@@ -136,9 +136,9 @@ def _folds(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_fold", stable_bucket(key, k, seed))
 
 
-def cross_validate(kind: str, train: DataFrame, features: list[str], label: str, key: str, grid: list[dict], folds: int = 3, parallelism: int = 4) -> tuple[dict, float]:
+def cross_validate(kind: str, train: DataFrame, features: list[str], label: str, key: str, grid: list[dict], folds: int = 3, parallelism: int = 4, seed: int = 42) -> tuple[dict, float]:
     """Best parameter map by cross-validated rmse; the fold of a row is a hash of its key."""
-    rows = _folds(as_doubles(train, [*features, label]).where(F.col(label).isNotNull()), key, folds)
+    rows = _folds(as_doubles(train, [*features, label]).where(F.col(label).isNotNull()), key, folds, seed)
     prepared = Pipeline(stages=pipeline(kind, features, label).getStages()[:-1])
     ready = prepared.fit(rows).transform(rows).select("features", label, "_fold").cache()
     estimator = ESTIMATORS[kind](label)
@@ -173,13 +173,14 @@ def two_stage_search(train: DataFrame, features: list[str], label: str, key: str
 def nested_ensemble(train: DataFrame, features: list[str], label: str, key: str, space: dict[str, list], outer: int = 4, inner: int = 4, trials: int = 4, kind: str = "boosting", seed: int = 42) -> tuple[list[PipelineModel], list[float]]:
     """Outer folds score the best inner parameters; one model per outer fold is refitted on all rows.
 
-    Folds are hashes of the key; the training rows are cached once for all fits.
+    Folds are hashes of the key, with another seed inside than outside; the training rows
+    are cached once for all fits.
     """
     rows = _folds(train, key, outer, seed).withColumnRenamed("_fold", "_outer").cache()
     models, scores = [], []
     for o in range(outer):
         part = rows.where(F.col("_outer") != o)
-        best, _ = cross_validate(kind, part, features, label, key, sample_params(space, trials, seed + o), inner)
+        best, _ = cross_validate(kind, part, features, label, key, sample_params(space, trials, seed + o), inner, seed=seed + 1)
         scored = predict(fit(kind, part, features, label, **best), rows.where(F.col("_outer") == o), features)
         scores.append(float(basic_metrics(scored, label, "prediction").first()["mse"]))
         models.append(fit(kind, rows, features, label, **best))
