@@ -52,7 +52,7 @@ def noisy_integer(c: Column | str) -> Column:
 
 def decimal_comma(c: Column | str) -> Column:
     """'12,5%' is 12.5."""
-    return F.regexp_replace(F.regexp_replace(col(c).cast("string"), "%$", ""), ",", ".").try_cast("double")
+    return F.translate(F.rtrim(col(c).cast("string"), F.lit("%")), ",", ".").try_cast("double")
 
 
 def _month(name: Column) -> Column:

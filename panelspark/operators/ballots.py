@@ -32,9 +32,8 @@ def slots_to_long(df: DataFrame, keys: list[str], slots: int, label: str, votes:
     def unlabelled(c: Column) -> Column:
         return c["label"].isNull() & (F.coalesce(c["votes"], F.lit(0.0)) > 0)
 
-    free = F.filter(cells, unlabelled)
-    numbers = F.transform(free, lambda c: c["slot"])
-    out = df.select(*keys, F.explode(cells).alias("_c"), numbers.alias("_free"))
+    numbers = F.transform(F.filter("_cells", unlabelled), lambda c: c["slot"])
+    out = df.select(*keys, cells.alias("_cells")).select(*keys, numbers.alias("_free"), F.explode("_cells").alias("_c"))
     named = F.coalesce(
         F.col("_c.label"),
         F.when(

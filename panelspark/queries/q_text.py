@@ -86,15 +86,25 @@ _SLOTS = 7
 def slot_rows(spark, sf):
     n = F.col("l_linenumber")
     lines = table(spark, sf, "lineitem").select("l_orderkey", n, "l_quantity", "l_returnflag", "l_linestatus")
-    label = F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O"), F.lit(None)).otherwise(F.concat("l_returnflag", "l_linestatus"))
+    names = ["AF", "AO", "NF", "RF", "RO"]
+    # labels travel as numbers through the aggregation, which then stays a hash aggregation
+    code = F.array_position(F.array(*[F.lit(x) for x in names]), F.concat("l_returnflag", "l_linestatus"))
     wide = lines.groupBy("l_orderkey").agg(
-        *[F.max(F.when(n == i, label)).alias(f"Nuance liste {i}") for i in range(1, _SLOTS + 1)],
-        *[F.sum(F.when(n == i, F.col("l_quantity"))).cast("bigint").cast("string").alias(f"Voix {i}") for i in range(1, _SLOTS + 1)],
+        *[F.max(F.when(n == i, code)).alias(f"_l{i}") for i in range(1, _SLOTS + 1)],
+        *[F.sum(F.when(n == i, F.col("l_quantity"))).cast("bigint").alias(f"_v{i}") for i in range(1, _SLOTS + 1)],
+    )
+    label = lambda i: F.get(F.array(*[F.lit(x) for x in names]), (F.col(f"_l{i}") - 1).cast("int"))
+    wide = wide.select(
+        "l_orderkey",
+        *[F.when(F.col(f"_l{i}") > 0, label(i)).alias(f"Nuance liste {i}") for i in range(1, _SLOTS + 1)],
+        *[F.col(f"_v{i}").cast("string").alias(f"Voix {i}") for i in range(1, _SLOTS + 1)],
     )
     votes = [F.coalesce(F.col(f"Voix {i}").cast("double"), F.lit(0.0)) for i in range(1, _SLOTS + 1)]
     total = sum(votes[1:], votes[0])
     share = lambda v: F.concat(F.replace((F.round(v * 10000 / total).cast("bigint") / 100).cast("string"), F.lit("."), F.lit(",")), F.lit("%"))
-    return wide.withColumns({f"% Voix/exprimés {i}": F.when(F.col(f"Voix {i}").isNotNull(), share(votes[i - 1])) for i in range(1, _SLOTS + 1)})
+    shares = {f"% Voix/exprimés {i}": F.when(F.col(f"Voix {i}").isNotNull(), share(votes[i - 1])) for i in range(1, _SLOTS + 1)}
+    # stored, as the published files are
+    return cut_lineage(wide.withColumns(shares))
 
 
 _SLOT_SQL = (
