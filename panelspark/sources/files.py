@@ -124,7 +124,7 @@ LATE_EVENTS = ["leg1871juil", "leg1946Nov"]
 
 def link_layout(df: DataFrame, text: str) -> DataFrame:
     """Glued links to (url, kind, year, target): archives only, folder by prefix, late events one year on."""
-    urls = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(https?://.*?(?:csv|csp)\.zip)"), F.lit(1))).alias("url"))
+    urls = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(https?://(?:(?!https?://).)*?(?:csv|csp)\.zip)"), F.lit(1))).alias("url"))
     name = F.element_at(F.split("url", "/"), -1)
     prefix = F.substring(name, 1, 3)
     year = F.substring(name, 4, 4).try_cast("int")
