@@ -75,14 +75,14 @@ def region_first_fill(df: DataFrame, region: str, key: str, cols: list[str]) ->
 # ---- pairs ----
 
 
-def _band_cells(band: Column, height: float, angle: float) -> Column:
-    """Number of longitude cells of a latitude band, wide enough for the radius in the band and its neighbours."""
-    low, high = F.lit(-90.0) + (band - 1) * F.lit(height), F.lit(-90.0) + (band + 2) * F.lit(height)
+def _band_cells(band: Column, height: float, angle: float, steps: int) -> Column:
+    """Number of longitude cells of a latitude band: ``steps`` of them span the radius in the band and those it reaches."""
+    low, high = F.lit(-90.0) + (band - steps) * F.lit(height), F.lit(-90.0) + (band + steps + 1) * F.lit(height)
     farthest = F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(high)))
     reach = F.lit(math.sin(angle / 2)) / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))
     span = F.degrees(2 * F.asin(F.least(F.lit(1.0), reach)))
-    cells = F.floor(F.lit(360.0) / (span * F.lit(1 + 1e-9)))
-    return F.when((reach >= 1) | (cells < 3), F.lit(1)).otherwise(cells).cast("bigint")
+    cells = F.floor(F.lit(360.0 * steps) / (span * F.lit(1 + 1e-9)))
+    return F.when((reach >= 1) | (cells < 2 * steps + 1), F.lit(1)).otherwise(cells).cast("bigint")
 
 
 def _cell(long: Column, cells: Column) -> Column:
@@ -90,12 +90,13 @@ def _cell(long: Column, cells: Column) -> Column:
     return F.least(F.floor(east * cells / 360.0), cells - 1).cast("bigint")
 
 
-def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM, splits: int = 16, before: Column | None = None) -> DataFrame:
+def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM, splits: int = 4, steps: int = 1, before: Column | None = None) -> DataFrame:
     """Unordered pairs (key < key_dest) at most ``max_km`` apart with their distance.
 
-    Latitude bands as high as the radius and, inside each band, longitude cells wide
-    enough for its farthest latitude turn the search into an equi-join: a row sits in one
-    cell and probes nine, with wrap-around at the date line and one cell near the poles.
+    Latitude bands of a ``steps``-th of the radius and, inside each band, longitude cells
+    made for its farthest latitude turn the search into an equi-join: a row sits in one cell
+    and probes the (2·steps+1)² around it, with wrap-around at the date line and one cell
+    near the poles. More steps hug the circle closer at the price of more probes.
     Only rows of neighbouring cells meet, and only true pairs leave the join. Every other
     column of ``df`` comes along, with suffix ``_dest`` for the second row.
 
@@ -105,21 +106,21 @@ def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long:
     against the work and would otherwise be merged into few tasks.
     """
     angle = max_km / radius_km
-    height = math.degrees(angle) * (1 + 1e-9)
+    height = math.degrees(angle) / steps * (1 + 1e-9)
     phi, lam = F.radians(lat), F.radians(long)
     unit = {"_x": F.cos(phi) * F.cos(lam), "_y": F.cos(phi) * F.sin(lam), "_z": F.sin(phi)}
     rows = df.where(F.col(lat).isNotNull() & F.col(long).isNotNull()).withColumns(unit | {"_band": F.floor((F.col(lat) + 90) / F.lit(height))})
-    home_cells = _band_cells(F.col("_band"), height, angle)
+    home_cells = _band_cells(F.col("_band"), height, angle, steps)
     renamed = {c: f"{c}_dest" for c in [*df.columns, *unit]}
     home = rows.withColumn("_cell", _cell(F.col(long), home_cells)).withColumnsRenamed(renamed)
-    probe = rows.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("_band") + d)))
-    cells = _band_cells(F.col("_band"), height, angle)
+    probe = rows.withColumn("_band", F.explode(F.sequence(F.col("_band") - steps, F.col("_band") + steps)))
+    cells = _band_cells(F.col("_band"), height, angle, steps)
     middle = _cell(F.col(long), cells)
-    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(middle + d, cells)))
+    around = F.array_distinct(F.transform(F.sequence(middle - steps, middle + steps), lambda c: F.pmod(c, cells)))
     probe = probe.withColumn("_cell", F.explode(around))
     probe = probe.withColumn("_split", F.pmod(F.hash(lat, long, key), F.lit(splits)))
     home = home.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    on, tasks = ["_band", "_cell", "_split"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on, tasks = ["_band", "_cell", "_split"], 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # haversine's h is a quarter of the squared chord: with unit vectors stored per row, a
     # candidate costs three products, and a kept pair one square root and one arc sine
     gaps = [F.col(c) - F.col(f"{c}_dest") for c in unit]

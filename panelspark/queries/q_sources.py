@@ -88,17 +88,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     root = scratch(spark)
-    table(spark, sf, "customer").write.parquet(f"{root}/a")
-    table(spark, sf, "nation").write.parquet(f"{root}/b")
-    named = {"a": "communes_pop", "b": "departements_pop"}
-    for part, name in named.items():
-        spark.read.parquet(f"{root}/{part}").coalesce(1).write.parquet(f"{root}/levels/{name}.parquet")
-    folders = files.list_files(spark, f"{root}/levels", "*.parquet").select(F.regexp_extract("path", r"/([^/]+\.parquet)/[^/]+$", 1).alias("n"), "path")
-    level = F.when(F.col("n").contains("communes"), "entity").when(F.col("n").contains("departements"), "region")
+    for name, source in {"communes_pop": "customer", "departements_pop": "nation", "codes_communes": "region"}.items():
+        table(spark, sf, source).write.parquet(f"{root}/{name}.parquet")
     out = None
-    for row in folders.select("path", level.alias("level")).collect():
-        part = spark.read.parquet(row["path"]).select(F.lit(row["level"]).alias("level"))
-        out = part if out is None else out.unionByName(part)
+    for level, paths in files.route_by_level(spark, root).items():
+        for path in paths:
+            part = spark.read.parquet(path).select(F.lit(level).alias("level"))
+            out = part if out is None else out.unionByName(part)
     return out.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,18 +132,16 @@ def _(spark, sf):
 
 @query(
     "s9_html_tables",
-    "SELECT user_id AS page_id, CAST(1 AS INTEGER) AS table_no, 'Sondages ' || user_id AS title, CAST(event_id AS VARCHAR) AS \"Sondeur\", CAST(CAST(ts AS DATE) AS VARCHAR) AS \"Dates\" FROM events UNION ALL SELECT DISTINCT user_id, CAST(2 AS INTEGER), 'Sondages ' || user_id || ' (2)', CAST(user_id AS VARCHAR), 'a & b' FROM events",
+    "SELECT event_id AS page_id, CAST(1 AS INTEGER) AS table_no, 'Sondages ' || event_id AS title, event_type AS \"Sondeur\", CAST(CAST(ts AS DATE) AS VARCHAR) AS \"Dates\" FROM events UNION ALL SELECT event_id, CAST(2 AS INTEGER), 'Sondages ' || event_id || ' (2)', CAST(user_id AS VARCHAR), 'a & b' FROM events",
 )
 def _(spark, sf):
-    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), cell(F.col("event_id").cast("string")), cell(F.to_date("ts").cast("string")), F.lit("</tr>"))
-    body = table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.collect_list(row), "").alias("rows"))
-    who = F.col("user_id").cast("string")
-    first = F.concat(
-        F.lit("<h2>Sondages "), who, F.lit("</h2><table><thead><tr><th colspan=2>Tout</th></tr><tr><th>Sondeur</th><th>Date</th></tr></thead>"), F.col("rows"), F.lit("<tr><td></td><td> </td></tr></table>")
-    )
-    second = F.concat(F.lit("<table><caption>Sondages "), who, F.lit("</caption><tr><th>Sondeur</th><th>Dates</th></tr><tr><td>"), who, F.lit("</td><td>a &amp; b</td></tr></table>"))
-    html = body.select(F.col("user_id").alias("page_id"), F.concat(first, second).alias("html"))
+    who, day = F.col("event_id").cast("string"), F.to_date("ts").cast("string")
+    text = [
+        F.lit("<h2>Sondages "), who, F.lit("</h2><table><thead><tr><th colspan=2>Tout</th></tr><tr><th>Sondeur</th><th>Date</th></tr></thead><tr><td>"),
+        F.col("event_type"), F.lit("</td><td>"), day, F.lit("</td></tr><tr><td></td><td> </td></tr></table><table><caption>Sondages "), who,
+        F.lit("</caption><tr><th>Sondeur</th><th>Dates</th></tr><tr><td>"), F.col("user_id").cast("string"), F.lit("</td><td>a &amp; b</td></tr></table>"),
+    ]
+    html = table(spark, sf, "events").select(F.col("event_id").alias("page_id"), F.concat(*text).alias("html"))
     return pages.table_columns(pages.scan_html_tables(html), ["Sondeur", "Dates"]).drop("row_no")
 
 

@@ -109,10 +109,14 @@ def scan_event_tree(spark: SparkSession, root: str, kinds: dict[str, int]) -> Da
 
 
 def route_by_level(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """Paths by level: names holding 'communes' are entity tables, 'departements' region tables; 'codes…' are skipped."""
-    files = list_files(spark, root, "*.parquet").select("path", F.element_at(F.split("path", "/"), -1).alias("n"))
+    """Table paths by level: names holding 'communes' are entity tables, 'departements' region tables; 'codes…' are skipped.
+
+    A table is one file, or a folder named like one.
+    """
+    table = F.regexp_replace("path", r"(\.parquet)/[^/]+$", "$1")
+    tables = list_files(spark, root, "*.parquet").select(table.alias("path")).distinct().withColumn("n", F.element_at(F.split("path", "/"), -1))
     level = F.when(F.col("n").startswith("codes"), None).when(F.col("n").contains("communes"), "entity").when(F.col("n").contains("departements"), "region")
-    rows = files.select("path", level.alias("level")).where("level IS NOT NULL").orderBy("path").collect()
+    rows = tables.select("path", level.alias("level")).where("level IS NOT NULL").orderBy("path").collect()
     return {lv: [r["path"] for r in rows if r["level"] == lv] for lv in ("entity", "region")}
 
 
@@ -136,7 +140,7 @@ def link_layout(df: DataFrame, text: str) -> DataFrame:
 # ---- partitions and sinks ----
 
 
-def write_partitioned(df: DataFrame, path: str, key: str, files_per_key: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, key: str, files_per_key: int = 8) -> None:
     """One folder per key value. A key may hold a large part of the rows: ``files_per_key`` tasks share it."""
     share = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(files_per_key))
     df.withColumn("_share", share).repartition(key, "_share").drop("_share").write.mode("errorifexists").partitionBy(key).parquet(path)
