@@ -125,12 +125,12 @@ def size_binned(spark, sf):
 
 @query(
     "a14_binned_stats",
-    f"{_SIZE_BIN_SQL} SELECT period, CAST(size_bin AS BIGINT) AS size_bin, CAST(count(*) AS BIGINT) AS n, round(avg(share), 6) AS mean, round(stddev_samp(share), 6) AS sd, round(avg(amount), 3) AS centre FROM z GROUP BY period, size_bin",
+    f"{_SIZE_BIN_SQL} SELECT period, CAST(size_bin AS BIGINT) AS size_bin, CAST(count(*) AS BIGINT) AS n, round(avg(share), 6) AS mean, round(stddev_samp(share), 6) AS sd, round(avg(amount), 5) AS centre FROM z GROUP BY period, size_bin",
 )
 def _(spark, sf):
     rows, _ = size_binned(spark, sf)
     out = bins.binned_stats(rows, ["period", "size_bin"], "share", "amount")
-    return out.select("period", F.col("size_bin").cast("bigint").alias("size_bin"), "n", r("mean").alias("mean"), r("sd").alias("sd"), r("centre", 3).alias("centre"))
+    return out.select("period", F.col("size_bin").cast("bigint").alias("size_bin"), "n", r("mean").alias("mean"), r("sd").alias("sd"), r("centre", 5).alias("centre"))
 
 
 @query(

@@ -238,7 +238,7 @@ def _(spark, sf):
 
 
 _FILL_SQL = (
-    f"{_LONG_SQL}, {PLACES_SQL}, e AS (SELECT p.entity, p.region, p.period, p.kind || p.period AS event, p.size, l.lat, l.long, w.raw AS a, o.raw AS b FROM panel p LEFT JOIN places l USING (entity) LEFT JOIN long w ON w.entity = p.entity AND w.period = p.period - 1 AND w.feature = 'accounts/amount' LEFT JOIN long o ON o.entity = p.entity AND o.period = p.period - 1 AND o.feature = 'accounts/orders'), "
+    f"{_LONG_SQL}, {PLACES_SQL}, e AS (SELECT p.entity, p.region, p.period, p.kind || p.period AS event, p.size, l.lat, l.long, round(w.raw * 100) AS a, o.raw * 100 AS b FROM panel p LEFT JOIN places l USING (entity) LEFT JOIN long w ON w.entity = p.entity AND w.period = p.period - 1 AND w.feature = 'accounts/amount' LEFT JOIN long o ON o.entity = p.entity AND o.period = p.period - 1 AND o.feature = 'accounts/orders'), "
     "k AS (SELECT event, avg(CASE WHEN a IS NULL THEN 1.0 ELSE 0.0 END) AS na, avg(CASE WHEN b IS NULL THEN 1.0 ELSE 0.0 END) AS nb, avg(a) AS ma, avg(b) AS mb FROM e GROUP BY event), m AS (SELECT event, region, avg(a) AS ra, avg(b) AS rb FROM e GROUP BY event, region)"
 )
 
@@ -249,7 +249,7 @@ _FILL_SQL = (
 )
 def _(spark, sf):
     events = panel(spark, sf).select("entity", "region", "period", F.concat("kind", F.col("period").cast("string")).alias("event"), "size")
-    long = unpivot_years(yearly_wide(spark, sf), "entity", "accounts").withColumn("period", F.col("period") + 1)
+    long = unpivot_years(yearly_wide(spark, sf), "entity", "accounts").withColumns({"period": F.col("period") + 1, "raw": F.round(F.col("raw") * 100)})
     wide = pivot_values(long, ["entity", "period"], "feature", ["accounts/amount", "accounts/orders"], ["raw"])
     out = P.assemble(events, places(spark, sf).drop("region"), wide, ["entity", "event", "size"])
     return out.select("entity", "event", "size", r("lat").alias("lat"), r(F.col("`F_raw_accounts/amount`"), 5).alias("amount"), r(F.col("`F_raw_accounts/orders`"), 3).alias("orders"))

@@ -136,22 +136,25 @@ def _(spark, sf):
     return out.select("entity", "period", r("clipped").alias("clipped"))
 
 
+# means are taken over whole cents: both engines then add integers, in whatever order
+
+
 @query(
     "w8_group_mean_fill",
-    f"WITH {PANEL_SQL} SELECT entity, period, round(coalesce(valid_amount, avg(valid_amount) OVER (PARTITION BY region, period), avg(valid_amount) OVER ()), 4) AS valid_amount FROM panel",
+    f"WITH {PANEL_SQL}, c AS (SELECT entity, region, period, round(valid_amount * 100) AS cents FROM panel) SELECT entity, period, round(coalesce(cents, avg(cents) OVER (PARTITION BY region, period), avg(cents) OVER ()), 4) AS cents FROM c",
 )
 def _(spark, sf):
-    p = panel(spark, sf).select("entity", "region", "period", "valid_amount")
-    return windows.group_mean_fill(p, ["region", "period"], ["valid_amount"]).select("entity", "period", r("valid_amount", 4).alias("valid_amount"))
+    p = panel(spark, sf).select("entity", "region", "period", F.round(F.col("valid_amount") * 100).alias("cents"))
+    return windows.group_mean_fill(p, ["region", "period"], ["cents"]).select("entity", "period", r("cents", 4).alias("cents"))
 
 
 @query(
     "w9_centre_by_group",
-    f"WITH {PANEL_SQL} SELECT entity, period, round(amount - avg(amount) OVER (PARTITION BY kind, period), 4) AS centred FROM panel",
+    f"WITH {PANEL_SQL}, c AS (SELECT entity, kind, period, round(amount * 100) AS cents FROM panel) SELECT entity, period, round(cents - avg(cents) OVER (PARTITION BY kind, period), 4) AS centred FROM c",
 )
 def _(spark, sf):
-    p = panel(spark, sf).select("entity", "kind", "period", "amount")
-    return windows.centre(p, ["kind", "period"], "amount", "centred").select("entity", "period", r("centred", 4).alias("centred"))
+    p = panel(spark, sf).select("entity", "kind", "period", F.round(F.col("amount") * 100).alias("cents"))
+    return windows.centre(p, ["kind", "period"], "cents", "centred").select("entity", "period", r("centred", 4).alias("centred"))
 
 
 @query(
