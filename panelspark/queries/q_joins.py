@@ -166,7 +166,8 @@ def _(spark, sf):
     "j17_side_by_side",
     f"WITH {REGION_SQL} SELECT region, "
     + ", ".join(f"sum(valid) FILTER (WHERE period = {y} AND kind = 'BUILDING') AS valid_{y}" for y in (1995, 1998, 2001))
-    + " FROM rpanel GROUP BY region",
+    # a full outer join of the three years holds the regions of these years only
+    + " FROM rpanel WHERE kind = 'BUILDING' AND period IN (1995, 1998, 2001) GROUP BY region",
 )
 def _(spark, sf):
     p = region_panel(spark, sf).where("kind = 'BUILDING'")
