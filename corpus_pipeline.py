@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, cross_parse, cuckoo_dedup, decontam
+from panelspark.llm import bpe, chosen_path, cross_parse, cuckoo_dedup, decontam
 from panelspark.llm.common import documents, held_out
 from panelspark.llm.queries import split_pattern, tokenizer_file
 from panelspark.session import cut_lineage
@@ -35,6 +35,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cuckoo_dedup.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return chosen_path.drop_near_copies(docs, size=5, percent=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontam.scan(_packed(docs, "text"), benchmark).filter(~F.col("contaminated")).select("row.*")
@@ -51,6 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("encode", encode),
 ]

@@ -273,3 +273,12 @@ def near_groups(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id"
     of_class = named.join(component, "part").select("class", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return drawn.select("doc_id", "ref", "n", "class").join(of_class, "class", "left").select("doc_id", "ref", "class", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with the smallest id of their component, with their columns as they were.
+
+    Rows that share an id stay or go together; rows without an id stay where their component has none with one.
+    """
+    kept = near_groups(docs, size, percent, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("ref").distinct()
+    return docs.select(F.struct(*docs.columns).alias("row"), reference(doc_id, text).alias("ref")).join(kept, "ref", "left_semi").select("row.*")
