@@ -239,7 +239,7 @@ def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
 
     rows = cut_lineage(sets.join(large, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), "blocks")))
     home = lambda some: some.select("cluster", "class", "part", "shingles", F.col("own").alias("b"))
-    everywhere = lambda some: some.select("cluster", "class", "part", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint").alias("b"))
+    everywhere = lambda some: some.select("cluster", "class", "part", "shingles", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("b"))
     pairs = lambda some: some.select(F.col("class").alias("a"), F.col("part").alias("b"))
 
     def joined(labelled: DataFrame, travelling: Column) -> DataFrame:
