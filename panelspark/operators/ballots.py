@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import composites, ratio
 from ..functions.text import decimal_comma
 
+# Fixed value: the label of votes without one.
 OTHER = "AUTRES"
 
 
-def slots_to_long(df: DataFrame, keys: list[str], slots: int, label: str, votes: str, share: str) -> DataFrame:
+def slot_numbers(columns: list[str], votes: str) -> list[int]:
+    """The numbers i for which there is a column ``{votes}i``."""
+    return sorted(int(m[1]) for c in columns if (m := re.fullmatch(re.escape(votes) + r"(\d+)", c)))
+
+
+def slots_to_long(df: DataFrame, keys: list[str], label: str, votes: str, share: str) -> DataFrame:
     """Slot columns ``{label}i, {votes}i, {share}i`` to rows (keys, slot, label, votes, share).
 
+    The slots are those that the columns have, however many.
+
     A slot without label but with votes becomes ``AUTRES_j``, numbered in slot order inside
     its row; empty slots go. The numbering looks at the row's own array: no shuffle.
     """
@@ -25,7 +35,7 @@ def slots_to_long(df: DataFrame, keys: list[str], slots: int, label: str, votes:
                 decimal_comma(F.col(f"`{votes}{i}`")).alias("votes"),
                 decimal_comma(F.col(f"`{share}{i}`")).alias("share"),
             )
-            for i in range(1, slots + 1)
+            for i in slot_numbers(df.columns, votes)
         ]
     )
 

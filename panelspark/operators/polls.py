@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,31 +85,25 @@ def kalman_level(
 ) -> DataFrame:
     """Level and slope of each series by a constant-velocity Kalman filter (predict, then update).
 
-    ``day`` is a date: polls of one day are averaged first, so a series has at most as many
-    steps as there are days, however many polls a pollster has. The fold keeps the state as
-    a struct and stays in the JVM.
+    ``day`` is a date. The polls of one day count as their mean with the noise divided by
+    their number, which equals one update for each; a day without values only predicts. A
+    series so has one row a day, however many polls, and is folded as one group.
     """
-    daily = df.groupBy(*series, day).agg(F.avg(value).alias("_z"))
-    packed = daily.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col("_z").alias("z")))).alias("_s"))
-    state = "struct<d:date,z:double,level:double,slope:double,a:double,b:double,c:double>"
-    start = F.array(
-        F.struct(
-            F.lit(None).cast("date").alias("d"), F.lit(None).cast("double").alias("z"), F.lit(x0[0]).alias("level"), F.lit(x0[1]).alias("slope"),
-            F.lit(p0[0]).alias("a"), F.lit(0.0).alias("b"), F.lit(p0[1]).alias("c"),
-        )
-    ).cast(f"array<{state}>")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        # predict: x = F x with F = [[1, 1], [0, 1]], P = F P F' + Q; P = [[a, b], [b, c]]
-        level, slope = last["level"] + last["slope"], last["slope"]
-        a, b, c = last["a"] + 2 * last["b"] + last["c"] + q[0], last["b"] + last["c"], last["c"] + q[1]
-        gain0, gain1, miss = a / (a + r), b / (a + r), s["z"] - level
-        now = F.struct(
-            s["d"].alias("d"), s["z"].alias("z"), (level + gain0 * miss).alias("level"), (slope + gain1 * miss).alias("slope"),
-            ((1 - gain0) * a).alias("a"), ((1 - gain0) * b).alias("b"), (c - gain1 * b).alias("c"),
-        )
-        return F.concat(acc, F.array(now.cast(state)))
-
-    steps = packed.select(*series, F.explode(F.slice(F.aggregate("_s", start, step), 2, 2_000_000)).alias("_k"))
-    return steps.select(*series, F.col("_k.d").alias(day), F.col("_k.z").alias("observed"), F.col("_k.level").alias("level"), F.col("_k.slope").alias("slope"))
+    daily = df.groupBy(*series, day).agg(F.avg(value).cast("double").alias("observed"), F.count(value).alias("_n"))
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*series, day]]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(day)
+        level, slope, a, b, c = *x0, p0[0], 0.0, p0[1]
+        states = []
+        for z, n in zip(pdf["observed"], pdf["_n"]):
+            # predict: x = F x with F = [[1, 1], [0, 1]], P = F P F' + Q; P = [[a, b], [b, c]]
+            level, a, b, c = level + slope, a + 2 * b + c + q[0], b + c, c + q[1]
+            if n:
+                gain0, gain1, miss = a / (a + r / n), b / (a + r / n), z - level
+                level, slope = level + gain0 * miss, slope + gain1 * miss
+                a, b, c = (1 - gain0) * a, (1 - gain0) * b, c - gain1 * b
+            states.append((level, slope))
+        return pdf[[*series, day, "observed"]].assign(level=[s[0] for s in states], slope=[s[1] for s in states])
+
+    return daily.groupBy(*series).applyInPandas(fold, ", ".join([*kinds, "observed double", "level double", "slope double"]))

@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import aggregates, reshape
 from ..session import cut_lineage
 from .base import BALLOTS_SQL, BLOCS, PANEL_SQL, REGION_SQL, ballots, panel, r, region_panel, stored_panel, table
+from .q_schema import ALL_YEARS
 from .registry import query
 
 VOTES = [f"vote_{b}" for b in BLOCS]
@@ -195,11 +196,11 @@ def _(spark, sf):
 @query(
     "a24_importance_pivot",
     f"WITH {PANEL_SQL}, e AS (SELECT entity, period, valid_amount FROM panel), w AS (SELECT entity, "
-    + ", ".join(f"max(valid_amount) FILTER (WHERE period = {y}) AS amount_{y}" for y in (1996, 1998, 2000))
-    + " FROM e GROUP BY entity) SELECT * FROM w WHERE amount_1996 IS NOT NULL AND amount_1998 IS NOT NULL AND amount_2000 IS NOT NULL",
+    + ", ".join(f"max(valid_amount) FILTER (WHERE period = {y}) AS amount_{y}" for y in ALL_YEARS)
+    + " FROM e GROUP BY entity) SELECT * FROM w WHERE " + " AND ".join(f"amount_{y} IS NOT NULL" for y in ALL_YEARS),
 )
 def _(spark, sf):
-    years = ["1996", "1998", "2000"]
+    years = [str(y) for y in ALL_YEARS]
     p = panel(spark, sf).select("entity", F.col("period").cast("string").alias("period"), F.col("valid_amount").alias("amount"))
     return reshape.pivot_values(p, ["entity"], "period", years, ["amount"]).na.drop("any")
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins, reshape
+from ..session import cut_lineage
 from .base import BALLOTS_SQL, PANEL_SQL, REGION_SQL, ballots, panel, region_panel, table
-from .q_schema import _LONG_SQL, yearly_wide
+from .q_schema import _LONG_SQL, ALL_YEARS, yearly_wide
 from .registry import query
 
+KINDS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
 
 @query(
     "j1_left_enrich",
@@ -165,13 +168,13 @@ def _(spark, sf):
 @query(
     "j17_side_by_side",
     f"WITH {REGION_SQL} SELECT region, "
-    + ", ".join(f"sum(valid) FILTER (WHERE period = {y} AND kind = 'BUILDING') AS valid_{y}" for y in (1995, 1998, 2001))
-    # a full outer join of the three years holds the regions of these years only
-    + " FROM rpanel WHERE kind = 'BUILDING' AND period IN (1995, 1998, 2001) GROUP BY region",
+    + ", ".join(f"sum(valid) FILTER (WHERE period = {y} AND kind = '{k}') AS valid_{k.lower()}_{y}" for k in KINDS for y in ALL_YEARS)
+    + " FROM rpanel GROUP BY region",
 )
 def _(spark, sf):
-    p = region_panel(spark, sf).where("kind = 'BUILDING'")
-    parts = {str(y): p.where(F.col("period") == y).select("region", F.col("valid").alias(f"valid_{y}")) for y in (1995, 1998, 2001)}
+    p = cut_lineage(region_panel(spark, sf).select("region", "kind", "period", "valid"))
+    by_kind = {k: p.where(F.col("kind") == k).groupBy("region").pivot("period", ALL_YEARS).agg(F.first("valid")) for k in KINDS}
+    parts = {k: t.select("region", *[F.col(f"`{y}`").alias(f"valid_{k.lower()}_{y}") for y in ALL_YEARS]) for k, t in by_kind.items()}
     return joins.outer_on_keys(parts, ["region"])
 
 

@@ -57,29 +57,34 @@ def _(spark, sf):
     )
 
 
-_WIDE_YEARS = [1995, 1997, 1998, 2000, 2001]
+ALL_YEARS = list(range(1995, 2002))
+#: Years of a published table that skips some, for the operators that fill gaps.
+GAP_YEARS = [1995, 1997, 1998, 2000, 2001]
 
 
-def yearly_wide(spark, sf):
-    """(entity, amount1995 ... , orders1995 ...): a wide yearly table with gap years and nulls."""
+def yearly_wide(spark, sf, years=ALL_YEARS):
+    """(entity, amount1995 ... , orders1995 ...): a wide yearly table with nulls."""
     p = panel(spark, sf)
     return p.groupBy("entity").agg(
-        *[F.max(F.when(F.col("period") == y, F.col("amount"))).alias(f"amount{y}") for y in _WIDE_YEARS],
-        *[F.max(F.when(F.col("period") == y, F.col("size"))).alias(f"orders{y}") for y in _WIDE_YEARS],
+        *[F.max(F.when(F.col("period") == y, F.col("amount"))).alias(f"amount{y}") for y in years],
+        *[F.max(F.when(F.col("period") == y, F.col("size"))).alias(f"orders{y}") for y in years],
     )
 
 
-_LONG_SQL = (
-    f"WITH {PANEL_SQL}, wide AS (SELECT entity, "
-    + ", ".join(f"max(amount) FILTER (WHERE period = {y}) AS amount{y}" for y in _WIDE_YEARS)
-    + ", "
-    + ", ".join(f"max(size) FILTER (WHERE period = {y}) AS orders{y}" for y in _WIDE_YEARS)
-    + " FROM panel GROUP BY entity), long AS ("
-    + " UNION ALL ".join(
-        f"SELECT entity, 'accounts/{n}' AS feature, CAST({y} AS BIGINT) AS period, {n}{y} AS raw FROM wide" for n in ("amount", "orders") for y in _WIDE_YEARS
+def long_sql(years) -> str:
+    return (
+        f"WITH {PANEL_SQL}, wide AS (SELECT entity, "
+        + ", ".join(f"max(amount) FILTER (WHERE period = {y}) AS amount{y}" for y in years)
+        + ", "
+        + ", ".join(f"max(size) FILTER (WHERE period = {y}) AS orders{y}" for y in years)
+        + " FROM panel GROUP BY entity), long AS ("
+        + " UNION ALL ".join(f"SELECT entity, 'accounts/{n}' AS feature, CAST({y} AS BIGINT) AS period, {n}{y} AS raw FROM wide" for n in ("amount", "orders") for y in years)
+        + ")"
     )
-    + ")"
-)
+
+
+_LONG_SQL = long_sql(ALL_YEARS)
+_ORDERS = [f"orders{y}" for y in ALL_YEARS]
 
 
 @query("p4_unpivot_years", f"{_LONG_SQL} SELECT entity, feature, period, raw FROM long")
@@ -164,10 +169,10 @@ def _(spark, sf):
 
 @query(
     "p11_row_sum",
-    f"{_LONG_SQL} SELECT entity, coalesce(orders1995, 0) + coalesce(orders1997, 0) + coalesce(orders1998, 0) AS total FROM wide",
+    f"{_LONG_SQL} SELECT entity, " + " + ".join(f"coalesce({c}, 0)" for c in _ORDERS) + " AS total FROM wide",
 )
 def _(spark, sf):
-    return yearly_wide(spark, sf).select("entity", S.row_sum(["orders1995", "orders1997", "orders1998"]).alias("total"))
+    return yearly_wide(spark, sf).select("entity", S.row_sum(_ORDERS).alias("total"))
 
 
 @query("p12_complements", f"WITH {PANEL_SQL} SELECT entity, period, size - participants AS absent, participants - valid AS blank FROM panel")
@@ -189,7 +194,7 @@ def _(spark, sf):
     return p.select("entity", *schema.columns_matching(p, prefix="vote_", exclude=r"^vote_c[gd]$"))
 
 
-@query("p17_drop_sparse_columns", f"{_LONG_SQL} SELECT entity, amount1995, amount1997, amount1998, amount2000, orders1995, orders1997, orders1998, orders2000 FROM wide")
+@query("p17_drop_sparse_columns", f"{_LONG_SQL} SELECT entity, " + ", ".join(f"{n}{y}" for n in ("amount", "orders") for y in ALL_YEARS[:-1]) + " FROM wide")
 def _(spark, sf):
     w = yearly_wide(spark, sf)
     return schema.drop_sparse_columns(w, w.columns[1:], 0.4)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators import spatial
 from ..operators.schema import split_annotations
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import files, pages
 from .base import PANEL_SQL, panel, r, table
 from .q_spatial import PLACES_SQL, places
@@ -49,36 +49,36 @@ def _(spark, sf):
 
 
 def event_tree(spark, sf, fmt):
-    """The panel laid out as {kind}/{year}/{code}_csv/ or, for CSV, {kind}/{year}/ folders."""
+    """The whole panel laid out by kind, year and event; even years have other columns, in another order."""
     root = scratch(spark)
-    p = panel(spark, sf).where("kind IN ('BUILDING', 'MACHINERY')")
-    for kind in ("BUILDING", "MACHINERY"):
-        for year in (1996, 1998, 2000):
-            part = p.where((F.col("kind") == kind) & (F.col("period") == year))
-            rows = part.select(F.col("entity"), "size", "participants", "valid", "vote_g", (F.col("amount") if year == 1998 else F.col("size")).alias("extra"))
-            if fmt == "parquet":
-                rows.coalesce(2).write.parquet(f"{root}/{kind}/{year}/ev{year}_csv")
-            else:
-                rows.coalesce(2).write.mode("append").option("header", True).csv(f"{root}/{kind}/{year}")
+    event = F.concat(F.lit("ev"), F.col("period").cast("string"), F.lit("_csv"))
+    p = panel(spark, sf).withColumns({"code": event, "even": F.col("period") % 2 == 0})
+    p = cut_lineage(p.select("entity", "kind", F.col("period").alias("year"), "code", "even", "size", "participants", "valid", "vote_g", "amount"))
+    odd = p.where("NOT even").select("entity", "size", "participants", "valid", "vote_g", "kind", "year", "code")
+    even = p.where("even").select("vote_g", "amount", "entity", "valid", "size", "kind", "year", "code")
+    for rows in (odd, even):
+        keys = ["kind", "year", "code"] if fmt == "parquet" else ["kind", "year"]
+        out = (rows if fmt == "parquet" else rows.drop("code")).repartition(*keys).write.mode("append").partitionBy(*keys)
+        out.parquet(root) if fmt == "parquet" else out.option("header", True).csv(root)
     return root
 
 
 @query(
     "s4_csv_tree_to_parquet",
-    f"WITH {PANEL_SQL} SELECT CAST(entity AS VARCHAR) AS entity, CAST(valid AS VARCHAR) AS valid, kind AS election_type, CAST(period AS INTEGER) AS year FROM panel WHERE kind IN ('BUILDING', 'MACHINERY') AND period IN (1996, 1998, 2000)",
+    f"WITH {PANEL_SQL} SELECT kind AS election_type, CAST(period AS INTEGER) AS year, CAST(entity AS VARCHAR) AS entity, CAST(size AS VARCHAR) AS size, CASE WHEN period % 2 = 1 THEN CAST(participants AS VARCHAR) END AS participants, CAST(valid AS VARCHAR) AS valid, CAST(vote_g AS VARCHAR) AS vote_g, CASE WHEN period % 2 = 0 THEN round(amount, 2) END AS amount FROM panel",
 )
 def _(spark, sf):
     target = scratch(spark)
     files.csv_tree_to_parquet(spark, event_tree(spark, sf, "csv"), target)
-    return spark.read.parquet(target).select("entity", "valid", "election_type", "year")
+    return spark.read.parquet(target).drop("source_file").withColumn("amount", F.round(F.col("amount").cast("double"), 2))
 
 
 @query(
     "s5_event_tree",
-    f"WITH {PANEL_SQL} SELECT kind, period, 'ev' || period AS event, lpad(CAST(entity AS VARCHAR), 5, '0') AS entity, size, vote_g, CAST(NULL AS DOUBLE) AS vote_td FROM panel WHERE kind = 'BUILDING' AND period IN (1996, 1998, 2000)",
+    f"WITH {PANEL_SQL} SELECT kind, period, 'ev' || period AS event, lpad(CAST(entity AS VARCHAR), 5, '0') AS entity, size, vote_g, CAST(NULL AS DOUBLE) AS vote_td FROM panel WHERE kind <> 'MACHINERY'",
 )
 def _(spark, sf):
-    rows = files.scan_event_tree(spark, event_tree(spark, sf, "parquet"), {"BUILDING": 1})
+    rows = files.scan_event_tree(spark, event_tree(spark, sf, "parquet"), {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4})
     return rows.select("kind", "period", "event", "entity", "size", "vote_g", "vote_td")
 
 
@@ -100,15 +100,20 @@ def _(spark, sf):
 
 @query(
     "s7_link_layout",
-    "WITH l AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'pre' WHEN 'O' THEN 'leg' ELSE 'xyz' END AS p, year(o_orderdate) AS y, o_orderkey AS k FROM orders) SELECT 'https://x.example.org/' || p || y || 't' || k || 'csv.zip' AS url, CASE p WHEN 'pre' THEN 'presidentiel' ELSE 'legislative' END AS kind, CAST(y AS INTEGER) AS year FROM l WHERE p <> 'xyz'",
+    "WITH l AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'pres' WHEN 'O' THEN 'leg' ELSE 'age' END AS p, year(o_orderdate) AS y, o_orderkey AS k FROM orders), "
+    "n AS (SELECT p || y || 't' || k AS code, p, y FROM l UNION ALL SELECT 'leg1946Nov', 'leg', 1946 FROM l UNION ALL SELECT 'leg1871juil', 'leg', 1871 FROM l), "
+    "m AS (SELECT 'https://x.example.org/' || code || CASE WHEN p = 'age' THEN '_csp.zip' ELSE '_csv.zip' END AS url, CASE p WHEN 'pres' THEN 'presidentiel' WHEN 'leg' THEN 'legislative' END AS kind, CASE WHEN p <> 'age' THEN y + CASE WHEN y < 1995 THEN 1 ELSE 0 END END AS year, CASE WHEN y < 1995 THEN left(code, 7) ELSE code END AS code FROM n) "
+    "SELECT url, kind, CAST(year AS INTEGER) AS year, code, concat_ws('/', kind, year, code) AS target FROM m",
 )
 def _(spark, sf):
     s = F.col("o_orderstatus")
-    prefix = F.when(s == "F", "pre").when(s == "O", "leg").otherwise("xyz")
-    link = F.concat(F.lit("https://x.example.org/"), prefix, F.year("o_orderdate").cast("string"), F.lit("t"), F.col("o_orderkey").cast("string"), F.lit("csv.zip"))
-    # two archives glued into one text, the second with an unknown prefix
-    text = F.concat(link, F.lit("https://x.example.org/doc2000csv.zip"))
-    return files.link_layout(table(spark, sf, "orders").select(text.alias("links")), "links").select("url", "kind", "year")
+    prefix = F.when(s == "F", "pres").when(s == "O", "leg").otherwise("age")
+    end = F.when(s.isin("F", "O"), "_csv.zip").otherwise("_csp.zip")
+    link = F.concat(F.lit("https://x.example.org/"), prefix, F.year("o_orderdate").cast("string"), F.lit("t"), F.col("o_orderkey").cast("string"), end)
+    # archives glued into one text: of all kinds, of no known kind, late ones, and other files
+    late = "https://x.example.org/leg1946Nov_csv.ziphttps://x.example.org/readme.pdfhttps://x.example.org/leg1871juil_csv.zip"
+    text = F.concat(link, F.lit(late))
+    return files.link_layout(table(spark, sf, "orders").select(text.alias("links")), "links")
 
 
 @query(

@@ -182,13 +182,16 @@ def _(spark, sf):
 
 @query(
     "a18_pair_covariance",
-    f"{_CORR_SQL}, w AS (SELECT a.event, CAST(ceil(({hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')}) / 2.5) - 1 AS BIGINT) AS distance_bin, {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} AS d, a.x * b.x AS xx FROM c a JOIN c b ON a.event = b.event AND a.entity < b.entity WHERE a.entity IN (SELECT min(entity) FROM places GROUP BY lat, long) AND b.entity IN (SELECT min(entity) FROM places GROUP BY lat, long)) "
+    f"{_CORR_SQL}, w AS (SELECT a.event, CAST(ceil(({hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')}) / 2.5) - 1 AS BIGINT) AS distance_bin, {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} AS d, a.x * b.x AS xx FROM c a JOIN c b ON a.event = b.event AND a.entity < b.entity WHERE a.lat <> b.lat OR a.long <> b.long) "
     "SELECT w.event, distance_bin, CAST(count(*) AS BIGINT) AS pairs, round(avg(xx) / any_value(v), 6) AS c_tau FROM w JOIN v USING (event) WHERE d <= 20 GROUP BY w.event, distance_bin",
 )
 def _(spark, sf):
     field = correlation.centred_field(correlation.logit_field(event_rows(spark, sf), places(spark, sf).drop("region"), "turnout"), 200)
-    pairs = spatial.pair_table(spots(spark, sf).withColumnRenamed("place", "entity"), "entity", _EDGES)
-    out = spatial.pair_correlation(pairs, field, "event", "entity", "tau_minus_m")
+    # places are paired once; then every entity of the one place meets every entity of the other
+    named = places(spark, sf).select("entity", "lat", "long").join(spots(spark, sf).select("place", "lat", "long"), ["lat", "long"]).select("place", "entity")
+    pairs = spatial.pair_table(spots(spark, sf), "place", _EDGES)
+    pairs = pairs.join(named, "place").join(named.select(F.col("place").alias("place_dest"), F.col("entity").alias("entity_dest")), "place_dest")
+    out = spatial.pair_correlation(pairs.select("entity", "entity_dest", "distance_bin"), field, "event", "entity", "tau_minus_m")
     return out.select("event", F.col("distance_bin").cast("bigint").alias("distance_bin"), "pairs", r("c_tau").alias("c_tau"))
 
 

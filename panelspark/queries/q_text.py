@@ -9,7 +9,7 @@ from ..operators import ballots as B
 from ..operators import polls, projection, quality, reshape, windows
 from ..session import cut_lineage
 from .base import BLOCS, PANEL_SQL, panel, r, stored_panel, table
-from .q_schema import _LONG_SQL, yearly_wide
+from .q_schema import _LONG_SQL, ALL_YEARS, yearly_wide
 from .registry import query
 
 # Months as they are written in the test dates.
@@ -80,35 +80,34 @@ def _(spark, sf):
 
 # ---- ballots: one order is one polling place, its lines are slots ----
 
-_SLOTS = 7
-
-
 def slot_rows(spark, sf):
+    """One row per order with as many slots as the longest order has lines."""
+    slots = range(1, (table(spark, sf, "lineitem").agg(F.max("l_linenumber")).first()[0] or 0) + 1)
     n = F.col("l_linenumber")
     lines = table(spark, sf, "lineitem").select("l_orderkey", n, "l_quantity", "l_returnflag", "l_linestatus")
     names = ["AF", "AO", "NF", "RF", "RO"]
     # labels travel as numbers through the aggregation, which then stays a hash aggregation
     code = F.array_position(F.array(*[F.lit(x) for x in names]), F.concat("l_returnflag", "l_linestatus"))
     wide = lines.groupBy("l_orderkey").agg(
-        *[F.max(F.when(n == i, code)).alias(f"_l{i}") for i in range(1, _SLOTS + 1)],
-        *[F.sum(F.when(n == i, F.col("l_quantity"))).cast("bigint").alias(f"_v{i}") for i in range(1, _SLOTS + 1)],
+        *[F.max(F.when(n == i, code)).alias(f"_l{i}") for i in slots],
+        *[F.sum(F.when(n == i, F.col("l_quantity"))).cast("bigint").alias(f"_v{i}") for i in slots],
     )
     label = lambda i: F.get(F.array(*[F.lit(x) for x in names]), (F.col(f"_l{i}") - 1).cast("int"))
     wide = wide.select(
         "l_orderkey",
-        *[F.when(F.col(f"_l{i}") > 0, label(i)).alias(f"Nuance liste {i}") for i in range(1, _SLOTS + 1)],
-        *[F.col(f"_v{i}").cast("string").alias(f"Voix {i}") for i in range(1, _SLOTS + 1)],
+        *[F.when(F.col(f"_l{i}") > 0, label(i)).alias(f"Nuance liste {i}") for i in slots],
+        *[F.col(f"_v{i}").cast("string").alias(f"Voix {i}") for i in slots],
     )
-    votes = [F.coalesce(F.col(f"Voix {i}").cast("double"), F.lit(0.0)) for i in range(1, _SLOTS + 1)]
+    votes = [F.coalesce(F.col(f"Voix {i}").cast("double"), F.lit(0.0)) for i in slots]
     total = sum(votes[1:], votes[0])
     share = lambda v: F.concat(F.replace((F.round(v * 10000 / total).cast("bigint") / 100).cast("string"), F.lit("."), F.lit(",")), F.lit("%"))
-    shares = {f"% Voix/exprimés {i}": F.when(F.col(f"Voix {i}").isNotNull(), share(votes[i - 1])) for i in range(1, _SLOTS + 1)}
+    shares = {f"% Voix/exprimés {i}": F.when(F.col(f"Voix {i}").isNotNull(), share(votes[i - 1])) for i in slots}
     # stored, as the published files are
     return cut_lineage(wide.withColumns(shares))
 
 
 _SLOT_SQL = (
-    "WITH l AS (SELECT l_orderkey, l_linenumber AS slot, max(CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL ELSE l_returnflag || l_linestatus END) AS label, sum(l_quantity) AS votes FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY 1, 2), "
+    "WITH l AS (SELECT l_orderkey, l_linenumber AS slot, max(CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN NULL ELSE l_returnflag || l_linestatus END) AS label, sum(l_quantity) AS votes FROM lineitem GROUP BY 1, 2), "
     "t AS (SELECT *, CAST(round(votes * 10000 / sum(votes) OVER (PARTITION BY l_orderkey)) AS BIGINT) / 100 AS share FROM l), "
     "s AS (SELECT l_orderkey, slot, coalesce(label, 'AUTRES_' || (row_number() OVER (PARTITION BY l_orderkey, label IS NULL ORDER BY slot) - 1)) AS label, votes, share FROM t), "
     "m AS (SELECT l_orderkey, label, sum(votes) AS votes, sum(share) AS share FROM s GROUP BY 1, 2)"
@@ -116,7 +115,7 @@ _SLOT_SQL = (
 
 
 def slot_long(spark, sf):
-    return B.slots_to_long(slot_rows(spark, sf), ["l_orderkey"], _SLOTS, "Nuance liste ", "Voix ", "% Voix/exprimés ")
+    return B.slots_to_long(slot_rows(spark, sf), ["l_orderkey"], "Nuance liste ", "Voix ", "% Voix/exprimés ")
 
 
 @query("i1_slots_to_rows", f"{_SLOT_SQL} SELECT l_orderkey, CAST(slot AS BIGINT) AS slot, votes, share FROM s")
@@ -254,11 +253,12 @@ def _(spark, sf):
 
 @query(
     "i11_overall_mean_fill",
-    f"{_LONG_SQL} SELECT entity, round(coalesce(amount1995, (SELECT avg(amount1995) FROM wide)), 4) AS amount1995, coalesce(orders1997, 0) AS orders1997 FROM wide",
+    f"{_LONG_SQL} SELECT entity, " + ", ".join(f"round(coalesce(amount{y}, (SELECT avg(amount{y}) FROM wide)), 4) AS amount{y}, coalesce(orders{y}, 0) AS orders{y}" for y in ALL_YEARS) + " FROM wide",
 )
 def _(spark, sf):
-    w = cut_lineage(yearly_wide(spark, sf).select("entity", "amount1995", "orders1997"))
-    return windows.overall_mean_fill(w, ["amount1995"], ["orders1997"]).withColumn("amount1995", r("amount1995", 4))
+    amounts, orders = [f"amount{y}" for y in ALL_YEARS], [f"orders{y}" for y in ALL_YEARS]
+    filled = windows.overall_mean_fill(cut_lineage(yearly_wide(spark, sf)), amounts, orders)
+    return filled.withColumns({c: r(c, 4) for c in amounts})
 
 
 # ---- polls: a user is a poll, event types are candidates ----
@@ -355,9 +355,9 @@ def _(spark, sf):
 
 @query(
     "o7_kalman_level",
-    "WITH RECURSIVE z AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS z, row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) AS i FROM events GROUP BY 1, 2), "
+    "WITH RECURSIVE z AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS z, 100.0 / count(value) AS r, row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) AS i FROM events GROUP BY 1, 2), "
     "p AS (SELECT event_type, CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS day, CAST(NULL AS DOUBLE) AS z, CAST(50 AS DOUBLE) AS l, CAST(50 AS DOUBLE) AS s, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS c FROM (SELECT DISTINCT event_type FROM z) "
-    "UNION ALL SELECT p.event_type, z.i, z.day, z.z, l + s + (a + 2*b + c + 1) / (a + 2*b + c + 101) * (z.z - l - s), s + (b + c) / (a + 2*b + c + 101) * (z.z - l - s), (1 - (a + 2*b + c + 1) / (a + 2*b + c + 101)) * (a + 2*b + c + 1), (1 - (a + 2*b + c + 1) / (a + 2*b + c + 101)) * (b + c), c + 3 - (b + c) / (a + 2*b + c + 101) * (b + c) FROM p JOIN z ON z.event_type = p.event_type AND z.i = p.i + 1) "
+    "UNION ALL SELECT p.event_type, z.i, z.day, z.z, l + s + (a + 2*b + c + 1) / (a + 2*b + c + 1 + z.r) * (z.z - l - s), s + (b + c) / (a + 2*b + c + 1 + z.r) * (z.z - l - s), (1 - (a + 2*b + c + 1) / (a + 2*b + c + 1 + z.r)) * (a + 2*b + c + 1), (1 - (a + 2*b + c + 1) / (a + 2*b + c + 1 + z.r)) * (b + c), c + 3 - (b + c) / (a + 2*b + c + 1 + z.r) * (b + c) FROM p JOIN z ON z.event_type = p.event_type AND z.i = p.i + 1) "
     "SELECT event_type, day, round(z, 6) AS observed, round(l, 6) AS level, round(s, 6) AS slope FROM p WHERE i > 0",
 )
 def _(spark, sf):

@@ -9,7 +9,7 @@ from ..functions.scalars import has_control_chars
 from ..operators import ladder, reshape, sampling, windows
 from ..session import cut_lineage
 from .base import PANEL_SQL, REGION_SQL, panel, r, region_panel, stored_panel, table
-from .q_schema import _LONG_SQL, yearly_wide
+from .q_schema import GAP_YEARS, long_sql, yearly_wide
 from .registry import query
 
 _RANK_SQL = (
@@ -69,7 +69,7 @@ def _(spark, sf):
 
 
 _GRID_SQL = (
-    f"{_LONG_SQL}, rng AS (SELECT feature, min(period) AS a, max(period) AS b FROM long GROUP BY feature), "
+    f"{long_sql(GAP_YEARS)}, rng AS (SELECT feature, min(period) AS a, max(period) AS b FROM long GROUP BY feature), "
     "years AS (SELECT feature, unnest(range(a, b + 1)) AS period FROM rng), keys AS (SELECT DISTINCT entity FROM long), "
     "grid AS (SELECT entity, feature, period, raw FROM (SELECT entity, feature, period FROM keys CROSS JOIN years) LEFT JOIN long USING (entity, feature, period))"
 )
@@ -83,11 +83,11 @@ _LINE_SQL = (
 
 @query("j4_period_grid", f"{_GRID_SQL} SELECT entity, feature, period, raw FROM grid")
 def _(spark, sf):
-    return reshape.fill_grid(cut_lineage(reshape.unpivot_years(yearly_wide(spark, sf), "entity", "accounts")), "entity")
+    return reshape.fill_grid(cut_lineage(reshape.unpivot_years(yearly_wide(spark, sf, GAP_YEARS), "entity", "accounts")), "entity")
 
 
 def interpolated(spark, sf):
-    long = cut_lineage(reshape.unpivot_years(yearly_wide(spark, sf), "entity", "accounts"))
+    long = cut_lineage(reshape.unpivot_years(yearly_wide(spark, sf, GAP_YEARS), "entity", "accounts"))
     grid = reshape.fill_grid(long, "entity")
     return windows.interpolate_linear(grid, ["entity", "feature"], "period", "raw")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import time
 
 from pyspark.ml import PipelineModel
@@ -55,13 +56,46 @@ def scan_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep:
     return parsed.where(F.col("_corrupt").isNull()).drop("_corrupt"), parsed.where(F.col("_corrupt").isNotNull()).select("_corrupt")
 
 
-def csv_tree_to_parquet(spark: SparkSession, source: str, target: str, sep: str = ",", partitions: list[str] = ("election_type", "year"), encoding: str = "UTF-8") -> None:
-    """CSV files under ``{type}/{year}`` folders to Parquet partitioned by type and year, every column as text."""
-    raw = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("recursiveFileLookup", True).csv(source)
-    path = F.col("_metadata.file_path")
-    tail = F.regexp_extract(path, r"/([^/]+)/(\d{4})/[^/]+$", 1), F.regexp_extract(path, r"/([^/]+)/(\d{4})/[^/]+$", 2)
-    named = raw.withColumns({partitions[0]: tail[0], partitions[1]: tail[1]})
-    named.write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+def header_lines(spark: SparkSession, source: str, encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """The files below a folder by their first line, from one distributed read; as many keys as there are layouts."""
+    lines = spark.read.option("encoding", encoding).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(source)
+    meta = F.col("_metadata")
+    head = lines.where(meta["file_block_start"] == 0).select(meta["file_path"].alias("path"), "value", F.monotonically_increasing_id().alias("n"))
+    first = head.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    return {r["header"]: r["paths"] for r in first.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()}
+
+
+def _header_names(line: str, sep: str) -> list[str]:
+    """Column names of a header line; an empty name gets its number, a repeated one a count."""
+    out: list[str] = []
+    for i, name in enumerate(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), [])):
+        base = name.strip() or f"_c{i}"
+        again = sum(1 for n in out if n == base or n.startswith(f"{base}."))
+        out.append(f"{base}.{again}" if again else base)
+    return out
+
+
+_TREE_PATH = r"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(\d{4})/(.+)$"
+
+
+def csv_tree_to_parquet(
+    spark: SparkSession, source: str, target: str, sep: str = ",", partitions: list[str] = ("election_type", "year"), encoding: str = "UTF-8", file_column: str = "source_file"
+) -> None:
+    """CSV files under ``{type}/{year}`` folders to Parquet partitioned by type and year, every column as text.
+
+    Files differ in their columns: those with one header are one scan, and columns are matched
+    by name, null where a file lacks them. ``file_column`` holds the path below the year.
+    """
+    out = None
+    for line, paths in sorted(header_lines(spark, source, encoding).items()):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in _header_names(line, sep)])
+        part = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True).csv(paths)
+        path = F.col("_metadata.file_path")
+        part = part.withColumns({partitions[0]: F.regexp_extract(path, _TREE_PATH, 1), partitions[1]: F.regexp_extract(path, _TREE_PATH, 2), file_column: F.regexp_extract(path, _TREE_PATH, 3)})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no CSV files below {source}")
+    out.write.mode("errorifexists").partitionBy(*partitions).parquet(target)
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -71,7 +105,8 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length").where(~name.startswith(".") & ~name.startswith("_"))
 
 
-_EVENT_PATH = r"/([^/]+)/(\d{4})/([^/]+)_csv/[^/]+\.parquet$"
+# Fixed layout: {kind}/{year}/{code}_csv/file, each folder named plainly or as key=value.
+_EVENT_PATH = r"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(\d{4})/(?:[^/=]+=)?([^/=]+)_csv/[^/]+\.parquet$"
 
 # Spelling variants of event kinds in folder names.
 KIND_SPELLING = {"referundum": "referendum"}
@@ -81,14 +116,18 @@ def scan_event_tree(spark: SparkSession, root: str, kinds: dict[str, int]) -> Da
     """Event results below ``{kind}/{year}/{code}_csv/``: kind, period and event come from the path.
 
     Only the configured kinds are read. Files of one folder share a schema but folders do
-    not, so each folder is one scan conformed to the fixed schema, and all are united.
+    not: the folders of each distinct schema are one scan conformed to the fixed schema, and
+    the scans are united, so the plan grows with the layouts and not with the folders.
     """
     files = list_files(spark, root, "*.parquet").select("path", F.regexp_extract("path", _EVENT_PATH, 1).alias("k"))
     spelled = lookup("k", KIND_SPELLING, F.col("k"))
     folders = files.where(spelled.isin(list(kinds))).select(F.regexp_replace("path", r"/[^/]+$", "").alias("f")).distinct()
-    out = None
+    layouts: dict[str, list[str]] = {}
     for (folder,) in folders.orderBy("f").collect():
-        part = spark.read.parquet(folder)
+        layouts.setdefault(spark.read.parquet(folder).schema.json(), []).append(folder)
+    out = None
+    for paths in layouts.values():
+        part = spark.read.parquet(*paths)
         path = F.col("_metadata.file_path")
         kind = F.regexp_extract(path, _EVENT_PATH, 1)
         kind = lookup(kind, KIND_SPELLING, kind)
@@ -122,19 +161,28 @@ def route_by_level(spark: SparkSession, root: str) -> dict[str, list[str]]:
 
 # Link prefixes and the folder of each.
 LINK_FOLDERS = {"pre": "presidentiel", "ref": "referendum", "leg": "legislative"}
-# Events filed under the following year.
+# The place of the year in the name, one further on for this prefix.
+_LONG_PREFIX = "pre"
+# Events filed under the following year, and the month that their names then lose.
 LATE_EVENTS = ["leg1871juil", "leg1946Nov"]
+_MONTH = "juil|Nov$"
 
 
 def link_layout(df: DataFrame, text: str) -> DataFrame:
-    """Glued links to (url, kind, year, target): archives only, folder by prefix, late events one year on."""
+    """Glued links to (url, kind, year, target): archives only, folder by prefix, late events one year on.
+
+    The name is the last part of the link up to its first ``_``. Links of unknown kind have no
+    kind and year and stay in the base folder.
+    """
     urls = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(https?://(?:(?!https?://).)*?(?:csv|csp)\.zip)"), F.lit(1))).alias("url"))
-    name = F.element_at(F.split("url", "/"), -1)
+    name = F.element_at(F.split(F.element_at(F.split("url", "/"), -1), "_"), 1)
     prefix = F.substring(name, 1, 3)
-    year = F.substring(name, 4, 4).try_cast("int")
-    late = name.rlike("^(" + "|".join(LATE_EVENTS) + ")")
-    out = urls.select("url", lookup(prefix, LINK_FOLDERS).alias("kind"), F.when(late, year + 1).otherwise(year).alias("year"), F.regexp_replace(name, r"\.zip$", "").alias("code"))
-    return out.where("kind IS NOT NULL AND year IS NOT NULL").withColumn("target", F.concat_ws("/", "kind", F.col("year").cast("string"), "code"))
+    kind = lookup(prefix, LINK_FOLDERS)
+    written = F.when(prefix == _LONG_PREFIX, F.substring(name, 5, 4)).otherwise(F.substring(name, 4, 4))
+    late = name.isin(LATE_EVENTS)
+    year = F.when(late, (written.try_cast("int") + 1).cast("string")).otherwise(written)
+    named = urls.select("url", kind.alias("kind"), F.when(kind.isNotNull(), year).alias("_y"), F.when(late, F.regexp_replace(name, _MONTH, "")).otherwise(name).alias("code"))
+    return named.select("url", "kind", F.col("_y").try_cast("int").alias("year"), "code", F.concat_ws("/", "kind", "_y", "code").alias("target"))
 
 
 # ---- partitions and sinks ----

@@ -126,10 +126,15 @@ def scan_html_tables(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(_parse, schema)
 
 
-def table_columns(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Named columns from header and cells; a name absent in a table is null."""
-    cells = F.map_from_arrays(F.col("header"), F.slice(F.col("cells"), 1, F.size("header")))
-    return rows.select("page_id", "table_no", "title", "row_no", *[cells[n].alias(n) for n in names])
+def table_columns(rows: DataFrame, names: list[str], surplus: str | None = None) -> DataFrame:
+    """Named columns from header and cells; a name absent in a table, or a cell absent in a row, is null.
+
+    Of columns with one name the first is taken. ``surplus`` names a column for the cells
+    beyond the header.
+    """
+    cell = lambda n: F.get("cells", F.array_position("header", F.lit(n)).cast("int") - 1)
+    rest = F.when(F.size("cells") > F.size("header"), F.slice("cells", F.size("header") + 1, F.size("cells"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("page_id", "table_no", "title", "row_no", *[cell(n).alias(n) for n in names], *([rest.alias(surplus)] if surplus else []))
 
 
 # ---- GeoJSON ----

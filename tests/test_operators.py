@@ -191,7 +191,7 @@ def test_fits_recover_parameters(spark):
 
 def test_slots(spark):
     df = spark.createDataFrame([("c", "A", "10", "25,0%", None, "5", "12,5%", "A", "20", "50%", None, "5", "12,5%", None, "0", "0%")], "k string, N1 string, V1 string, S1 string, N2 string, V2 string, S2 string, N3 string, V3 string, S3 string, N4 string, V4 string, S4 string, N5 string, V5 string, S5 string")
-    merged = ballots.merge_labels(ballots.slots_to_long(df, ["k"], 5, "N", "V", "S"), ["k"])
+    merged = ballots.merge_labels(ballots.slots_to_long(df, ["k"], "N", "V", "S"), ["k"])
     got = {r["label"]: (r["votes"], r["share"]) for r in merged.collect()}
     assert got == {"A": (30.0, 75.0), "AUTRES_0": (5.0, 12.5), "AUTRES_1": (5.0, 12.5)}
 
@@ -277,6 +277,53 @@ def test_size_bins_partition_rows(spark):
 
 
 def test_link_layout(spark):
-    text = "https://h/pre2022csv.ziphttps://h/leg1871juilcsv.ziphttps://h/foo.pdfhttps://h/ref2005csp.zip"
-    got = {r["target"] for r in files.link_layout(spark.createDataFrame([(text,)], "t string"), "t").collect()}
-    assert got == {"presidentiel/2022/pre2022csv", "legislative/1872/leg1871juilcsv", "referendum/2005/ref2005csp"}
+    names = ["pres2022_csv.zip", "pres2017comm_csv.zip", "leg1871juil_csv.zip", "leg1946Nov_csv.zip", "leg1946Juin_csv.zip", "foo.pdf", "ref2005_csp.zip", "age2020csp.zip"]
+    text = "".join(f"https://h/{n}" for n in names)
+    got = {(r["kind"], r["year"], r["target"]) for r in files.link_layout(spark.createDataFrame([(text,)], "t string"), "t").collect()}
+    assert got == {
+        ("presidentiel", 2022, "presidentiel/2022/pres2022"),
+        ("presidentiel", 2017, "presidentiel/2017/pres2017comm"),
+        ("legislative", 1872, "legislative/1872/leg1871"),
+        ("legislative", 1947, "legislative/1947/leg1946"),
+        ("legislative", 1946, "legislative/1946/leg1946Juin"),
+        ("referendum", 2005, "referendum/2005/ref2005"),
+        (None, None, "age2020csp.zip"),
+    }
+
+
+def test_csv_tree_matches_columns_by_name(spark, tmp_path):
+    root = tmp_path / "in"
+    for year, text in {"2017": "code,votes_A,votes_B\n01,10,20\n", "2022/sub": 'code,votes_C,votes_A,"extra, x"\n01,7,5,99\n', "2023": "code,,code\n02,3,04\n"}.items():
+        (root / "pres" / year).mkdir(parents=True)
+        (root / "pres" / year / "f.csv").write_text(text)
+    files.csv_tree_to_parquet(spark, str(root), f"{tmp_path}/out")
+    got = {r["year"]: r.asDict() for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert [got[2017][c] for c in ("code", "votes_A", "votes_B", "votes_C", "source_file")] == ["01", "10", "20", None, "f.csv"]
+    assert [got[2022][c] for c in ("code", "votes_A", "votes_B", "votes_C", "extra, x", "source_file")] == ["01", "5", None, "7", "99", "sub/f.csv"]
+    assert [got[2023][c] for c in ("code", "_c1", "code.1")] == ["02", "3", "04"]
+
+
+def test_table_columns_of_uneven_rows(spark):
+    rows = [(1, 1, "t", ["A", "A", "", None, "B"], i, cells) for i, cells in enumerate([["a", "a2", "e", "n", "b"], ["a"], ["a", "a2", "e", "n", "b", "x", None]])]
+    df = spark.createDataFrame(rows, "page_id bigint, table_no int, title string, header array<string>, row_no int, cells array<string>")
+    got = [tuple(r)[4:] for r in pages.table_columns(df, ["A", "B", "", "C"], surplus="rest").orderBy("row_no").collect()]
+    assert got == [("a", "b", "e", None, []), ("a", None, None, None, []), ("a", "b", "e", None, ["x", None])]
+
+
+def test_slots_follow_the_columns(spark):
+    df = spark.createDataFrame([(1, *[x for i in range(1, 13) for x in (f"L{i}", str(i), "1")])], "k int, " + ", ".join(f"N{i} string, V{i} string, S{i} string" for i in range(1, 13)))
+    assert ballots.slots_to_long(df, ["k"], "N", "V", "S").count() == 12
+
+
+def test_kalman_weighs_the_polls_of_a_day(spark):
+    import datetime
+
+    day = datetime.date(2022, 1, 1)
+    df = spark.createDataFrame([("s", day, 40.0), ("s", day, 60.0), ("s", day + datetime.timedelta(1), None)], "s string, d date, v double")
+    got = polls.kalman_level(df, ["s"], "d", "v").orderBy("d").collect()
+    level, a = 100.0, 3.0
+    for z in (40.0, 60.0):  # one update for each poll
+        gain = a / (a + 100)
+        level, a = level + gain * (z - level), (1 - gain) * a
+    assert got[0]["level"] == pytest.approx(level)
+    assert got[1]["observed"] is None and got[1]["level"] == pytest.approx(got[0]["level"] + got[0]["slope"])
