@@ -150,6 +150,11 @@ def has_control_chars(c: Column | str) -> Column:
     return col(c).rlike("[\\x00-\\x1F\\x7F\\u200B-\\u200D\\uFEFF]")
 
 
+def stable_number(c: Column | str, seed: int = 42) -> Column:
+    """60 bits of the MD5 of key and seed: the same in every engine, and in every task computed anew."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", col(c).cast("string"), F.lit(seed)).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def stable_bucket(c: Column | str, buckets: int, seed: int = 42) -> Column:
-    """Bucket number that depends on the key alone, so that recomputed tasks agree."""
-    return F.pmod(F.xxhash64(col(c).cast("string"), F.lit(seed)), F.lit(buckets)).cast("int")
+    """Bucket number that depends on the key alone."""
+    return F.pmod(stable_number(c, seed), F.lit(buckets)).cast("int")

@@ -80,10 +80,15 @@ def _grid_sum(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"s": [_signed_pairs(g["bx"].to_numpy("float64"), g["by"].to_numpy("float64"), g["w"].to_numpy("float64"))]})
 
 
-def kendall(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
+#: Rows of one part of an order, at most on average, and the fewest parts.
+PART_ROWS, LEAST_PARTS = 50_000, 64
+
+
+def kendall(df: DataFrame, x: str, y: str, blocks: int | None = None) -> DataFrame:
     """Exact Kendall tau-b without comparing all pairs.
 
-    Rows are cut into ``blocks`` equal parts of the x order and of the y order. Pairs in
+    Rows are cut into ``blocks`` equal parts of the x order and of the y order, as many as
+    the rows ask for: more rows make more parts, not larger ones. Pairs in
     different parts of both follow from the counts of the grid of parts. Pairs inside one
     x part, or one y part, are counted there by divide and conquer, and those inside the
     same cell, counted twice, are subtracted. A single value that fills a part of its own
@@ -91,6 +96,7 @@ def kendall(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop("any")
     counted = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    blocks = blocks or max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
 
     def placed(frame: DataFrame, c: str) -> DataFrame:
         rungs = value_ladder(rows, [], c)
@@ -99,7 +105,7 @@ def kendall(df: DataFrame, x: str, y: str, blocks: int = 64) -> DataFrame:
         return frame.join(rungs.select(c, (2 * part + alone.cast("int")).alias(f"b{c}"), alone.alias(f"hot_{c}")), c)
 
     cells = placed(placed(counted, "x"), "y")
-    grid = cells.groupBy("bx", "by").agg(F.sum("w").cast("double").alias("w")).coalesce(1).mapInPandas(_grid_sum, "s double")
+    grid = cells.groupBy("bx", "by").agg(F.sum("w").cast("double").alias("w")).repartition(1).mapInPandas(_grid_sum, "s double")
     jobs = F.array(
         F.when(~F.col("hot_x"), F.struct(F.col("bx").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.lit(1.0).alias("sign"))),
         F.when(~F.col("hot_y"), F.struct(F.lit(-1).cast("bigint").alias("i"), F.col("by").alias("j"), F.lit(1.0).alias("sign"))),

@@ -136,13 +136,16 @@ def _folds(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_fold", stable_bucket(key, k, seed))
 
 
-def cross_validate(kind: str, train: DataFrame, features: list[str], label: str, key: str, grid: list[dict], folds: int = 3, parallelism: int = 4, seed: int = 42) -> tuple[dict, float]:
-    """Best parameter map by cross-validated rmse; the fold of a row is a hash of its key."""
+def cross_validate(kind: str, train: DataFrame, features: list[str], label: str, key: str, grid: list[dict], folds: int = 3, parallelism: int = 4, seed: int = 42, scale: bool = False) -> tuple[dict, float]:
+    """Best parameter map by cross-validated rmse; the fold of a row is a hash of its key.
+
+    The whole pipeline is fitted inside each fold, so a held-out fold moves neither means nor scales.
+    """
     rows = _folds(as_doubles(train, [*features, label]).where(F.col(label).isNotNull()), key, folds, seed)
-    prepared = Pipeline(stages=pipeline(kind, features, label).getStages()[:-1])
-    ready = prepared.fit(rows).transform(rows).select("features", label, "_fold").cache()
-    estimator = ESTIMATORS[kind](label)
-    maps = [{estimator.getParam(n): v for n, v in g.items()} for g in grid]
+    ready = rows.select(*features, label, "_fold").cache()
+    estimator = pipeline(kind, features, label, scale)
+    last = estimator.getStages()[-1]
+    maps = [{last.getParam(n): v for n, v in g.items()} for g in grid]
     cv = CrossValidator(
         estimator=estimator, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), numFolds=folds, foldCol="_fold", parallelism=parallelism
     )

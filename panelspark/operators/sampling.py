@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stable_bucket, stable_number
 from .ladder import attach, quantiles
 
 
 def stable_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in hash order: repeatable, and each task sends at most n rows on."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(stable_number(key, seed), key).limit(n)
 
 
 def stable_fraction(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """About ``fraction`` of the rows, decided by the key alone; no shuffle."""
     steps = 1_000_000
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(steps)) < int(fraction * steps))
+    return df.where(stable_bucket(key, steps, seed) < int(fraction * steps))
 
 
 def above_median(df: DataFrame, score: str, key: str, factor: float = 2.0, cap: int | None = None) -> DataFrame:

@@ -90,7 +90,7 @@ def _cell(long: Column, cells: Column) -> Column:
     return F.least(F.floor(east * cells / 360.0), cells - 1).cast("bigint")
 
 
-def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM, splits: int = 4, steps: int = 1, before: Column | None = None) -> DataFrame:
+def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long: str = "long", radius_km: float = EARTH_KM, split_rows: int = 500, steps: int = 1, before: Column | None = None) -> DataFrame:
     """Unordered pairs (key < key_dest) at most ``max_km`` apart with their distance.
 
     Latitude bands of a ``steps``-th of the radius and, inside each band, longitude cells
@@ -101,9 +101,10 @@ def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long:
     column of ``df`` comes along, with suffix ``_dest`` for the second row.
 
     ``before`` replaces key < key_dest where another total order is cheaper to test.
-    A crowded cell is shared out over ``splits`` keys: the probing row takes one by hash, the
-    home row is copied to all. The partition count is stated, because the inputs are small
-    against the work and would otherwise be merged into few tasks.
+    Cells are counted first: one with more than ``split_rows`` home rows is shared out over as
+    many keys as it asks for, the home row taking one by hash and the probing row meeting
+    all, so no key holds more. The partition count is stated, because the inputs
+    are small against the work and would otherwise be merged into few tasks.
     """
     angle = max_km / radius_km
     height = math.degrees(angle) / steps * (1 + 1e-9)
@@ -118,8 +119,10 @@ def pairs_within(df: DataFrame, key: str, max_km: float, lat: str = "lat", long:
     middle = _cell(F.col(long), cells)
     around = F.array_distinct(F.transform(F.sequence(middle - steps, middle + steps), lambda c: F.pmod(c, cells)))
     probe = probe.withColumn("_cell", F.explode(around))
-    probe = probe.withColumn("_split", F.pmod(F.hash(lat, long, key), F.lit(splits)))
-    home = home.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    crowded = home.groupBy("_band", "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(split_rows)).cast("int").alias("_splits")).where("_splits > 1")
+    splits = F.coalesce("_splits", F.lit(1))
+    home = home.join(crowded, ["_band", "_cell"], "left").withColumn("_split", F.pmod(F.hash(*[f"{c}_dest" for c in (lat, long, key)]), splits)).drop("_splits")
+    probe = probe.join(crowded, ["_band", "_cell"], "left").withColumn("_split", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_splits")
     on, tasks = ["_band", "_cell", "_split"], 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # haversine's h is a quarter of the squared chord: with unit vectors stored per row, a
     # candidate costs three products, and a kept pair one square root and one arc sine

@@ -96,6 +96,16 @@ def share_sql(n: str, d: str, digits: int | None = 2) -> str:
     return core if digits is None else f"round_even({core}, {digits})"
 
 
+def stable_sql(key: str, seed: int = 42) -> str:
+    """The number that ``stable_number`` gives a key."""
+    return f"CAST('0x' || substr(md5({key} || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+def part_sql(key: str) -> str:
+    b = f"({stable_sql(key)} % 10000)"
+    return f"CASE WHEN {b} < 2000 THEN 'test' WHEN {b} < 4000 THEN 'val' ELSE 'train' END"
+
+
 def r(c, digits: int = 6):
     """Rounded output column, so that summation order cannot show."""
     return F.round(F.col(c) if isinstance(c, str) else c, digits)

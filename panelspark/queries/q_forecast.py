@@ -12,7 +12,7 @@ from ..operators import aggregates, forecast, metrics, splits, windows
 from ..operators.ladder import pct_rank_avg
 from ..operators.models import baseline_mean, baseline_previous, row_weights
 from ..session import cut_lineage
-from .base import BLOCS, PANEL_SQL, REGION_SQL, panel, r, region_panel, stored_panel, table
+from .base import BLOCS, PANEL_SQL, REGION_SQL, panel, part_sql, r, region_panel, stored_panel, table
 from .q_windows import rank_sql
 from .registry import query
 
@@ -48,12 +48,12 @@ def _(spark, sf):
     return parts_union(splits.previous_events_split(history(spark, sf), "period", "kind", 2000, "BUILDING"))
 
 
-@query("m3_hashed_split")
+@query("m3_hashed_split", f"WITH {_PREV_SQL} SELECT entity, period, kind, {part_sql('entity')} AS part FROM h")
 def _(spark, sf):
-    return splits.hashed_split(history(spark, sf), "entity").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return splits.hashed_split(history(spark, sf), "entity").select("entity", "period", "kind", "part")
 
 
-@query("m3_split_by_year")
+@query("m3_split_by_year", f"WITH {_PREV_SQL} SELECT {part_sql('period')} AS part, period, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY 1, 2")
 def _(spark, sf):
     return splits.hashed_split(history(spark, sf), "period").groupBy("part", "period").agg(F.count(F.lit(1)).alias("n"))
 

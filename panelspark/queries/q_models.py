@@ -44,7 +44,7 @@ def _(spark, sf):
 @query("m9_elastic_net")
 def _(spark, sf):
     train, test = train_test(rows(spark, sf))
-    best, _ = models.cross_validate("linear", train, _FEATURES, "y", "key", models.grid_of(regParam=[0.01, 0.1], elasticNetParam=[0.5]), folds=3)
+    best, _ = models.cross_validate("linear", train, _FEATURES, "y", "key", models.grid_of(regParam=[0.001, 0.01, 0.1, 1.0], elasticNetParam=[0.0, 0.5, 1.0]), folds=3, scale=True)
     model = models.fit("linear", train, _FEATURES, "y", scale=True, **best)
     return models.predict(model, test, _FEATURES).select("entity", "period", "prediction")
 
@@ -52,14 +52,14 @@ def _(spark, sf):
 @query("m10_gradient_boosting")
 def _(spark, sf):
     train, test = train_test(rows(spark, sf))
-    model = models.fit("boosting", train.where("period < 1999"), _FEATURES, "y", val=train.where("period = 1999"), maxIter=5, maxDepth=3)
+    model = models.fit("boosting", train.where("period < 1999"), _FEATURES, "y", val=train.where("period = 1999"), maxIter=20, maxDepth=5)
     return models.predict(model, test, _FEATURES).select("entity", "period", "prediction")
 
 
 @query("m11_random_forest")
 def _(spark, sf):
     train, test = train_test(rows(spark, sf))
-    model = models.fit("forest", train, _FEATURES, "y", numTrees=10, maxDepth=4)
+    model = models.fit("forest", train, _FEATURES, "y", numTrees=100, maxDepth=10)
     return models.predict(model, test, _FEATURES).select("entity", "period", "prediction")
 
 
@@ -69,7 +69,7 @@ def _(spark, sf):
     labelled = cut_lineage(d.join(table(spark, sf, "labels"), "doc_id").withColumn("y", F.col("quality").cast("double")))
     parts = cut_lineage(splits.hashed_split(labelled, "doc_id"))
     names = ["n_chars", "digits", "words"]
-    model = models.fit("forest_class", parts.where("part <> 'test'"), names, "y", numTrees=10, maxDepth=4)
+    model = models.fit("forest_class", parts.where("part <> 'test'"), names, "y", numTrees=100, maxDepth=10)
     scored = cut_lineage(models.predict(model, parts.where("part = 'test'"), names).select("doc_id", "y", "prediction"))
     return aggregates.class_report(scored, "y", "prediction")
 
@@ -185,17 +185,21 @@ def _(spark, sf):
     return explain.shapley_importance([values], softmax=False)
 
 
-@query("x3_partial_dependence", f"{_FIT_SQL} SELECT CAST(g AS DOUBLE) AS at, round(a + b * g, 3) AS mean FROM f, (SELECT unnest([100000, 250000, 400000]) AS g)")
+#: Fifty points of the feature's axis.
+_GRID = [10_000.0 * i for i in range(1, 51)]
+
+
+@query("x3_partial_dependence", f"{_FIT_SQL} SELECT CAST(g AS DOUBLE) AS at, round(a + b * g, 3) AS mean FROM f, (SELECT unnest(range(10000, 510000, 10000)) AS g)")
 def _(spark, sf):
     df, model = linear_model(spark, sf)
-    out = explain.partial_dependence(lambda d: models.predict(model, d, ["y_prev"]), df, "key", "y_prev", [1e5, 2.5e5, 4e5])
+    out = explain.partial_dependence(lambda d: models.predict(model, d, ["y_prev"]), df, "key", "y_prev", _GRID)
     return out.select("at", r("mean", 3).alias("mean"))
 
 
-@query("x3_ice_curves", f"{_FIT_SQL} SELECT entity || '|' || period AS key, CAST(g AS DOUBLE) AS at, round(b * (g - 100000), 3) AS curve FROM x, f, (SELECT unnest([100000, 250000]) AS g)")
+@query("x3_ice_curves", f"{_FIT_SQL} SELECT entity || '|' || period AS key, CAST(g AS DOUBLE) AS at, round(b * (g - 10000), 3) AS curve FROM x, f, (SELECT unnest(range(10000, 510000, 10000)) AS g)")
 def _(spark, sf):
     df, model = linear_model(spark, sf)
-    out = explain.partial_dependence(lambda d: models.predict(model, d, ["y_prev"]), df, "key", "y_prev", [1e5, 2.5e5], ice=True)
+    out = explain.partial_dependence(lambda d: models.predict(model, d, ["y_prev"]), df, "key", "y_prev", _GRID, ice=True)
     return out.select("key", "at", r("curve", 3).alias("curve"))
 
 
@@ -203,7 +207,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = rows(spark, sf)
     model = models.fit("forest", df, ["y_prev", "size"], "y", numTrees=5, maxDepth=3)
-    return explain.local_effects(lambda d: models.predict(model, d, ["y_prev", "size"]), df, "key", "y_prev", 10)
+    return explain.local_effects(lambda d: models.predict(model, d, ["y_prev", "size"]), df, "key", "y_prev", 50)
 
 
 @query("s17_explanation_sink")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import has_control_chars
 from ..operators import ladder, reshape, sampling, windows
 from ..session import cut_lineage
-from .base import PANEL_SQL, REGION_SQL, panel, r, region_panel, stored_panel, table
+from .base import PANEL_SQL, REGION_SQL, panel, r, region_panel, stable_sql, stored_panel, table
 from .q_schema import GAP_YEARS, long_sql, yearly_wide
 from .registry import query
 
@@ -286,11 +286,16 @@ def _(spark, sf):
     return sampling.above_median(scores, "score", "l_partkey", 1.3, 45)
 
 
-@query("t4_stable_sample")
+@query("t4_stable_sample", f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {stable_sql('o_orderkey')}, o_orderkey LIMIT 500")
 def _(spark, sf):
     return sampling.stable_sample(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 500)
 
 
+@query("t4_stable_fraction", f"SELECT o_orderkey, o_custkey FROM orders WHERE {stable_sql('o_orderkey')} % 1000000 < 250000")
+def _(spark, sf):
+    return sampling.stable_fraction(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 0.25)
+
+
 @query("u1_union_same_schema", "SELECT o_orderkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT l_orderkey, l_extendedprice FROM lineitem")
 def _(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))

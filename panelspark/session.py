@@ -18,7 +18,7 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = 8, memory: str = "16g", app: str = "panelspark") -> SparkSession:
+def local_session(cores: int | str = 8, memory: str = "12g", app: str = "panelspark") -> SparkSession:
     """A local session for tests and the bench; on a cluster use the session you are given."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -48,12 +48,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder().name
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the application's file systems are closed."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Used where a table feeds several branches: it is then computed once, a lost executor
-    costs only a re-read, and the later plans start from files with known sizes.
+    costs only a re-read, and the later plans start from files with known sizes. The table
+    is deleted when the application ends.
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

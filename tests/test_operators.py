@@ -327,3 +327,60 @@ def test_kalman_weighs_the_polls_of_a_day(spark):
         level, a = level + gain * (z - level), (1 - gain) * a
     assert got[0]["level"] == pytest.approx(level)
     assert got[1]["observed"] is None and got[1]["level"] == pytest.approx(got[0]["level"] + got[0]["slope"])
+
+
+def test_column_helpers(spark):
+    from panelspark.functions import binning
+
+    df = spark.createDataFrame([(1, 2.0, 3.0, 4.0, 5.0)], "size int, F_raw_a double, F_rank_a double, lat double, previousy double")
+    assert schema.feature_groups(df, "previousy", ["rank", "raw", "geo", "previous_vote", "none"]) == ["F_rank_a", "F_raw_a", "lat", "long", "previousy"]
+    assert schema.feature_names(["raw", "rank"], ["s/a", "s/b"]) == ["F_raw_s/a", "F_raw_s/b", "F_rank_s/a", "F_rank_s/b"]
+    assert schema.shared_columns(df.select("size", "lat"), df.select("lat", "previousy")) == (["lat"], ["previousy", "size"])
+    assert df.where(schema.all_of([F.col("size") == 1, F.col("lat") == 4])).count() == 1
+    assert binning.equal_width_edges(0, 10, 5) == [0, 2, 4, 6, 8, 10]
+    assert binning.log_edges(1, 1000, 3) == pytest.approx([1, 10, 100, 1000])
+    assert len(binning.distance_edges()) == 299 and binning.distance_edges()[0] == 3.33
+    assert [tuple(r) for r in reshape.melt(df, ["size"], ["lat", "previousy"]).collect()] == [(1, "lat", 4.0), (1, "previousy", 5.0)]
+
+
+def test_bin_bounds_cover_the_axis(spark):
+    rows = spatial.bin_bounds(spark, [1.0, 3.0]).orderBy("distance_bin").collect()
+    assert [tuple(r) for r in rows] == [(0, 0.0, 1.0, 0.5), (1, 1.0, 3.0, 2.0), (2, 3.0, float("inf"), float("inf"))]
+
+
+def test_fraction_and_finite(spark):
+    from panelspark.operators import quality, sampling
+
+    ids = spark.range(20_000)
+    part = sampling.stable_fraction(ids, "id", 0.25)
+    assert 4_600 < part.count() < 5_400
+    assert sampling.stable_fraction(ids.repartition(7), "id", 0.25).exceptAll(part).isEmpty()
+    good = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    assert quality.require_finite(good, ["v"]) is good
+    with pytest.raises(quality.ExpectationError):
+        quality.require_finite(good.unionByName(spark.createDataFrame([(float("nan"),)], "v double")), ["v"])
+
+
+def test_kendall_makes_more_parts_of_more_rows(spark, monkeypatch):
+    from panelspark.operators import metrics
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 40, 600)
+    y = x + rng.integers(0, 30, 600)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(600) for j in range(i))
+    n = 600 * 599 / 2
+    ties = [sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1]) for v in (x, y)]
+    want = s / np.sqrt((n - ties[0]) * (n - ties[1]))
+    for part_rows, least in ((50_000, 64), (3, 1), (600, 1)):
+        monkeypatch.setattr(metrics, "PART_ROWS", part_rows)
+        monkeypatch.setattr(metrics, "LEAST_PARTS", least)
+        assert metrics.kendall(df, "x", "y").first()["kendall"] == pytest.approx(want)
+
+
+def test_crowded_cells_are_split_by_their_size(spark):
+    rng = np.random.default_rng(6)
+    spots = [(i, 48 + float(a), 2 + float(b)) for i, (a, b) in enumerate(rng.normal(0, 0.002, (150, 2)))] + [(1000 + i, 40 + float(a), 5.0) for i, a in enumerate(rng.normal(0, 0.5, 30))]
+    df = spark.createDataFrame(spots, "k bigint, lat double, long double")
+    pairs = lambda n: {(r["k"], r["k_dest"]) for r in spatial.pairs_within(df, "k", 10.0, split_rows=n).collect()}
+    assert pairs(4) == pairs(10_000) and len(pairs(4)) >= 150 * 149 / 2
