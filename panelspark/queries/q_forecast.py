@@ -243,7 +243,7 @@ _ERR_SQL = (
 
 def errors(spark, sf):
     pred = prediction(spark, sf).where("period = 2000")
-    return forecast.error_table(pred, truth(spark, sf), "entity", _COLS, check=False)
+    return forecast.error_table(pred, truth(spark, sf), "entity", _COLS)
 
 
 @query("v5_error_table", f"WITH {_ERR_SQL} SELECT entity, {', '.join(f'round({c}_diff, 8) AS {c}_diff' for c in _COLS)} FROM err")

@@ -144,13 +144,13 @@ def _(spark, sf):
 def _(spark, sf):
     # places of some regions are known in part only, so that the region mean is needed
     known = places(spark, sf).where("region % 5 <> 0 OR lat > 45").drop("region")
-    out = correlation.logit_field(event_rows(spark, sf), known, "share_g", 5)
+    out = correlation.logit_field(event_rows(spark, sf), known, "share_g", 5, check=True)
     return out.select("event", "entity", "size", *[r(c).alias(c) for c in ("p", "p_alpha", "tau", "lat", "long")])
 
 
 _CORR_EDGES = [25.0 * i for i in range(1, 9)]
-_CORR_SQL = (
-    f"{_FIELD_SQL}, n AS (SELECT event, greatest(2, count(*) // 200) AS b FROM g GROUP BY event), "
+_CORR_STEPS = (
+    ", n AS (SELECT event, greatest(2, count(*) // 200) AS b FROM g GROUP BY event), "
     "s AS (SELECT event, size AS v, row_number() OVER (PARTITION BY event ORDER BY size) - 1 AS k, count(*) OVER (PARTITION BY event) AS c FROM g), "
     "i AS (SELECT event, unnest(range(1, b)) AS i, b FROM n), "
     "e AS (SELECT DISTINCT i.event, round_even(lo.v + (hi.v - lo.v) * ((lo.c - 1) * i / b - floor((lo.c - 1) * i / b)), 0) AS edge FROM i "
@@ -163,6 +163,13 @@ _CORR_SQL = (
 )
 
 
+_CORR_SQL = _FIELD_SQL + _CORR_STEPS
+_MEASURES_SQL = (
+    f"WITH {PANEL_SQL}, {PLACES_SQL}, f AS (SELECT m || '|' || period AS event, panel.entity, size, CASE m WHEN 'turnout' THEN participants / size ELSE coalesce(vote_g / nullif(valid, 0), 0.2) END AS p, lat, long "
+    f"FROM panel JOIN places USING (entity), (SELECT unnest(['turnout', 'share_g']) AS m)), g AS (SELECT *, {_TAU_SQL} AS p_alpha, ln(({_TAU_SQL}) / (1 - ({_TAU_SQL}))) AS tau FROM f)"
+) + _CORR_STEPS
+
+
 def correlation_rows(spark, sf):
     known = places(spark, sf).drop("region")
     return correlation.correlation_job(event_rows(spark, sf), known, "turnout", _CORR_EDGES, 0, 200)
@@ -195,10 +202,13 @@ def _(spark, sf):
     return out.select("event", F.col("distance_bin").cast("bigint").alias("distance_bin"), "pairs", r("c_tau").alias("c_tau"))
 
 
-@query("g6_correlation_of_measures")
+@query(
+    "g6_correlation_of_measures",
+    f"{_MEASURES_SQL} SELECT split_part(event, '|', 1) AS measure, split_part(event, '|', 2) AS event, CAST(distance_bin AS BIGINT) AS distance_bin, pairs, round(c_tau, 6) AS c_tau FROM corr",
+)
 def _(spark, sf):
     out = correlation.correlation_of_measures(event_rows(spark, sf), places(spark, sf).drop("region"), {"turnout": 0, "share_g": 5}, _CORR_EDGES, 200)
-    return out.withColumn("c_tau", r("c_tau"))
+    return out.select("measure", "event", F.col("distance_bin").cast("bigint").alias("distance_bin"), "pairs", r("c_tau").alias("c_tau"))
 
 
 @query(
