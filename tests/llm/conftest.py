@@ -1,10 +1,6 @@
-import re
-
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SPACED = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 LONG = "the quick brown fox jumps over the lazy dog and runs away from it " * 400
 EDGES = [
@@ -40,7 +36,3 @@ def edges(spark):
 @pytest.fixture(scope="session")
 def empty(given):
     return given.limit(0)
-
-
-def words(text):
-    return SPACED.findall((text or "").translate(LOWER))

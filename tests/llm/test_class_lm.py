@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import words
+from plain import words
 from pyspark.sql import functions as F
 
 from panelspark.llm import class_lm, queries

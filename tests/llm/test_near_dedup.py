@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import words
+from plain import words
 
 from panelspark.llm import chosen_path, graph, queries
 from panelspark.llm.words import words_of

@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from conftest import LOWER
+from plain import LOWER
 
 from panelspark.llm import decontam, queries, secrets_zstd
 
