@@ -26,6 +26,11 @@ HEADLINE = [
     "v6_synthetic_report",
     "v12_cleaned_events",
     "m9_linear_regression",
+    "m18_kendall",
+    "x1_permutation_importance",
+    "m13_nested_ensemble",
+    "m20_backtest_grid",
+    "v12_assembled_panel",
 ]
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +60,47 @@ def target_frame(df: DataFrame, target: str, mode: str, features: list[str], met
     return filled.where(F.col(y).isNotNull()).select(*meta, *features, F.col(y).alias("y"), F.col(y_prev).alias("y_prev"))
 
 
-def correlated_to_drop(df: DataFrame, features: list[str], threshold: float = 0.95, absolute: bool = False) -> list[str]:
-    """Features that correlate above the threshold with an earlier one.
+def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
+    """Pearson correlations of all pairs of features over the rows where both are given.
 
-    All pairwise correlations come from one aggregation; only that row reaches the driver.
+    Tasks add up products of the centred values, their squares and their presence; one task
+    adds the sums as they come, so a matrix of (3 k)² numbers is all that moves.
     """
-    pairs = [(a, b) for i, b in enumerate(features) for a in features[:i]]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
-    hit = lambda v: v is not None and (abs(v) if absolute else v) > threshold
-    return [b for b in features if any(hit(row[str(i)]) for i, (_, second) in enumerate(pairs) if second == b)]
+    row = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    middle, k = np.array([0.0 if m is None else m for m in row]), len(features)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3 * k, 3 * k))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float) - middle
+            given = ~np.isnan(x)
+            x = np.where(given, x, 0.0)
+            wide = np.hstack([given, x, x * x])
+            total += wide.T @ wide
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(9 * k * k)
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                total += np.frombuffer(part)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    numbers = df.select(*[F.col(f).cast("double") for f in features])
+    sums = numbers.mapInArrow(products, "part binary").repartition(1).mapInArrow(added, "part binary").first()[0]
+    g = np.frombuffer(sums).reshape(3, k, 3, k).swapaxes(1, 2)
+    n, x, xx, xy = g[0, 0], g[1, 0], g[2, 0], g[1, 1]  # by (i, j): rows with both, sums of i, of its squares, of products
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (xy - x * x.T / n) / np.sqrt((xx - x * x / n) * (xx - x * x / n).T)
+
+
+def correlated_to_drop(df: DataFrame, features: list[str], threshold: float = 0.95, absolute: bool = False) -> list[str]:
+    """Features that correlate above the threshold with an earlier one; all pairs come from one pass."""
+    if len(features) < 2:
+        return []
+    r = correlation_matrix(df, features)
+    hit = (np.abs(r) if absolute else r) > threshold
+    return [f for i, f in enumerate(features) if hit[i, :i].any()]
 
 
 def stationary_features(features: list[str], keep_previous: bool = True) -> list[str]:

@@ -384,3 +384,17 @@ def test_crowded_cells_are_split_by_their_size(spark):
     df = spark.createDataFrame(spots, "k bigint, lat double, long double")
     pairs = lambda n: {(r["k"], r["k_dest"]) for r in spatial.pairs_within(df, "k", 10.0, split_rows=n).collect()}
     assert pairs(4) == pairs(10_000) and len(pairs(4)) >= 150 * 149 / 2
+
+
+def test_correlations_are_those_of_complete_pairs(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(1e6, 3, 300)
+    pdf = pd.DataFrame({"a": base, "b": base * 2 + rng.normal(0, 0.1, 300), "c": rng.normal(0, 1, 300), "d": -base, "e": 5.0})
+    pdf.loc[rng.integers(0, 300, 40), "b"] = np.nan
+    pdf.loc[rng.integers(0, 300, 60), "c"] = np.nan
+    df = spark.createDataFrame([[None if x != x else float(x) for x in row] for row in pdf.to_numpy()], "a double, b double, c double, d double, e double").repartition(5)
+    got, want = splits.correlation_matrix(df, list(pdf.columns)), pdf.corr().to_numpy()
+    assert np.allclose(got[:4, :4], want[:4, :4], atol=1e-9) and not (np.abs(got[4]) > 0).any()
+    assert splits.correlated_to_drop(df, list("abcde")) == ["b"]
+    assert splits.correlated_to_drop(df, list("abcde"), absolute=True) == ["b", "d"]
+    assert splits.correlated_to_drop(df, ["a"]) == []
