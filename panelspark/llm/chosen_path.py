@@ -39,7 +39,7 @@ TREES, DEPTH = 16, 4
 #: Classes of a node that are compared with each other; larger nodes branch on.
 NODE_LIMIT = 64
 #: Classes, and shingles in all, that one block of a cluster holds on average.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 3_000_000
 #: Classes, about, that all blocks of a cluster share.
 HUBS = 16
 #: Standard deviations that the agreement of two sketches may stay under its mean at the threshold.
