@@ -37,7 +37,7 @@ from .words import mix, words_of
 FREQUENT, SPELLINGS, CLASSES, SWEEPS = 1 << 16, 1 << 14, 32, 2
 UNITS = FREQUENT + SPELLINGS
 #: Units of one block of the counts, and tokens that a task counts at once.
-BLOCK, HELD = 1024, 2_000_000
+BLOCK, HELD = 1024, 1_000_000
 END = np.uint64(0xE5D0000000000001)
 
 
@@ -124,19 +124,14 @@ def neighbour_classes(training: DataFrame, vocabulary: Vocabulary, classes: np.n
                 yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], names=["block", "part"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(UNITS * width, np.int64), [], 0
+        total = np.zeros(UNITS * width, np.int32)
         end = vocabulary.look_up(Tokens(np.array([END]), np.array([0]), np.array([0])))[0]
         for whole in batches:
             for batch in slices(whole):
                 unit = np.concatenate([end, vocabulary.look_up(tokens_of(raw_texts(batch)))[0]])
                 own = classes[unit].astype(np.int64)
-                held += [unit[:-1] * width + own[1:], unit[1:] * width + CLASSES + own[:-1]]
-                size += len(unit)
-                if size >= HELD:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
+                np.add.at(total, unit[:-1] * width + own[1:], 1)
+                np.add.at(total, unit[1:] * width + CLASSES + own[:-1], 1)
         yield from blocks(total.reshape(UNITS, width))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +139,8 @@ def neighbour_classes(training: DataFrame, vocabulary: Vocabulary, classes: np.n
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for block, part in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist()):
-                got = np.frombuffer(unpack(part), np.int64)
-                sums[block] = sums[block] + got if block in sums else got
+                got = np.frombuffer(unpack(part), np.int32)
+                sums[block] = sums[block] + got if block in sums else got.astype(np.int64)
         pack = zstandard.ZstdCompressor(level=1).compress
         for block, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(total.tobytes())], pa.binary())], names=["block", "part"])
@@ -153,7 +148,7 @@ def neighbour_classes(training: DataFrame, vocabulary: Vocabulary, classes: np.n
     kind = "block int, part binary"
     summed = training.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind)
     out = np.zeros((UNITS, width), np.int64)
-    for block, part in summed.toLocalIterator():
+    for block, part in summed.collect():  # UNITS / BLOCK rows, compressed
         got = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(part)), np.int64).reshape(-1, width)
         out[block * BLOCK : block * BLOCK + len(got)] = got
     return out
