@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BEYOND_LATIN1, latin1_pattern, schema_with, slices, texts, with_column
+from .common import BEYOND_LATIN1, latin1_pattern, resident, schema_with, slices, texts, with_column
 
 #: Pieces whose ids a worker keeps.
 KEPT_PIECES = 1 << 17
@@ -44,7 +44,6 @@ def byte_characters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -61,7 +60,6 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
     return parts[0], parts[1]
 
 
-@lru_cache(maxsize=2)
 def library_tokenizer(path: str):
     """A tokenizers object that merges one piece by the ranks of the file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -96,7 +94,7 @@ class Pieces(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.library = library_tokenizer(path)
+        self.library, self.begins = library_tokenizer(path), byte_table(path)[1]
 
     def learn(self, pieces: set[str]) -> None:
         new = list(pieces.difference(self))
@@ -108,14 +106,9 @@ class Pieces(dict):
             self[piece] = pack(f"<{len(ids)}i", *ids)
 
 
-@lru_cache(maxsize=2)
-def kept_pieces(path: str) -> Pieces:
-    return Pieces(path)
-
-
 def encode_texts(values: list[str], path: str, pattern: str) -> list[np.ndarray]:
     """The ids of each text."""
-    split, known = splitter(pattern), kept_pieces(path)
+    split, known = splitter(pattern), resident(Pieces, path)
     cut = [split(v) for v in values]
     known.learn(set(chain.from_iterable(cut)))
     return [np.frombuffer(b"".join(map(known.__getitem__, own)), np.int32) for own in cut]
@@ -123,7 +116,7 @@ def encode_texts(values: list[str], path: str, pattern: str) -> list[np.ndarray]
 
 def character_offsets(text: str, ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The code points [start, end) of each token; tokens that share a split character all carry it whole."""
-    _, begins = byte_table(path)
+    begins = resident(Pieces, path).begins
     ends = np.cumsum(begins[ids + 1] - begins[ids])
     starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
     character = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1
@@ -152,7 +145,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     return docs.mapInArrow(run, schema_with(docs, "ids array<int>", *(["starts array<int>", "ends array<int>"] if offsets else [])))
 
 
-@lru_cache(maxsize=2)
 def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """All tokens' bytes in one array, and where each id's bytes begin."""
     ranks = read_ranks(path)
@@ -164,7 +156,7 @@ def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def decode_ids(flat: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
     """Binary values of the id lists that ``ends`` marks in ``flat``."""
-    table, begins = byte_table(path)
+    table, begins = resident(byte_table, path)
     first, size = begins[flat], begins[flat + 1] - begins[flat]
     out = np.cumsum(np.concatenate([[0], size]))
     where = np.arange(out[-1]) + np.repeat(first - out[:-1], size)

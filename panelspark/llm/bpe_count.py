@@ -15,14 +15,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import byte_characters
-from .common import BEYOND_LATIN1, latin1_pattern, schema_with, slices, texts, with_column
+from .common import BEYOND_LATIN1, latin1_pattern, resident, schema_with, slices, texts, with_column
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -95,16 +94,11 @@ class PieceCounts(dict):
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
-@lru_cache(maxsize=2)
-def piece_counts(path: str) -> PieceCounts:
-    return PieceCounts(path)
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
     """Append ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = piece_counts(path)
+        counts = resident(PieceCounts, path)
         for whole in batches:
             for batch in slices(whole, text):
                 values = texts(batch, text)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_resident: list = []
+
+
+def resident(build: Callable[..., Any], *args: Any) -> Any:
+    """What ``build(*args)`` gives, kept by a worker until it needs another model.
+
+    Workers serve one operator after the other; each holds one model at a time.
+    """
+    if not _resident or _resident[0] != (build, args):
+        forget()
+        _resident[:] = [(build, args), build(*args)]
+    return _resident[1]
+
+
+def forget() -> None:
+    """Give up the model that this worker holds, and the memory that Arrow keeps."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text falls into the fold; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

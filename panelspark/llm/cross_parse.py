@@ -7,7 +7,7 @@ counts of the words it met. Counts are normalised: times the bits that name a pl
 sample, per letter of the text. Ties go to the language that comes first.
 
 The automata are fitted on a bounded sample: of each language the ``SAMPLE_DOCS`` documents
-with the smallest hash of their id, up to ``SAMPLE_CHARS`` letters over all languages together. Every
+with the smallest hash of their id, ``SAMPLE_TEXT`` code points of each, up to ``SAMPLE_CHARS`` letters over all languages together. Every
 text is judged whole. A null text or one without letters is ``und`` with score 0; so is every text
 if nothing is labelled. The score is the winner's share of the weights that the languages'
 normalised counts give. Rows are independent; the input's columns stay, and one named like an
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BEYOND_LATIN1, latin1_pattern, schema_with, slices, with_column
+from .common import BEYOND_LATIN1, latin1_pattern, resident, schema_with, slices, with_column
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 1_200_000
+#: Code points of one sampled text that the fit reads. Texts to be judged are read whole.
+SAMPLE_TEXT = 20_000
 #: Words whose phrase counts a worker keeps.
 KEPT_WORDS = 1 << 17
 #: How fast a language's weight falls with its bits per letter above the best.
@@ -141,11 +143,6 @@ class Parser(dict):
         return self.langs[best], 1 / sum(2 ** (SHARPNESS * (rates[best] - r)) for r in rates)
 
 
-@lru_cache(maxsize=2)
-def parser(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Parser:
-    return Parser(samples)
-
-
 def samples(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
     """For each language the distinct words of its sample, within the stated bounds.
 
@@ -155,7 +152,7 @@ def samples(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
     chosen = named.select(doc_id, lang).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select(doc_id).distinct()
     ids = [r[0] for r in chosen.collect()]
-    rows = named.filter(F.col(doc_id).isin(ids)).select(lang, doc_id, text).toLocalIterator() if ids else []
+    rows = named.filter(F.col(doc_id).isin(ids)).select(lang, doc_id, F.substring(text, 1, SAMPLE_TEXT)).collect() if ids else []
     found: dict[str, list[tuple]] = {}
     for row in rows:
         found.setdefault(row[0], []).append((row[1], row[2]))
@@ -178,7 +175,7 @@ def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
     known = samples(labelled, doc_id, text, lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = parser(known).judge
+        judge = resident(Parser, known).judge
         for whole in batches:
             for batch in slices(whole, text):
                 found = [judge(t) for t in batch.column(text).to_pylist()]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SPACE, raw_texts, schema_with, slices, with_column
+from .common import SPACE, forget, raw_texts, schema_with, slices, with_column
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -187,6 +187,7 @@ def _indexed(limit: int | None):
     """Fold rows (digest, n, length, keep_id) through an index, sending it on whenever it holds ``limit`` keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         index = CuckooIndex()
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "length", "keep_id"))):

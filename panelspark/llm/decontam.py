@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import raw_texts, schema_with, slices, with_column
+from .common import raw_texts, resident, schema_with, slices, with_column
 
 WINDOW = 13
 BLOCK_WORDS = 400_000
@@ -73,15 +72,10 @@ class Scanner:
         return len(own), runs, items
 
 
-@lru_cache(maxsize=1)
-def scanner(items: tuple[tuple[str | None, bytes], ...], window: int) -> Scanner:
-    return Scanner(items, window)
-
-
 def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[tuple[tuple[str | None, bytes], ...]]:
     """The items in blocks of at most ``limit`` bytes of text (an item is never cut)."""
     out, size = [[]], 0
-    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).distinct().orderBy(item, text).toLocalIterator():
+    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).distinct().coalesce(4).toLocalIterator():
         raw = (row[1] or "").encode()
         if size and size + len(raw) > limit:
             out.append([])
@@ -107,7 +101,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
     def passing(items: tuple, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = scanner(items, window)
+            known = resident(Scanner, items, window)
             for whole in batches:
                 for batch in slices(whole, text):
                     n, runs, ids, spans = [], [], [], []

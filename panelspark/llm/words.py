@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .common import SPACE
+from .common import SPACE, forget
 
 #: Bytes that are hashed at once; a chunk ends at white space, so a longer word makes a longer one.
 CHUNK = 1 << 20
@@ -67,6 +67,7 @@ def words_of(raws: list[bytes]) -> Words:
 
     ``heads`` and ``tails`` are codes of the first two and the last three bytes of each word.
     """
+    forget()
     data = b" ".join([*raws, b""]).lower()
     found: list[tuple[np.ndarray, ...]] = []
     for a, b in _chunks(data):
@@ -100,6 +101,7 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def key_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of the rows of one key each, of batches in which equal keys stand together."""
+    forget()
     pending: list[pa.RecordBatch] = []
     last = None
     for batch in batches:

@@ -76,7 +76,7 @@ def test_query_gives_the_contract(spark, given):
 
 
 def test_counts_are_the_librarys(edges, empty):
-    t, counts = Tokenizer.from_file(COUNTED), bpe_count.piece_counts(COUNTED)
+    t, counts = Tokenizer.from_file(COUNTED), bpe_count.PieceCounts(COUNTED)
     for text in odd_texts(1500, 5):
         assert counts.of(text) == len(t.encode(text, add_special_tokens=False).ids), repr(text)
     for r in bpe_count.count_tokens(edges, COUNTED, 10).collect():
