@@ -32,7 +32,7 @@ SAMPLE_CHARS = 1_200_000
 #: Code points of one sampled text that the fit reads. Texts to be judged are read whole.
 SAMPLE_TEXT = 20_000
 #: Words whose phrase counts a worker keeps.
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 1 << 16
 #: How fast a language's weight falls with its bits per letter above the best.
 SHARPNESS = 8.0
 
