@@ -68,12 +68,12 @@ def super_windows(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         since = np.arange(len(names)) - np.repeat(first, np.diff(np.append(first, len(names))))
         first = np.flatnonzero(new | (since % LONGEST == 0))
     last = np.append(first[1:], len(names)) - 1
-    # a name that stands twice within the reach of one window can make windows of one run equal
+    # a name that stands twice within the reach of one window, or of two next to each other, can make windows of one run equal
     high = (hashes >> np.uint64(32)).astype(np.uint32)
     pad = np.zeros(width - 1, np.uint32)
     chosen = np.flatnonzero(sliding(np.concatenate([pad, (names >> np.uint64(32)).astype(np.uint32), pad]), width, np.maximum) == high)
     value = hashes[chosen]
-    near = value[1:][(value[1:] == value[:-1]) & (np.diff(chosen) < width)]
+    near = value[1:][(value[1:] == value[:-1]) & (np.diff(chosen) <= width)]
     inner = np.isin(names[first], near) if len(near) else np.zeros(len(first), bool)
     string = mix(substring_hashes(sums, down, first, last + length) + (last - first).astype(np.uint64))
     return names[first].view(np.int64), string.view(np.int64), first, last, inner

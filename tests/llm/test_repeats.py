@@ -67,3 +67,12 @@ def test_edges(edges, empty):
 def test_query_matches_brute_force(spark, given):
     got = sorted((tuple(r) for r in queries.op6_repeat_removal(spark, "/root/testdata/sf0.001").collect()), key=repr)
     assert got == brute([(r["doc_id"], r["text"]) for r in given.collect()])
+
+
+def test_repeats_inside_one_text_by_period(spark):
+    rnd = random.Random(9)
+    line = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = [(p, line(90) + line(p) * 7 + line(90)) for p in range(130, 146)]
+    rows += [(1000 + n, line(136) * 3 + line(n)) for n in range(3)] + [(2000, (line(136) + "\n") * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert shown(suffix_dedup.remove_repeats(df)) == brute(rows)
