@@ -2,9 +2,10 @@
 
 The base kinds are patterns. The method adds spans of kind ``novel``: a long string of key
 characters with letters and digits, close after a sensitive word and outside the base spans,
-whose marginal compressed size is nearly its own length although the compressor is primed
-with a dictionary of common identifiers and the text around the string. What the surrounding
-code or the dictionary explains compresses and is left alone.
+whose marginal compressed size is nearly that of random characters of its alphabet although the
+compressor is primed with a dictionary of common identifiers and the text around the string.
+What the surrounding code or the dictionary explains compresses and is left alone; that holds
+for a string that stands there itself, too. Strings are judged to their end, however long.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are
 independent; the input's columns stay, and one named like an output is replaced.
@@ -12,8 +13,11 @@ independent; the input's columns stay, and one named like an output is replaced.
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,11 +43,18 @@ IDENTIFIERS = (
 ).encode()
 
 KINDS = ("assign", "access", "hex", "novel")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 #: Code points between a sensitive word and the candidate, and around a candidate as its context.
 NEAR, AROUND = 48, 256
-#: Marginal bytes per byte from which a string counts as novel.
+#: Marginal bytes per byte of random characters from which a string counts as novel.
 NOVELTY = 0.9
+#: Sets of characters that a random string draws from; the first that holds a string's letters and digits is taken.
+_HEX = (string.digits + "abcdef", string.digits + "ABCDEF")
+_BASE32 = ("234567" + string.ascii_lowercase, "234567" + string.ascii_uppercase)
+ALPHABETS = tuple(frozenset(a) for a in (*_HEX, *_BASE32, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.digits + string.ascii_letters))
+#: Characters of random strings that are compressed at most; the size of longer ones is in proportion.
+DRAWN = 1 << 14
 
 Span = tuple[str, int, int]
 
@@ -67,14 +78,53 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _size(raw: bytes, primed=None) -> int:
+    """Compressed bytes beyond those of nothing."""
+    import zstandard
+
+    size = lambda data: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False).compress(data))
+    return size(raw) - size(b"")
+
+
+@lru_cache(1 << 12)
+def _random_size(alphabet: str, n: int) -> int:
+    return _size("".join(random.Random(n).choices(alphabet, k=n)).encode())
+
+
+def random_size(candidate: str) -> float:
+    """Compressed bytes of random characters of the candidate's alphabet and length."""
+    used = set(candidate)
+    plain = {c for c in used if c.isalnum()}
+    alphabet = "".join(sorted(next(a for a in ALPHABETS if plain <= a) | used))
+    n = min(len(candidate), DRAWN)
+    return _random_size(alphabet, n) * len(candidate) / n
+
+
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Marginal compressed bytes per byte, given identifiers and the text around."""
+    """Marginal compressed bytes, given identifiers and the text around, per byte of random characters alike."""
     import zstandard
 
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + after.encode() + b" " + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    size = lambda data: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False).compress(data))
-    raw = candidate.encode()
-    return (size(raw) - size(b"")) / len(raw)
+    return _size(candidate.encode(), primed) / random_size(candidate)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of key strings with letters and digits that start close after a sensitive word, for each word.
+
+    A run of key characters that many words stand in is read once.
+    """
+    run_end = digit = letter = 0
+    for word in SENSITIVE.finditer(text):
+        at, limit = word.end(), word.end() + NEAR
+        while (m := CANDIDATE.search(text, at, limit + LEAST)) and m.start() <= limit:
+            start = m.start()
+            if start >= run_end:
+                run_end = CANDIDATE.match(text, start).end()
+                digit = max(text.rfind(c, start, run_end) for c in string.digits)
+                letter = max(text.rfind(c, start, run_end) for c in string.ascii_letters)
+            if digit >= start and letter >= start:
+                yield start, run_end
+            at = run_end
 
 
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
@@ -82,17 +132,12 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
     if not any(h in low for h in HINTS):
         return []
     found, done = [], 0
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), word.end() + NEAR + 4096):
-            start, end = m.span()
-            if start > word.end() + NEAR:
-                break
-            value = m[0]
-            if start < done or not re.search("[0-9]", value) or not re.search("[A-Za-z]", value) or any(a < end and start < b for _, a, b in base):
-                continue
-            done = end
-            if novelty(value, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY:
-                found.append(("novel", start, end))
+    for start, end in candidates(text):
+        if start < done or any(a < end and start < b for _, a, b in base):
+            continue
+        done = end
+        if novelty(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY:
+            found.append(("novel", start, end))
     return found
 
 

@@ -1,7 +1,9 @@
 """Decontamination and secret scans against plain scans."""
 
 import hashlib
+import random
 import re
+import string
 
 from plain import LOWER
 
@@ -106,6 +108,24 @@ def test_novel_strings_are_reported_and_plain_ones_left():
         assert secrets_zstd.novel_spans(clean, []) == []
 
 
+def test_long_random_strings_are_novel_whatever_their_alphabet():
+    rnd = random.Random(4)
+    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    for alphabet in (digits + "ABCDEF", upper + "234567", lower + digits, upper + lower + digits + "+/"):
+        head = "A7" if "A" in alphabet else "a7"
+        for n in (20, 40, 64, 65, 100, 128, 344, 512, 4000, 4145, 30_000, 150_000):
+            for _ in range(8 if n < 5000 else 2):
+                key = head + "".join(rnd.choice(alphabet) for _ in range(n - 2))
+                text = f"Authorization: Bearer {key}\nnext line"
+                assert secrets_zstd.novel_spans(text, []) == [("novel", 22, 22 + n)], (n, alphabet)
+
+
+def test_long_strings_that_explain_themselves_are_left():
+    for value in ("a1" * 300, "0" * 200 + "x1", "the_default_value_of_the_connection_1_" * 20, "ABCDEF0123456789" * 40, "com.example.service.settings.password.encoding.default.handler.configuration.version2"):
+        assert secrets_zstd.novel_spans(f"the secret is {value} here", []) == [], value
+    assert secrets_zstd.novel_spans("token" * 200_000, []) == []
+
+
 def test_query_has_all_base_spans(spark, given):
     got = {r["doc_id"]: r for r in queries.op9_secret_scan(spark, SF).collect()}
     for r in given.collect():
