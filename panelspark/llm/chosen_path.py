@@ -12,8 +12,9 @@ misses them all with probability (1 - 0.85) ** 16, about 1e-13, where its nodes
 Clusters only say where to look. The full sets of a cluster's classes are brought together
 once, and exact intersections decide the links. Within a block, two classes already
 connected are not compared again. A cluster beyond a block's bounds is split into blocks that
-share some of its classes as hubs; if it then still falls apart, the classes outside its largest
-part meet every block, so no link is lost.
+share some of its classes as hubs. If it then still falls apart, the classes outside its largest
+part and those inside it are dealt to sub-blocks of half a block, and a task compares two of them: every
+class outside meets every other one, so no link is lost and no task holds more than a block.
 
 Null, empty and blank texts have empty sets and are linked with nothing. Rows with a null id
 take part; a component of such rows alone has a null id. Rows that share an id are judged
@@ -168,6 +169,10 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     return connected_components(edges if ties is None else edges.unionByName(ties), "class", "cluster")
 
 
+def _no_side() -> Column:
+    return F.lit(-1).cast("bigint").alias("side")
+
+
 def full_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(class, cluster, n, shingles) of the wanted (class, cluster, ref); shingles packed and sorted."""
 
@@ -188,23 +193,24 @@ def full_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
-    """(class, part) of rows (block, class, part, shingles): parts united by exact links within blocks.
+    """(class, part) of rows (block, class, part, side, shingles): parts united by exact links within blocks.
 
-    A class that stands in several blocks is given once for each.
+    A class that stands in several blocks is given once for each. Classes of one side are not
+    compared with each other, except those of side -1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, "block"):
             classes, parts = group.column("class").to_pylist(), group.column("part").to_pylist()
             sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
-            label = unite(sets, parts, percent)
+            label = unite(sets, parts, percent, group.column("side").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array([parts[i] for i in label], pa.binary())], names=["class", "part"])
 
     return members.repartition("block").sortWithinPartitions("block").mapInArrow(run, "class binary, part binary")
 
 
-def unite(sets: list[np.ndarray], parts: list[bytes], percent: int) -> np.ndarray:
-    """For each set the index of one that stands for its part, after all links between parts."""
+def unite(sets: list[np.ndarray], parts: list[bytes], percent: int, side: np.ndarray) -> np.ndarray:
+    """For each set the index of one that stands for its part, after all links between parts (and sides)."""
     first: dict[bytes, int] = {}
     label = np.array([first.setdefault(p, i) for i, p in enumerate(parts)])
     size = np.array([len(s) for s in sets])
@@ -212,6 +218,8 @@ def unite(sets: list[np.ndarray], parts: list[bytes], percent: int) -> np.ndarra
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     for i in range(len(sets) - 1):
         other = label[i + 1 :] != label[i]
+        if side[i] >= 0:
+            other &= side[i + 1 :] != side[i]
         other &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
         if not other.any():
             continue
@@ -224,6 +232,24 @@ def unite(sets: list[np.ndarray], parts: list[bytes], percent: int) -> np.ndarra
     return label
 
 
+def sub_block_pairs(rows: DataFrame) -> DataFrame:
+    """(block, class, part, side, shingles) of rows (cluster, main, class, part, n, shingles): what remains to be compared.
+
+    The classes outside the part ``main`` are dealt to sub-blocks of half a block's size, and those inside to
+    further ones. A block is a pair of sub-blocks whose first is outside; each sub-block outside is
+    compared with itself in one of its pairs only.
+    """
+    outside = F.col("part") != F.col("main")
+    halves = lambda some: F.greatest(F.lit(1), F.ceil(2 * F.count(F.when(some, 1)) / BLOCK_CLASSES), F.ceil(2 * F.sum(F.when(some, F.col("n"))) / BLOCK_SHINGLES)).cast("bigint")
+    shape = cut_lineage(rows.groupBy("cluster").agg(halves(outside).alias("out"), halves(~outside).alias("in")))
+    deal = lambda n: F.pmod(F.xxhash64("class", F.lit(2)), n)
+    own = F.when(outside, deal(F.col("out"))).otherwise(F.col("out") + deal(F.col("in")))
+    last = F.when(outside, F.col("out") + F.col("in")).otherwise(F.col("out")) - 1
+    met = rows.join(shape, "cluster").withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).filter("met != own")
+    side = F.when(F.col("met") == F.col("own") + 1, F.lit(-1).cast("bigint")).otherwise(F.col("own"))
+    return met.select(F.xxhash64("cluster", F.least("own", "met"), F.greatest("own", "met")).alias("block"), "class", "part", side.alias("side"), "shingles")
+
+
 def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
     """(class, part) of rows (class, cluster, n, shingles): the components of the exact links."""
     shape = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("total"))
@@ -231,7 +257,7 @@ def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
     shape = cut_lineage(shape.select("cluster", blocks.alias("blocks")))
     placed = sets.join(shape, "cluster")
     block = lambda b: F.xxhash64("cluster", b)
-    whole = placed.filter(F.col("blocks") == 1).select(block(F.lit(0)).alias("block"), "class", F.col("class").alias("part"), "shingles")
+    whole = placed.filter(F.col("blocks") == 1).select(block(F.lit(0)).alias("block"), "class", F.col("class").alias("part"), _no_side(), "shingles")
     done = exact_links(whole, percent)
     large = shape.filter(F.col("blocks") > 1)
     if large.isEmpty():
@@ -242,20 +268,21 @@ def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
     everywhere = lambda some: some.select("cluster", "class", "part", "shingles", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("b"))
     pairs = lambda some: some.select(F.col("class").alias("a"), F.col("part").alias("b"))
 
-    def joined(labelled: DataFrame, travelling: Column) -> DataFrame:
-        """Components after the travelling classes have met every block."""
-        sent = home(labelled).unionByName(everywhere(labelled.filter(travelling))).dropDuplicates(["cluster", "b", "class"])
-        found = exact_links(sent.select(block(F.col("b")).alias("block"), "class", "part", "shingles"), percent)
-        return connected_components(pairs(found).unionByName(pairs(labelled)), "class", "part")
+    def joined(labelled: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Components after the classes of each block have met."""
+        found = exact_links(blocks, percent)
+        return connected_components(pairs(found).distinct().unionByName(pairs(labelled)), "class", "part")
 
     hub = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks") * (BLOCK_CLASSES // HUBS)) == 0
-    parts = joined(rows.withColumn("part", F.col("class")), hub)
+    single = rows.withColumn("part", F.col("class"))
+    sent = home(single).unionByName(everywhere(single.filter(hub))).dropDuplicates(["cluster", "b", "class"])
+    parts = joined(single, sent.select(block(F.col("b")).alias("block"), "class", "part", _no_side(), "shingles"))
     labelled = cut_lineage(rows.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")))
     sizes = labelled.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts"))
     open_ = labelled.join(main.filter(F.col("parts") > 1), "cluster")
     if not open_.isEmpty():
-        parts = joined(open_, F.col("part") != F.col("main")).unionByName(parts.join(open_.select("class"), "class", "left_anti"))
+        parts = joined(open_, sub_block_pairs(open_)).unionByName(parts.join(open_.select("class"), "class", "left_anti"))
     rest = labelled.select("class").join(parts, "class", "left").select("class", F.coalesce("part", "class").alias("part"))
     return done.unionByName(rest)
 

@@ -102,6 +102,28 @@ def test_groups_match_brute_force(copies, monkeypatch, limit, block):
     assert shown(chosen_path.near_groups(copies, 3, 85)) == brute(rows)
 
 
+def test_unlinked_cluster_is_compared_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BLOCK_CLASSES", 32)
+    monkeypatch.setattr(chosen_path, "HUBS", 1)
+    rnd = np.random.default_rng(6)
+    sets = [np.unique(rnd.integers(0, 1 << 60, 40, dtype=np.uint64)) for _ in range(300)]
+    near = [np.sort(np.append(sets[7 * i][1:], np.uint64(i + 1))) for i in range(40)]
+    given = sets + near
+    rows = [(i.to_bytes(2, "big"), b"c", len(s), s.tobytes()) for i, s in enumerate(given)]
+    sizes, exact = [], chosen_path.exact_links
+
+    def watched(members, percent):
+        sizes.extend(r["count"] for r in members.groupBy("block").count().collect())
+        return exact(members, percent)
+
+    monkeypatch.setattr(chosen_path, "exact_links", watched)
+    table = spark.createDataFrame(rows, "class binary, cluster binary, n bigint, shingles binary")
+    part = {int.from_bytes(r["class"], "big"): bytes(r["part"]) for r in chosen_path.linked_parts(table, 85).collect()}
+    assert len(part) == len(given) and len(set(part.values())) == 300
+    assert all(part[300 + i] == part[7 * i] for i in range(40))
+    assert max(sizes) <= 2 * 32
+
+
 def test_edges_and_stage(edges, empty):
     rows = [(r["doc_id"], r["text"]) for r in edges.collect()]
     want = brute(rows)
