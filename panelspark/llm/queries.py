@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bpe_count, chosen_path, class_lm, cross_parse, cuckoo_dedup, decontam, secrets_zstd, suffix_dedup, url_trie
+from . import bpe, bpe_count, chosen_path, class_lm, cross_parse, cuckoo_dedup, decontam, resharding, secrets_zstd, suffix_dedup, url_trie
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,8 @@ URL_RULES = [
 ]
 #: Tokens from which a document is over the limit of a context window.
 TOKEN_LIMIT = 1024
+#: Documents lie in shards by source, of which the last ones are given up.
+OLD_SHARDS, NEW_SHARDS = 10, 8
 
 
 def query(fn: Query) -> Query:
@@ -130,3 +132,37 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chosen_path.near_groups(documents(spark, sf_dir).select("doc_id", "text"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    old = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % OLD_SHARDS
+    docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("by_source"))
+    placed = resharding.reshard(docs, F.col("by_source"), F.col("size"), [1] * NEW_SHARDS, [F.col("doc_id"), F.col("text_crc32")])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, four bits at a time."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    step = lambda c, b: f"xor(({table}::BIGINT[])[(xor({c}, {b}) & 15) + 1], {c} >> 4)"
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {step(step('c', 'b'), '(b >> 4)')}), 4294967295)"
+
+
+SQL["op13_resharding"] = f"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32, {_crc32_sql("coalesce(source, '')")} % {OLD_SHARDS} AS old_shard FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY old_shard ORDER BY size, doc_id NULLS FIRST, text_crc32) - 1 AS rank FROM d),
+s AS (SELECT i AS shard, n // {NEW_SHARDS} AS q, n % {NEW_SHARDS} AS extra, (SELECT count(*) FROM d WHERE old_shard = i) AS have FROM range({NEW_SHARDS}) t(i), (SELECT count(*) AS n FROM d)),
+m AS (SELECT s.*, r.size AS price FROM s LEFT JOIN r ON r.old_shard = shard AND rank = have - q - 1),
+u AS (SELECT *, q + (row_number() OVER (ORDER BY price DESC NULLS LAST, shard) <= extra)::INT AS room FROM m),
+need AS (SELECT shard, sum(greatest(room - have, 0)) OVER (ORDER BY shard) AS stop, stop - greatest(room - have, 0) AS start FROM u),
+gone AS (SELECT r.*, row_number() OVER (ORDER BY old_shard, rank) - 1 AS pos FROM r JOIN (SELECT old_shard AS o, count(*) AS n FROM d GROUP BY 1) ON old_shard = o LEFT JOIN u ON shard = old_shard WHERE rank < n - coalesce(room, 0)),
+placed AS (SELECT r.*, coalesce(need.shard, r.old_shard) AS shard FROM r LEFT JOIN gone ON gone.old_shard = r.old_shard AND gone.rank = r.rank LEFT JOIN need ON pos >= start AND pos < stop)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY old_shard, rank) - 1 AS slot, NULL::INT AS grown_shard, old_shard FROM placed
+"""
