@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bpe_count, chosen_path, class_lm, cross_parse, cuckoo_dedup, decontam, resharding, secrets_zstd, suffix_dedup, url_trie
+from . import bpe, bpe_count, chosen_path, class_lm, cross_parse, cuckoo_dedup, decontam, resharding, secrets_zstd, suffix_dedup, url_trie, vector_codes
+from ..session import cut_lineage
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +135,36 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.compress(vectors, "embedding", [F.col("vec_id")])
+    summed = vector_codes.with_group_error(cut_lineage(coded.select("vec_id", "label", "code", "error")), "label")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    found = [
+        f"""e AS MATERIALIZED (SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS id, len(v) // {parts} AS width FROM
+ (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+        f"x AS MATERIALIZED (SELECT id, p AS part, i AS pos, v[p * width + i + 1] AS x FROM e, range({parts}) a(p), range(width) b(i))",
+        f"c0 AS MATERIALIZED (SELECT part, id - 1 AS entry, pos, x AS c FROM x WHERE id <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        found.append(f"d{r} AS (SELECT id, x.part, entry, sum((x - c) * (x - c)) AS d FROM x JOIN c{r} ON x.part = c{r}.part AND x.pos = c{r}.pos GROUP BY id, x.part, entry)")
+        found.append(f"a{r} AS MATERIALIZED (SELECT id, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM d{r} GROUP BY id, part)")
+        if r < rounds:
+            found.append(f"m{r} AS (SELECT x.part, entry, pos, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS c FROM x JOIN a{r} ON x.id = a{r}.id AND x.part = a{r}.part GROUP BY x.part, entry, pos)")
+            found.append(f"c{r + 1} AS MATERIALIZED (SELECT o.part, o.entry, o.pos, coalesce(m.c, o.c)::BIGINT AS c FROM c{r} o LEFT JOIN m{r} m ON m.part = o.part AND m.entry = o.entry AND m.pos = o.pos)")
+    found.append(f"coded AS (SELECT id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY id)")
+    found.append(f"digest AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})")
+    return f"WITH {', '.join(found)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN coded ON e.id = coded.id, digest"
+
+
+SQL["op11_vector_codes"] = _codes_sql()
+
+
 @query
 def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
