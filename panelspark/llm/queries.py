@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bpe_count, chosen_path, class_lm, cross_parse, cuckoo_dedup, decontam, resharding, secrets_zstd, suffix_dedup, url_trie, vector_codes
+from . import bpe, bpe_count, chosen_path, class_lm, conversation_repair, cross_parse, cuckoo_dedup, decontam, resharding, secrets_zstd, suffix_dedup, url_trie, vector_codes
 from ..session import cut_lineage
 from .common import documents, held_out
 
@@ -165,6 +165,12 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
 SQL["op11_vector_codes"] = _codes_sql()
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repairs(conversation_repair.damaged(turns)).withColumnRenamed("conv", "conv_id")
+
+
 @query
 def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -197,3 +203,44 @@ gone AS (SELECT r.*, row_number() OVER (ORDER BY old_shard, rank) - 1 AS pos FRO
 placed AS (SELECT r.*, coalesce(need.shard, r.old_shard) AS shard FROM r LEFT JOIN gone ON gone.old_shard = r.old_shard AND gone.rank = r.rank LEFT JOIN need ON pos >= start AND pos < stop)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY old_shard, rank) - 1 AS slot, NULL::INT AS grown_shard, old_shard FROM placed
 """
+
+
+def _repair_sql() -> str:
+    plus = lambda way, cost, edit: f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || {edit}}} END"
+    best = lambda *ways: f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+    turned = lambda role, *ways: best(*(plus(w, f"CASE WHEN i = '{role}' THEN 0 ELSE 1 END + extra", f"CASE WHEN i = '{role}' THEN 'K' ELSE 'R' END") for w in ways))
+    stays = "fault NOT IN ('blank', 'duplicate')"
+    blank = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+    return f"""
+WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+ {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+after AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+ unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM base WHERE k <> 0),
+sorted AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS idx FROM after),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, left(role, 1) AS i, idx,
+ CASE WHEN rtrim(text, {blank}) = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY idx) > 1 THEN 'duplicate'
+ WHEN right(rtrim(text, {blank}), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM sorted),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS idx, {{'c': 0::BIGINT, 'a': ''}} AS s, NULL::STRUCT(c BIGINT, a VARCHAR) AS y, NULL::STRUCT(c BIGINT, a VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR) AS a FROM base
+ UNION ALL
+ SELECT w.conv_id, f.idx, {plus("w.s", 2, "'D'")},
+  {best(plus("w.y", 2, "'D'"), f"CASE WHEN {stays} AND i = 's' THEN {plus('w.s', 'extra', chr(39) + 'K' + chr(39))} END")},
+  {best(plus("w.u", 2, "'D'"), f"CASE WHEN {stays} THEN {turned('u', 'w.s', 'w.y', 'w.a')} END")},
+  {best(plus("w.a", 2, "'D'"), f"CASE WHEN {stays} THEN {turned('a', 'w.u')} END")}
+ FROM (SELECT conv_id, idx, s, y, {best("u", plus("s", 5, "'I'"), plus("y", 5, "'I'"), plus("a", 5, "'I'"))} AS u, {best("a", plus("u", 5, "'I'"), plus("s", 10, "'II'"), plus("y", 10, "'II'"))} AS a FROM walk) w
+ JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.idx = w.idx + 1),
+done AS (SELECT conv_id, {best("s", "a", plus("u", 5, "'I'"), plus("y", 10, "'II'"))} AS way FROM walk QUALIFY idx = max(idx) OVER (PARTITION BY conv_id)),
+letters AS (SELECT conv_id, k, substr(way.a, k, 1) AS edit, sum((substr(way.a, k, 1) <> 'I')::INT) OVER w AS idx, sum((substr(way.a, k, 1) <> 'D')::INT) OVER w AS place
+ FROM (SELECT conv_id, way, unnest(range(1, length(way.a) + 1)) AS k FROM done) WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+told AS (SELECT l.*, f.i, f.role, f.text, max(CASE WHEN place = 1 AND edit = 'K' AND f.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS off
+ FROM letters l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.idx = l.idx),
+said AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - off) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS all_ FROM told WHERE edit <> 'D' GROUP BY conv_id),
+pairs AS (SELECT conv_id, turn, fault, lag(i) OVER (PARTITION BY conv_id ORDER BY idx) || i AS pair FROM f),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+ count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ way.c AS cost, way.a AS audit, sha256(coalesce(all_, '')) AS repaired_sha256
+FROM done d LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+SQL["op12_conversation_repair"] = _repair_sql()
