@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import time
 
 from pyspark.ml import PipelineModel
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import lookup, zero_pad
 from ..operators.schema import ELECTION_SCHEMA, conform
+from . import records
 
 _COMPARE = {
     "==": lambda c, v: c == v,
@@ -42,37 +42,20 @@ def scan_csv(spark: SparkSession, path: str, sep: str = ",", schema: T.StructTyp
 
 
 def scan_csv_tolerant(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", encoding: str = "UTF-8", header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Readable rows, and the rejected lines as text.
+    """Readable rows, and the rejected records as (_corrupt, reason, path).
 
-    Lines are read as text and parsed by ``from_csv``, because the CSV reader cannot return
-    its reject column alone.
+    Cells go to the schema's fields by position. Besides what ``records`` rejects, a record is
+    rejected if a cell does not have its field's type. ``header`` skips the first record of each file.
     """
-    lines = spark.read.option("encoding", encoding).text(path)
-    if header:
-        lines = lines.where(F.col("value") != lines.first()[0])
-    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = lines.select(F.from_csv("value", full.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("_r")).select("_r.*")
-    return parsed.where(F.col("_corrupt").isNull()).drop("_corrupt"), parsed.where(F.col("_corrupt").isNotNull()).select("_corrupt")
-
-
-def header_lines(spark: SparkSession, source: str, encoding: str = "UTF-8") -> dict[str, list[str]]:
-    """The files below a folder by their first line, from one distributed read; as many keys as there are layouts."""
-    lines = spark.read.option("encoding", encoding).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(source)
-    meta = F.col("_metadata")
-    head = lines.where(meta["file_block_start"] == 0).select(meta["file_path"].alias("path"), "value", F.monotonically_increasing_id().alias("n"))
-    first = head.groupBy("path").agg(F.min_by("value", "n").alias("header"))
-    return {r["header"]: r["paths"] for r in first.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()}
-
-
-def _header_names(line: str, sep: str) -> list[str]:
-    """Column names of a header line; an empty name gets its number, a repeated one a count."""
-    out: list[str] = []
-    for i, name in enumerate(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep), [])):
-        base = name.strip() or f"_c{i}"
-        again = sum(1 for n in out if n == base or n.startswith(f"{base}."))
-        out.append(f"{base}.{again}" if again else base)
-    return out
+    parsed, _ = records.scan_records(spark, path, records.Dialect(sep, encoding=encoding, header=header), columns=schema.names)
+    typed = parsed.withColumns({f"_v{i}": F.get("cells", F.lit(i)).try_cast(f.dataType) for i, f in enumerate(schema.fields)})
+    wrong = F.lit(False)
+    for i in range(len(schema.fields)):
+        wrong |= F.get("cells", F.lit(i)).isNotNull() & F.col(f"_v{i}").isNull()
+    good = typed.where(F.col("reason").isNull() & ~wrong).select(*(F.col(f"_v{i}").alias(f.name) for i, f in enumerate(schema.fields)))
+    text = F.coalesce("text", F.array_join("cells", sep, ""))
+    bad = typed.where(F.col("reason").isNotNull() | wrong).select(text.alias("_corrupt"), F.coalesce("reason", F.lit("type")).alias("reason"), "path")
+    return good, bad
 
 
 _TREE_PATH = r"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(\d{4})/(.+)$"
@@ -80,22 +63,21 @@ _TREE_PATH = r"/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?(\d{4})/(.+)$"
 
 def csv_tree_to_parquet(
     spark: SparkSession, source: str, target: str, sep: str = ",", partitions: list[str] = ("election_type", "year"), encoding: str = "UTF-8", file_column: str = "source_file"
-) -> None:
+) -> DataFrame:
     """CSV files under ``{type}/{year}`` folders to Parquet partitioned by type and year, every column as text.
 
-    Files differ in their columns: those with one header are one scan, and columns are matched
+    Files differ in their columns: each file's header names its cells, and columns are matched
     by name, null where a file lacks them. ``file_column`` holds the path below the year.
+    Rejected records are returned as (_corrupt, reason, path).
     """
-    out = None
-    for line, paths in sorted(header_lines(spark, source, encoding).items()):
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in _header_names(line, sep)])
-        part = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True).csv(paths)
-        path = F.col("_metadata.file_path")
-        part = part.withColumns({partitions[0]: F.regexp_extract(path, _TREE_PATH, 1), partitions[1]: F.regexp_extract(path, _TREE_PATH, 2), file_column: F.regexp_extract(path, _TREE_PATH, 3)})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    parsed, names = records.scan_records(spark, source, records.Dialect(sep, encoding=encoding), pattern="*.csv")
+    if not names:
         raise FileNotFoundError(f"no CSV files below {source}")
-    out.write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+    path = F.col("path")
+    place = {partitions[0]: F.regexp_extract(path, _TREE_PATH, 1), partitions[1]: F.regexp_extract(path, _TREE_PATH, 2), file_column: F.regexp_extract(path, _TREE_PATH, 3)}
+    rows = parsed.where("reason IS NULL").select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)), *(c.alias(n) for n, c in place.items()))
+    rows.write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+    return parsed.where("reason IS NOT NULL").select(F.col("text").alias("_corrupt"), "reason", "path")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,104 +12,198 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PARTS = {"thead", "tbody", "tfoot"}
+
+
+# The largest spans that HTML allows.
+_MOST_COLUMNS, _MOST_ROWS = 1000, 65534
+
+
+@dataclass
+class _Cell:
+    header: bool
+    columns: int
+    rows: int
+    parts: list[str] = field(default_factory=list)
+
+    @property
+    def text(self) -> str | None:
+        return _one_line(self.parts) or None
+
+
+@dataclass
+class _Table:
+    """One open table: its title and rows, and the cell that is being read."""
+
+    order: int
+    heading: str
+    caption: list[str] | None = None
+    in_caption: bool = False
+    cell: _Cell | None = None
+    row: list[_Cell] | None = None
+    part: str = ""
+    #: (part, number of the part, cells) of each row; a part is thead, tbody, tfoot or none
+    rows: list[tuple[str, int, list[_Cell]]] = field(default_factory=list)
+    parts: int = 0
+
+    def start_part(self, part: str) -> None:
+        self.cell = self.row = None
+        self.part, self.parts = part, self.parts + 1
+
+    def start_row(self) -> None:
+        self.cell, self.row = None, []
+        self.rows.append((self.part, self.parts, self.row))
+
+    def start_cell(self, header: bool, attrs: list[tuple[str, str | None]]) -> None:
+        span = {k: int(v) for k, v in attrs if k in ("colspan", "rowspan") and v and v.isascii() and v.isdigit()}
+        if self.row is None:
+            self.start_row()
+        self.cell = _Cell(header, min(max(1, span.get("colspan", 1)), _MOST_COLUMNS), min(max(1, span.get("rowspan", 1)), _MOST_ROWS))
+        self.row.append(self.cell)
+
+
+def _one_line(parts: list[str]) -> str:
+    return re.sub(r"\s+", " ", "".join(parts)).strip()
 
 
 class _Tables(HTMLParser):
-    """Collects the tables of one page: title, rows of (is header, text, columns, rows)."""
+    """Collects the tables of one page.
+
+    Tables may stand in cells of others: tags and texts belong to the innermost open table. Missing
+    end tags are supplied by the next row, cell or part, and by the end of the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.heading, self.text, self.into = "", [], None
-        self.open, self.done = [], []
+        self.heading, self.into_heading = "", None
+        self.open: list[_Table] = []
+        self.done: list[_Table] = []
+        self.hidden = None
 
     def handle_starttag(self, tag, attrs):
-        if tag in _HEADINGS and not self.open:
-            self.text, self.into = [], "heading"
+        top = self.open[-1] if self.open else None
+        if tag in ("script", "style"):
+            self.hidden = tag
+        elif tag in _HEADINGS:
+            self.into_heading = []
         elif tag == "table":
-            self.open.append({"order": len(self.done) + len(self.open), "caption": "", "heading": self.heading, "rows": []})
-        elif self.open and tag == "caption":
-            self.text, self.into = [], "caption"
-        elif self.open and tag == "tr":
-            self._close_cell()
-            self.open[-1]["rows"].append([])
-        elif self.open and tag in ("td", "th"):
-            self._close_cell()
-            span = {k: int(v) if (v or "").isdigit() else 1 for k, v in attrs if k in ("colspan", "rowspan")}
-            if not self.open[-1]["rows"]:
-                self.open[-1]["rows"].append([])
-            self.text, self.into = [], ("cell", tag == "th", span.get("colspan", 1), span.get("rowspan", 1))
+            self.open.append(_Table(len(self.done) + len(self.open), self.heading))
         elif tag == "br":
-            self.text.append(" ")
+            self.handle_data(" ")
+        elif top is None:
+            return
+        elif tag == "caption":
+            top.cell = top.row = None
+            if top.caption is None:
+                top.caption, top.in_caption = [], True
+        elif tag in _PARTS:
+            top.in_caption = False
+            top.start_part(tag)
+        elif tag == "tr":
+            top.in_caption = False
+            top.start_row()
+        elif tag in ("td", "th"):
+            top.in_caption = False
+            top.start_cell(tag == "th", attrs)
 
     def handle_endtag(self, tag):
-        if tag in _HEADINGS and self.into == "heading":
-            self.heading, self.into = self._take(), None
-        elif tag == "caption" and self.into == "caption":
-            self.open[-1]["caption"], self.into = self._take(), None
-        elif tag in ("td", "th", "tr"):
-            self._close_cell()
-        elif tag == "table" and self.open:
-            self._close_cell()
+        top = self.open[-1] if self.open else None
+        if tag == self.hidden:
+            self.hidden = None
+        elif tag in _HEADINGS and self.into_heading is not None:
+            self.heading, self.into_heading = _one_line(self.into_heading), None
+        elif top is None:
+            return
+        elif tag == "caption":
+            top.in_caption = False
+        elif tag in ("td", "th"):
+            top.cell = None
+        elif tag == "tr":
+            top.cell = top.row = None
+        elif tag in _PARTS:
+            top.start_part("")
+        elif tag == "table":
             self.done.append(self.open.pop())
 
     def handle_data(self, data):
-        if self.into is not None:
-            self.text.append(data)
-
-    def _take(self) -> str:
-        return re.sub(r"\s+", " ", "".join(self.text)).strip()
+        if self.hidden:
+            return
+        if self.into_heading is not None:
+            self.into_heading.append(data)
+        top = self.open[-1] if self.open else None
+        if top is not None and top.in_caption:
+            top.caption.append(data)
+        elif top is not None and top.cell is not None:
+            top.cell.parts.append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self.done.append(self.open.pop())
 
-    def _close_cell(self):
-        if isinstance(self.into, tuple) and self.open:
-            _, header, cols, rows = self.into
-            self.open[-1]["rows"][-1].append((header, self._take() or None, max(1, cols), max(1, rows)))
-            self.into = None
 
+def _spread(rows: list[list[_Cell]]) -> list[tuple[bool, list]]:
+    """Cells by column, those that span several repeated; whether all are header cells.
 
-def _spread(rows: list[list[tuple]]) -> list[tuple[bool, list]]:
-    """Repeat spanned cells over the columns and rows they cover."""
-    carried: dict[int, tuple] = {}
+    A cell from above comes before the row's own cell that reaches its column; those further right
+    than the row goes follow at its end.
+    """
+    above: list[tuple[int, _Cell, int]] = []
     out = []
     for row in rows:
-        cells, heads, at, queue = [], [], 0, list(row)
-        while queue or at in carried:
-            if at in carried:
-                header, text, left = carried.pop(at)
+        cells: list[_Cell] = []
+        below: list[tuple[int, _Cell, int]] = []
+
+        def take(up_to: int | None) -> None:
+            while above and (up_to is None or above[0][0] <= len(cells)):
+                at, cell, left = above.pop(0)
+                cells.append(cell)
                 if left > 1:
-                    carried[at] = (header, text, left - 1)
-                cells.append(text)
-                heads.append(header)
-                at += 1
-                continue
-            header, text, cols, down = queue.pop(0)
-            for _ in range(cols):
-                if down > 1:
-                    carried[at] = (header, text, down - 1)
-                cells.append(text)
-                heads.append(header)
-                at += 1
+                    below.append((at, cell, left - 1))
+
+        for cell in row:
+            take(len(cells))
+            for _ in range(cell.columns):
+                if cell.rows > 1:
+                    below.append((len(cells), cell, cell.rows - 1))
+                cells.append(cell)
+        take(None)
+        above = sorted(below, key=lambda x: x[0])
         if cells:
-            out.append((all(heads), cells))
+            out.append((all(c.header for c in cells), [c.text for c in cells]))
     return out
 
 
+def _header_and_rows(table: _Table) -> tuple[list, list[list]]:
+    """Header cells and data rows: the header is the part named so, else the first rows of header cells only."""
+    parts: dict[int, tuple[str, list]] = {}
+    for part, number, cells in table.rows:
+        parts.setdefault(number, (part, []))[1].append(cells)
+    spread = [(part, row) for part, rows in parts.values() for row in _spread(rows)]
+    top = [row for part, (_, row) in spread if part == "thead"]
+    body = [r for part, r in spread if part not in ("thead", "tfoot")] + [r for part, r in spread if part == "tfoot"]
+    if not top:
+        while body and body[0][0]:
+            top.append(body.pop(0)[1])
+    data = [c for _, c in body if any(v is not None for v in c)]
+    named = [c for c in top if any(v is not None for v in c)] or top
+    if named:
+        return named[min(1, len(named) - 1)], data
+    return [str(i) for i in range(max(map(len, data), default=0))], data
+
+
 def page_tables(html: str) -> list[tuple[int, str, list, int, list]]:
-    """(table number, title, header, row number, cells) of every data row of a page."""
+    """(table number, title, header, row number, cells) of every data row of a page, tables by where they begin."""
     parser = _Tables()
     parser.feed(html or "")
     parser.close()
     out, seen = [], {}
-    for number, table in enumerate(sorted(parser.done, key=lambda t: t["order"]), start=1):
-        title = table["caption"] or table["heading"] or f"table_{number}"
+    for number, table in enumerate(sorted(parser.done, key=lambda t: t.order), start=1):
+        title = _one_line(table.caption or []) or table.heading or f"table_{number}"
         seen[title] = seen.get(title, 0) + 1
         title = title if seen[title] == 1 else f"{title} ({seen[title]})"
-        rows = _spread(table["rows"])
-        top = 0
-        while top < len(rows) and rows[top][0]:
-            top += 1
-        header = rows[min(1, top - 1)][1] if top else [str(i) for i in range(max((len(c) for _, c in rows), default=0))]
+        header, data = _header_and_rows(table)
         header = ["Dates" if h == "Date" else h for h in header]
-        data = [c for _, c in rows[top:] if any(v is not None for v in c)]
         out += [(number, title, header, i, c) for i, c in enumerate(data)]
     return out
 
