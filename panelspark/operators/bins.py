@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ladder import bin_by_edges, edge_bounds, quantile_edges, quantiles
+from .ladder import ladder_edges, mark_edges, number_by_marks, placed_bounds, quantiles, value_ladder
 
 
 def size_bins(df: DataFrame, keys: list[str], size: str, per_bin: int, out: str = "size_bin") -> tuple[DataFrame, DataFrame]:
     """Equal-count bins of about ``per_bin`` rows (two at least) per group.
 
-    Returns the rows with their right-closed bin number, and the bounds of every bin.
+    Returns the rows with their right-closed bin number, and the bounds of every bin. The rows are
+    counted once; numbers and bounds come from the distinct sizes and the edges.
     """
-    count = F.greatest(F.lit(2), F.floor(F.col("total") / F.lit(per_bin)))
-    edges = quantile_edges(df, keys, size, count, digits=0)
-    return bin_by_edges(df, keys, size, edges, out, "right"), edge_bounds(edges, keys, out)
+    sizes = value_ladder(df, keys, size)
+    edges = ladder_edges(sizes, keys, size, F.greatest(F.lit(2), F.floor(F.col("total") / F.lit(per_bin))), digits=0)
+    marked = mark_edges(sizes, keys, size, edges)
+    bounds = placed_bounds(marked.where("n > 0").withColumnRenamed("_v", "edge"), keys, out)
+    return number_by_marks(df, keys, size, marked, out, "right"), bounds
 
 
 def percentile_bins(df: DataFrame, keys: list[str], value: str, bins: int, out: str = "bin") -> DataFrame:
     """Left-closed bins between the group's inner percentiles; the largest value falls in the last bin."""
-    return bin_by_edges(df, keys, value, quantile_edges(df, keys, value, bins, digits=None), out, "left")
+    values = value_ladder(df, keys, value)
+    marked = mark_edges(values, keys, value, ladder_edges(values, keys, value, bins, digits=None))
+    return number_by_marks(df, keys, value, marked, out, "left")
 
 
 def binned_stats(df: DataFrame, keys: list[str], value: str, size: str) -> DataFrame:

@@ -1,28 +1,65 @@
 """Exact ranks and quantiles without putting a whole group into one task.
 
 A plain rank window sorts one group in one task, so a group that holds a third of
-all rows does not scale. Here equal values are counted first (map-side combine),
-the value axis is cut into slices by a fixed monotone function of the value, and
-two short running sums (over slices, then inside one slice) give every distinct
-value the number of rows below it. The slice is a pure function of the value, so a
-task recomputed after an executor loss lands in the same slice.
+all rows does not scale. Here equal values are counted first (map-side combine). The
+distinct values are dealt by ranges of (group, value), whose bounds Spark draws from them, so
+that slices are even whatever the values are: a day of epoch seconds spreads like
+amounts over ten powers of ten. A running sum inside each slice and a short one over the slices of
+a group give every distinct value the number of rows below it.
+
+The sliced values are written once, with the number of their slice, and read by all later steps: a task that
+is computed again cannot deal a value to another slice than the sums were taken of. Each ladder
+is thus climbed once, however many results are drawn from it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES_PER_E_FOLD = 4096
+from ..session import cut_lineage
+
+#: Slices at least, however few shuffle partitions the session has.
+LEAST_SLICES = 16
+
+
+def _starts(batch: pa.RecordBatch, keys: list[str], last: list) -> np.ndarray:
+    """Whether each row begins a group; ``last`` holds the keys of the row before the batch, or nothing."""
+    out = np.zeros(batch.num_rows, bool)
+    out[0] = [batch.column(k)[0].as_py() for k in keys] != last
+    for k in keys:
+        values = batch.column(k)
+        out[1:] |= pc.fill_null(pc.not_equal(values[1:], values[:-1]), False).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _climb(keys: list[str], exact: bool):
+    """Append the running sum of ``n`` in each group of sorted rows, and the number of the slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def slice_of(value: Column) -> Column:
-    """Monotone slice number; about 2800 slices between a value and its double."""
-    x = value.cast("double")
-    size = F.floor(F.log1p(F.abs(x) * F.lit(float(2**20))) * F.lit(float(SLICES_PER_E_FOLD)))
-    number = F.when(F.isnan(x), F.lit(2**62)).when(x < 0, -size).otherwise(size).cast("bigint")
-    # never null for a value: stated, so that no null filter sets the two uses of one shuffle apart
-    return F.coalesce(number, F.lit(0).cast("bigint"))
+        part, last, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n")
+            n = n.to_numpy(zero_copy_only=False) if exact else np.array(n.to_pylist(), object)
+            starts = _starts(batch, keys, last)
+            total = np.cumsum(n)
+            at = np.flatnonzero(starts)
+            # what came before a group's first row in this batch; before the first group it is what was carried
+            base = np.concatenate([[-carried], total[at] - n[at]]) if len(at) else np.array([-carried])
+            upto = total - base[np.cumsum(starts)]
+            last, carried = [batch.column(k)[-1].as_py() for k in keys], upto[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, batch.column("n").type), pa.array(np.full(len(upto), part, np.int32))], names=[*batch.schema.names, "_upto", "_slice"])
+
+    return run
 
 
 def value_ladder(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -30,28 +67,17 @@ def value_ladder(df: DataFrame, keys: list[str], value: str, weight: Column | No
 
     Null values are left out, so they move no rank. ``keys`` must not be null.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
-        .withColumn("_slice", slice_of(F.col(value)))
-    )
-    along = Window.partitionBy(*keys).orderBy("_slice")
-    slices = (
-        counted.groupBy(*keys, "_slice")
-        .agg(F.sum("n").alias("_slice_n"))
-        .withColumn("_slice_upto", F.sum("_slice_n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("_slice_n").over(Window.partitionBy(*keys)))
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.withColumn("_inner_upto", F.sum("n").over(inside))
-    return upto.join(slices, [*keys, "_slice"]).select(
-        *keys,
-        value,
-        "n",
-        (F.col("_slice_upto") - F.col("_slice_n") + F.col("_inner_upto") - F.col("n")).alias("below"),
-        "total",
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+    slices = max(LEAST_SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    exact = dict(counted.dtypes)["n"] in ("bigint", "double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema.fields)
+    dealt = counted.repartitionByRange(slices, *keys, value).sortWithinPartitions(*keys, value)
+    climbed = cut_lineage(dealt.mapInArrow(_climb(keys, exact), f"{schema}, _upto {dict(counted.dtypes)['n']}, _slice int"))
+    # a row for each group and slice
+    sums = climbed.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sums.select(*keys, "_slice", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("total"))
+    return climbed.join(placed, [*keys, "_slice"]).select(*keys, value, "n", (F.col("_before") + F.col("_upto") - F.col("n")).alias("below"), "total")
 
 
 def rank_columns(df: DataFrame, keys: list[str], value: str, **names: Column) -> DataFrame:
@@ -113,8 +139,13 @@ def quantile_edges(df: DataFrame, keys: list[str], value: str, bins: Column | in
     ``bins`` may be a column of the ladder, e.g. ``greatest(2, total div 1000)``: the edges
     then grow with the group, which is why they are rows and not one array.
     """
+    return ladder_edges(value_ladder(df, keys, value), keys, value, bins, digits)
+
+
+def ladder_edges(ladder: DataFrame, keys: list[str], value: str, bins: Column | int, digits: int | None = 0) -> DataFrame:
+    """The same from a ladder that is at hand."""
     count = (bins if isinstance(bins, Column) else F.lit(bins)).cast("bigint")
-    rungs = value_ladder(df, keys, value).withColumn("_bins", count)
+    rungs = ladder.withColumn("_bins", count)
     v, size = F.col(value).cast("double"), F.col("_bins")
     last = F.greatest(F.col("total") - 1, F.lit(1))
     # only the edges whose neighbouring ranks can fall on this value
@@ -140,6 +171,20 @@ def edge_array(edges: DataFrame, keys: list[str], out: str = "breaks") -> DataFr
     return edges.groupBy(*keys).agg(F.array_sort(F.collect_set("edge")).alias(out))
 
 
+def mark_edges(values: DataFrame, keys: list[str], value: str, edges: DataFrame) -> DataFrame:
+    """(keys, _v, n, below) of every value and edge: edges at it, and edges below it."""
+    points = values.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_e"))
+    marks = edges.select(*keys, F.col("edge").alias("_v"), F.lit(1).alias("_e"))
+    return value_ladder(points.unionByName(marks), keys, "_v", F.col("_e"))
+
+
+def number_by_marks(df: DataFrame, keys: list[str], value: str, marked: DataFrame, out: str, closed: str = "right") -> DataFrame:
+    """Bin number of every row from its value's marks."""
+    number = F.col("below") if closed == "right" else F.col("below") + F.col("n")
+    numbered = marked.select(*keys, "_v", number.cast("int").alias(out))
+    return df.withColumn("_v", F.col(value).cast("double")).join(numbered, [*keys, "_v"], "left").drop("_v")
+
+
 def bin_by_edges(df: DataFrame, keys: list[str], value: str, edges: DataFrame, out: str, closed: str = "right") -> DataFrame:
     """Bin number of every row against edge rows of its group.
 
@@ -147,17 +192,16 @@ def bin_by_edges(df: DataFrame, keys: list[str], value: str, edges: DataFrame, o
     to it: both are running counts of edges on the value axis, so neither the rows nor
     the edges of a group meet in one task.
     """
-    values = df.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(0).alias("_e"))
-    marks = edges.select(*keys, F.col("edge").alias("_v"), F.lit(1).alias("_e"))
-    rungs = value_ladder(values.unionByName(marks), keys, "_v", F.col("_e"))
-    number = F.col("below") if closed == "right" else F.col("below") + F.col("n")
-    numbered = rungs.select(*keys, "_v", number.cast("int").alias(out))
-    return df.withColumn("_v", F.col(value).cast("double")).join(numbered, [*keys, "_v"], "left").drop("_v")
+    return number_by_marks(df, keys, value, mark_edges(df, keys, value, edges), out, closed)
 
 
 def edge_bounds(edges: DataFrame, keys: list[str], out: str = "bin") -> DataFrame:
     """Lower and upper edge of every bin; the outer bins are open."""
-    placed = value_ladder(edges, keys, "edge")
+    return placed_bounds(value_ladder(edges, keys, "edge"), keys, out)
+
+
+def placed_bounds(placed: DataFrame, keys: list[str], out: str = "bin") -> DataFrame:
+    """Bounds from edges (keys, edge) with the number of edges below each."""
     inf = F.lit(float("inf"))
     sides = placed.select(
         *keys,
