@@ -163,66 +163,46 @@ def pair_correlation(pairs: DataFrame, field: DataFrame, event: str, key: str, v
     return attach(sums, spread, [event]).select(event, "distance_bin", "pairs", ratio("_c", "_v").alias("c_tau"))
 
 
-EVENTS_PER_PASS = 24
-
-
 def spatial_correlation(field: DataFrame, event: str, value: str, edges: list[float], lat: str = "lat", long: str = "long") -> DataFrame:
     """C(r) = mean(x·x' over pairs in the distance bin) / mean(x²), for all events together.
 
     * Rows of one place are folded first to (Σx, Σx², n) per event: pairs inside a place
       follow from these sums, so a crowded place costs one row.
-    * Places meet once for up to ``EVENTS_PER_PASS`` events, whose sums ride along as plain
-      columns; each pair adds to one row per distance bin, map-side.
+    * Places meet once, for all events (``pairsums``).
     * The open last bin holds all remaining pairs: total minus the rest, from three sums.
       No pair beyond the last edge is ever formed.
 
-    ``field`` should be a stored table: it is read for the event list and for the places.
+    The events are numbered on the driver; rows without a value or a place are left out.
     """
-    events = [row[0] for row in field.select(event).distinct().orderBy(event).collect()]
-    out = None
-    for i in range(0, len(events), EVENTS_PER_PASS):
-        part = _correlation_pass(field, event, events[i : i + EVENTS_PER_PASS], value, edges, lat, long)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _correlation_pass(field: DataFrame, event: str, events: list, value: str, edges: list[float], lat: str, long: str) -> DataFrame:
-    last, ids, names = len(edges), range(len(events)), [F.lit(e) for e in events]
-    x = F.col(value).cast("double")
-    of = [F.when((F.col(event) == names[i]) & x.isNotNull(), x) for i in ids]
-    sums = [c for i in ids for c in (F.coalesce(F.sum(of[i]), F.lit(0.0)).alias(f"s{i}"), F.coalesce(F.sum(of[i] * of[i]), F.lit(0.0)).alias(f"q{i}"), F.count(of[i]).cast("double").alias(f"n{i}"))]
-    places = cut_lineage(field.where(F.col(event).isin(events)).groupBy(lat, long).agg(*sums)).withColumn("_k", F.xxhash64(lat, long))
-
-    def rows(df: DataFrame, bin_no, cells: list[tuple]) -> DataFrame:
-        """(event, bin, xx, pairs) rows from one wide row; ``cells`` holds the two columns per event."""
-        packed = [F.struct(names[i].alias(event), xx.alias("xx"), n.alias("pairs")) for i, (xx, n) in enumerate(cells)]
-        return df.select(bin_no.alias("distance_bin"), F.explode(F.array(*packed)).alias("_c")).select(f"_c.{event}", "distance_bin", "_c.xx", "_c.pairs")
-
-    light = places.select("_k", lat, long, *[c for i in ids for c in (f"s{i}", f"n{i}")])
-    y, y2, x1, x2 = F.col(lat), F.col(f"{lat}_dest"), F.col(long), F.col(f"{long}_dest")
-    first = (y < y2) | ((y == y2) & (x1 < x2))
-    met = pairs_within(light, "_k", edges[-1], lat, long, before=first).withColumn("distance_bin", even_cut("distance_km", edges))
-    per_bin = met.groupBy("distance_bin").agg(
-        *[F.sum(F.col(f"{c}{i}") * F.col(f"{c}{i}_dest")).alias(f"{c}{i}") for i in ids for c in ("s", "n")]
-    )
-    apart = rows(per_bin, F.col("distance_bin"), [(F.col(f"s{i}"), F.col(f"n{i}")) for i in ids])
-    totals = places.agg(
-        *[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in ids for c in ("s", "q", "n")],
-        *[F.sum((F.col(f"s{i}") * F.col(f"s{i}") - F.col(f"q{i}")) / 2).alias(f"hs{i}") for i in ids],
-        *[F.sum(F.col(f"n{i}") * (F.col(f"n{i}") - 1) / 2).alias(f"hn{i}") for i in ids],
+    from .pairsums import sums_by_distance
+
+    last, x = len(edges), F.col(value).cast("double")
+    known = field.where(x.isNotNull() & F.col(lat).isNotNull() & F.col(long).isNotNull())
+    places = cut_lineage(known.groupBy(lat, long, event).agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count(x).cast("double").alias("n")))
+    names = [row[0] for row in places.select(event).distinct().orderBy(event).collect()]
+    if not names:
+        return field.sparkSession.createDataFrame([], f"{event} {dict(field.dtypes)[event]}, distance_bin int, pairs double, c_tau double")
+    numbers = field.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], f"`{event}` {dict(field.dtypes)[event]}, e int")
+    numbered = places.join(numbers, event).drop(event)
+    apart = sums_by_distance(numbered, len(names), edges, lat, long)
+    half = lambda s, q: (F.col(s) * F.col(s) - F.col(q)) / 2
+    totals = cut_lineage(
+        numbered.groupBy("e").agg(
+            F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"), F.sum(half("s", "q")).alias("hs"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("hn")
+        )
     )
-    here = rows(totals, F.lit(0), [(F.col(f"hs{i}"), F.col(f"hn{i}")) for i in ids])
-    every = [((F.col(f"s{i}") * F.col(f"s{i}") - F.col(f"q{i}")) / 2, F.col(f"n{i}") * (F.col(f"n{i}") - 1) / 2) for i in ids]
-    whole = rows(totals, F.lit(last), every)
+    here = totals.select("e", F.lit(0).alias("distance_bin"), F.col("hs").alias("xx"), F.col("hn").alias("pairs"))
+    every = totals.select("e", F.lit(last).alias("distance_bin"), half("s", "q").alias("xx"), (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
     # every closed bin also counts against the open one
     signed = F.array(
         F.struct(F.col("distance_bin"), F.col("xx"), F.col("pairs")),
         F.struct(F.lit(last).alias("distance_bin"), (-F.col("xx")).alias("xx"), (-F.col("pairs")).alias("pairs")),
     )
-    closed = apart.unionByName(here).select(event, F.explode(signed).alias("_b")).select(event, "_b.*")
-    binned = closed.unionByName(whole).groupBy(event, "distance_bin").agg(F.sum("xx").alias("xx"), F.sum("pairs").alias("pairs")).where("pairs > 0")
-    spread = rows(totals, F.lit(last), [(F.col(f"q{i}"), F.col(f"n{i}")) for i in ids]).select(event, ratio("xx", "pairs").alias("_v"))
-    return attach(binned, spread, [event]).select(event, "distance_bin", "pairs", ratio(ratio("xx", "pairs"), F.col("_v")).alias("c_tau"))
+    closed = apart.unionByName(here).select("e", F.explode(signed).alias("_b")).select("e", "_b.*")
+    binned = closed.unionByName(every).groupBy("e", "distance_bin").agg(F.sum("xx").alias("xx"), F.sum("pairs").alias("pairs")).where("pairs > 0")
+    spread = totals.select("e", ratio("q", "n").alias("_v"))
+    out = binned.join(spread, "e").join(numbers, "e")
+    return out.select(event, "distance_bin", "pairs", ratio(ratio("xx", "pairs"), F.col("_v")).alias("c_tau"))
 
 
 def local_moran(df: DataFrame, key: str, value: str, max_km: float) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import binning
 from ..functions import scalars as S
 from ..operators import fits, spatial, windows
 from ..plans import correlation
-from .base import PANEL_SQL, panel, r, table
+from ..session import cut_lineage
+from .base import BLOCS, PANEL_SQL, panel, r, table
 from .registry import query
 
 _LAT_SQL = "42 + ({k} * 7919 % 181) / 20.0"
@@ -148,7 +150,22 @@ def _(spark, sf):
     return out.select("event", "entity", "size", *[r(c).alias(c) for c in ("p", "p_alpha", "tau", "lat", "long")])
 
 
-_CORR_EDGES = [25.0 * i for i in range(1, 9)]
+_CORR_EDGES = binning.distance_edges()
+
+
+def _edge_sql(k: str) -> str:
+    """Edge k of ``distance_edges``; edge 0 is 0."""
+    return f"round(({k}) * 1000 / 300.0, 2)"
+
+
+def _bin_sql(d: str) -> str:
+    """How many of the 299 edges are below the distance: a guess by division, corrected by one at most."""
+    g = f"least(CAST(floor({d} * 0.3) AS BIGINT), 299)"
+    return f"({g} + CASE WHEN {g} < 299 AND {_edge_sql(g + ' + 1')} < {d} THEN 1 ELSE 0 END - CASE WHEN {g} > 0 AND {_edge_sql(g)} >= {d} THEN 1 ELSE 0 END)"
+
+
+# bounds and middle of a bin; the last one is open
+_BOUNDS_SQL = f"{_edge_sql('distance_bin')} AS distance_lower, CASE WHEN distance_bin < 299 THEN ({_edge_sql('distance_bin')} + {_edge_sql('distance_bin + 1')}) / 2 END AS mid"
 _CORR_STEPS = (
     ", n AS (SELECT event, greatest(2, count(*) // 200) AS b FROM g GROUP BY event), "
     "s AS (SELECT event, size AS v, row_number() OVER (PARTITION BY event ORDER BY size) - 1 AS k, count(*) OVER (PARTITION BY event) AS c FROM g), "
@@ -157,19 +174,16 @@ _CORR_STEPS = (
     "JOIN s lo ON lo.event = i.event AND lo.k = CAST(floor((lo.c - 1) * i / b) AS BIGINT) JOIN s hi ON hi.event = i.event AND hi.k = CAST(ceil((hi.c - 1) * i / b) AS BIGINT)), "
     "z AS (SELECT g.*, (SELECT count(*) FROM e WHERE e.event = g.event AND e.edge < g.size) AS size_bin FROM g), "
     "c AS (SELECT event, entity, lat, long, tau - avg(tau) OVER (PARTITION BY event, size_bin) AS x FROM z), "
-    f"q AS (SELECT a.event, least(greatest(CAST(ceil(({hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')}) / 25.0) - 1 AS BIGINT), 0), 8) AS distance_bin, a.x * b.x AS xx FROM c a JOIN c b ON a.event = b.event AND a.entity < b.entity), "
+    f"pl AS (SELECT DISTINCT lat, long, row_number() OVER (ORDER BY lat, long) AS pl FROM (SELECT DISTINCT lat, long FROM c)), "
+    f"dist AS MATERIALIZED (SELECT pa, pb, {_bin_sql('d')} AS distance_bin FROM (SELECT a.pl AS pa, b.pl AS pb, {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} AS d FROM pl a JOIN pl b ON a.pl <= b.pl)), "
+    "cp AS MATERIALIZED (SELECT c.*, pl FROM c JOIN pl USING (lat, long)), "
+    "q AS (SELECT a.event, distance_bin, a.x * b.x AS xx, a.lat = b.lat AND a.long = b.long AS here FROM cp a JOIN cp b ON a.event = b.event AND a.entity < b.entity JOIN dist ON pa = least(a.pl, b.pl) AND pb = greatest(a.pl, b.pl)), "
     "v AS (SELECT event, avg(x * x) AS v FROM c GROUP BY event), "
     "corr AS (SELECT q.event, distance_bin, CAST(count(*) AS DOUBLE) AS pairs, avg(xx) / any_value(v) AS c_tau FROM q JOIN v USING (event) GROUP BY q.event, distance_bin)"
 )
 
 
 _CORR_SQL = _FIELD_SQL + _CORR_STEPS
-_MEASURES_SQL = (
-    f"WITH {PANEL_SQL}, {PLACES_SQL}, f AS (SELECT m || '|' || period AS event, panel.entity, size, CASE m WHEN 'turnout' THEN participants / size ELSE coalesce(vote_g / nullif(valid, 0), 0.2) END AS p, lat, long "
-    f"FROM panel JOIN places USING (entity), (SELECT unnest(['turnout', 'share_g']) AS m)), g AS (SELECT *, {_TAU_SQL} AS p_alpha, ln(({_TAU_SQL}) / (1 - ({_TAU_SQL}))) AS tau FROM f)"
-) + _CORR_STEPS
-
-
 def correlation_rows(spark, sf):
     known = places(spark, sf).drop("region")
     return correlation.correlation_job(event_rows(spark, sf), known, "turnout", _CORR_EDGES, 0, 200)
@@ -181,34 +195,74 @@ def _(spark, sf):
     return correlation.centred_field(field, 200).select("event", "entity", r("tau_minus_m").alias("tau_minus_m"))
 
 
-@query("g6_spatial_correlation", f"{_CORR_SQL} SELECT event, CAST(distance_bin AS BIGINT) AS distance_bin, pairs, round(c_tau, 6) AS c_tau FROM corr")
+def with_bounds(rows):
+    """Lower bound and middle of each distance bin; null middle for the open one."""
+    bounds = spatial.bin_bounds(rows.sparkSession, _CORR_EDGES)
+    finite = F.when(F.col("mid") != float("inf"), F.col("mid"))
+    return rows.join(bounds, "distance_bin").withColumns({"mid": finite, "distance_bin": F.col("distance_bin").cast("bigint"), "c_tau": r("c_tau")}).drop("distance_upper")
+
+
+@query("g6_spatial_correlation", f"{_CORR_SQL} SELECT event, CAST(distance_bin AS BIGINT) AS distance_bin, {_BOUNDS_SQL}, pairs, round(c_tau, 6) AS c_tau FROM corr")
 def _(spark, sf):
-    out = correlation_rows(spark, sf)
-    return out.select("event", F.col("distance_bin").cast("bigint").alias("distance_bin"), "pairs", r("c_tau").alias("c_tau"))
+    return with_bounds(correlation_rows(spark, sf))
 
 
 @query(
     "a18_pair_covariance",
-    f"{_CORR_SQL}, w AS (SELECT a.event, CAST(ceil(({hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')}) / 2.5) - 1 AS BIGINT) AS distance_bin, {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} AS d, a.x * b.x AS xx FROM c a JOIN c b ON a.event = b.event AND a.entity < b.entity WHERE a.lat <> b.lat OR a.long <> b.long) "
-    "SELECT w.event, distance_bin, CAST(count(*) AS BIGINT) AS pairs, round(avg(xx) / any_value(v), 6) AS c_tau FROM w JOIN v USING (event) WHERE d <= 20 GROUP BY w.event, distance_bin",
+    f"{_CORR_SQL} SELECT q.event, CAST(distance_bin AS BIGINT) AS distance_bin, CAST(count(*) AS BIGINT) AS pairs, round(avg(xx) / any_value(v), 6) AS c_tau FROM q JOIN v USING (event) WHERE NOT here AND distance_bin < 299 GROUP BY q.event, distance_bin",
 )
 def _(spark, sf):
-    field = correlation.centred_field(correlation.logit_field(event_rows(spark, sf), places(spark, sf).drop("region"), "turnout"), 200)
+    field = cut_lineage(correlation.centred_field(correlation.logit_field(event_rows(spark, sf), places(spark, sf).drop("region"), "turnout"), 200))
     # places are paired once; then every entity of the one place meets every entity of the other
     named = places(spark, sf).select("entity", "lat", "long").join(spots(spark, sf).select("place", "lat", "long"), ["lat", "long"]).select("place", "entity")
-    pairs = spatial.pair_table(spots(spark, sf), "place", _EDGES)
+    pairs = spatial.pair_table(spots(spark, sf), "place", _CORR_EDGES)
     pairs = pairs.join(named, "place").join(named.select(F.col("place").alias("place_dest"), F.col("entity").alias("entity_dest")), "place_dest")
     out = spatial.pair_correlation(pairs.select("entity", "entity_dest", "distance_bin"), field, "event", "entity", "tau_minus_m")
     return out.select("event", F.col("distance_bin").cast("bigint").alias("distance_bin"), "pairs", r("c_tau").alias("c_tau"))
 
 
+# twelve measures: shares of five blocs, four composites, turnout, abstention and unused ballots, with the blocs that set their defaults
+_MEASURES = {"turnout": 0, "absent": 0, "unused": 0, **{f"share_{b}": 5 for b in BLOCS}, "share_gcg": 2, "share_dcd": 2, "share_tg": 3, "share_td": 3}
+_PARTS = {"gcg": ("g", "cg"), "dcd": ("d", "cd"), "tg": ("g", "cg", "c"), "td": ("d", "cd", "c")}
+
+
+def measure_rows(spark, sf):
+    p = panel(spark, sf)
+    of = lambda *blocs: sum((F.col(f"vote_{b}") for b in blocs[1:]), F.col(f"vote_{blocs[0]}"))
+    shares = {"turnout": S.ratio("participants", "size"), "absent": 1 - S.ratio("participants", "size"), "unused": 1 - S.ratio("valid", "size")}
+    shares |= {f"share_{b}": S.ratio(of(b), "valid") for b in BLOCS} | {f"share_{k}": S.ratio(of(*v), "valid") for k, v in _PARTS.items()}
+    return p.select(F.col("period").alias("event"), "entity", "region", "size", *[c.alias(n) for n, c in shares.items()])
+
+
+def _measure_sql(m: str, blocs: int) -> str:
+    votes = " + ".join(f"vote_{b}" for b in _PARTS.get(m.removeprefix("share_"), (m.removeprefix("share_"),)))
+    share = {"turnout": "participants / size", "absent": "1 - participants / size", "unused": "1 - valid / size"}.get(m, f"({votes}) / nullif(valid, 0)")
+    return f"WHEN '{m}' THEN " + (f"coalesce({share}, {S.DEFAULT_SHARES[blocs]!r})" if blocs else share)
+
+
+_MEASURES_SQL = (
+    f"WITH {PANEL_SQL}, {PLACES_SQL}, f AS (SELECT m || '|' || period AS event, panel.entity, size, CASE m {' '.join(_measure_sql(m, k) for m, k in _MEASURES.items())} END AS p, lat, long "
+    f"FROM panel JOIN places USING (entity), (SELECT unnest({list(_MEASURES)}) AS m)), g AS (SELECT *, {_TAU_SQL} AS p_alpha, ln(({_TAU_SQL}) / (1 - ({_TAU_SQL}))) AS tau FROM f)"
+) + _CORR_STEPS
+
+
 @query(
     "g6_correlation_of_measures",
-    f"{_MEASURES_SQL} SELECT split_part(event, '|', 1) AS measure, split_part(event, '|', 2) AS event, CAST(distance_bin AS BIGINT) AS distance_bin, pairs, round(c_tau, 6) AS c_tau FROM corr",
+    f"{_MEASURES_SQL} SELECT split_part(event, '|', 1) AS measure, split_part(event, '|', 2) AS event, CAST(distance_bin AS BIGINT) AS distance_bin, {_BOUNDS_SQL}, pairs, round(c_tau, 6) AS c_tau FROM corr",
+)
+def _(spark, sf):
+    return with_bounds(correlation.correlation_of_measures(measure_rows(spark, sf), places(spark, sf).drop("region"), _MEASURES, _CORR_EDGES, 200))
+
+
+@query(
+    "g4_pairs_by_bin",
+    f"WITH {SPOTS_SQL}, p AS (SELECT {hav_sql('a.lat', 'a.long', 'b.lat', 'b.long')} AS d FROM spots a JOIN spots b ON a.place < b.place) "
+    f"SELECT CAST({_bin_sql('d')} AS BIGINT) AS distance_bin, CAST(count(*) AS BIGINT) AS pairs, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest FROM p WHERE d <= {_CORR_EDGES[-1]} GROUP BY 1",
 )
 def _(spark, sf):
-    out = correlation.correlation_of_measures(event_rows(spark, sf), places(spark, sf).drop("region"), {"turnout": 0, "share_g": 5}, _CORR_EDGES, 200)
-    return out.select("measure", "event", F.col("distance_bin").cast("bigint").alias("distance_bin"), "pairs", r("c_tau").alias("c_tau"))
+    """The pair table over all closed bins, told by its numbers."""
+    out = spatial.pair_table(spots(spark, sf), "place", _CORR_EDGES)
+    return out.groupBy(F.col("distance_bin").cast("bigint").alias("distance_bin")).agg(F.count(F.lit(1)).alias("pairs"), r(F.min("distance_km")).alias("nearest"), r(F.max("distance_km")).alias("farthest"))
 
 
 @query(
@@ -243,11 +297,11 @@ def _(spark, sf):
 
 @query(
     "g9_logarithmic_law",
-    f"{_CORR_SQL}, m AS (SELECT event, distance_bin, (distance_bin + 0.5) * 25 AS mid, c_tau FROM corr WHERE distance_bin < 8), fit AS (SELECT event, regr_slope(c_tau, ln(mid)) AS slope, regr_intercept(c_tau, ln(mid)) AS intercept, regr_r2(c_tau, ln(mid)) AS r2 FROM m WHERE mid BETWEEN 20 AND 180 GROUP BY event) "
+    f"{_CORR_SQL}, m AS (SELECT event, {_BOUNDS_SQL}, c_tau FROM corr WHERE distance_bin < 299), fit AS (SELECT event, regr_slope(c_tau, ln(mid)) AS slope, regr_intercept(c_tau, ln(mid)) AS intercept, regr_r2(c_tau, ln(mid)) AS r2 FROM m WHERE mid BETWEEN 20 AND 180 GROUP BY event) "
     "SELECT event, round(CASE WHEN slope < 0 THEN sqrt(-slope) END, 6) AS lambda, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM fit",
 )
 def _(spark, sf):
-    c = correlation_rows(spark, sf).where("distance_bin < 8").withColumn("mid", (F.col("distance_bin") + 0.5) * 25)
+    c = correlation_rows(spark, sf).join(spatial.bin_bounds(spark, _CORR_EDGES), "distance_bin").where("distance_bin < 299")
     out = fits.log_law(c, ["event"], "mid", "c_tau", 20.0, 180.0)
     return out.select("event", *[r(x).alias(x) for x in ("lambda", "slope", "intercept", "r2")])
 
