@@ -4,7 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 
-from .words import _OF_BYTE, _POWERS
+_OF_BYTE = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9FB21C651E98DF25
+#: Powers that are kept at least.
+_KEPT = (1 << 20) + 4096
+
+
+class _Powers:
+    """Powers of the base and of its inverse, modulo 2**64, as far as they were needed.
+
+    Short substrings only may be told apart by them: from 1,024 bytes on, texts of two letters in
+    an order without repetition meet for every base.
+    """
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, _KEPT)
+            fill = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
+            self.up, self.down = fill(_BASE), fill(pow(_BASE, -1, 1 << 64))
+        return self.up[:n], self.down
+
+
+_POWERS = _Powers()
 
 
 def prefix_sums(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

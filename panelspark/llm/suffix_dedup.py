@@ -22,6 +22,7 @@ identical rows count as two places of the same string. Only (id, text) of the in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,8 @@ def super_windows(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     value = hashes[chosen]
     near = value[1:][(value[1:] == value[:-1]) & (np.diff(chosen) <= width)]
     inner = np.isin(names[first], near) if len(near) else np.zeros(len(first), bool)
-    string = mix(substring_hashes(sums, down, first, last + length) + (last - first).astype(np.uint64))
-    return names[first].view(np.int64), string.view(np.int64), first, last, inner
+    string = np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (last + length).tolist())), np.int64)
+    return names[first].view(np.int64), string, first, last, inner
 
 
 def all_runs(rows: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from .common import SPACE, forget
 
 #: Bytes that are hashed at once; a chunk ends at white space, so a longer word makes a longer one.
 CHUNK = 1 << 20
-_RANDOM = np.random.Generator(np.random.PCG64(20240917))
-_OF_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9FB21C651E98DF25
+#: Bytes of a word whose random numbers are kept in a table.
+_TABLE_BYTES = 64
+_SEED = 0x9FB21C651E98DF25
 _IS_SPACE = np.isin(np.arange(256), list(SPACE))
 
 
@@ -25,21 +25,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, modulo 2**64, as far as they were needed."""
+def _drawn(place: np.ndarray) -> np.ndarray:
+    """A random number for each (position in the word, byte), packed into one."""
+    return mix(mix(place * np.uint64(0x9E3779B97F4A7C15) + np.uint64(_SEED)))
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK + 4096)
-            fill = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
-            self.up, self.down = fill(_BASE), fill(pow(_BASE, -1, 1 << 64))
-        return self.up[:n], self.down
+_TABLE = _drawn(np.arange(_TABLE_BYTES << 8, dtype=np.uint64))
 
 
-_POWERS = _Powers()
+def hashed_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of the random numbers of a word's bytes at their positions, mixed with its length.
+
+    Numbers of different positions have nothing in common, so words that are built of the same
+    parts in another order do not meet by their structure, as they do with powers of a base modulo 2**64.
+    """
+    size = end - start
+    if not len(size):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(size) - size
+    total = int(size.sum())
+    inside = np.arange(total) - np.repeat(first, size)
+    place = inside << 8 | buf[np.repeat(start, size) + inside]
+    long = inside >= _TABLE_BYTES
+    drawn = _TABLE[np.where(long, 0, place)] if long.any() else _TABLE[place]
+    drawn[long] = _drawn(place[long].astype(np.uint64))
+    return mix(np.add.reduceat(drawn, first) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass
@@ -75,10 +85,8 @@ def words_of(raws: list[bytes]) -> Words:
         space = np.concatenate([[True], _IS_SPACE[buf], [True]])
         edge = np.flatnonzero(space[1:] != space[:-1])
         start, end = edge[::2], edge[1::2]
-        up, down = _POWERS.to(len(buf))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[buf] * up)])
         size = end - start
-        h = mix((total[end] - total[start]) * down[start] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        h = hashed_words(buf, start, end)
         wide = buf.astype(np.uint32)
         head = wide[start] << 8 | np.where(size > 1, wide[np.minimum(start + 1, len(buf) - 1)] if len(buf) else 0, 0)
         tail = wide[end - 1] | np.where(size > 1, wide[end - 2], 0) << 8 | np.where(size > 2, wide[np.maximum(end - 3, 0)], 0) << 16
