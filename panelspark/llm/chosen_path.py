@@ -16,8 +16,8 @@ share some of its classes as hubs. If it then still falls apart, the classes out
 part and those inside it are dealt to sub-blocks of half a block, and a task compares two of them: every
 class outside meets every other one, so no link is lost and no task holds more than a block.
 
-Null, empty and blank texts have empty sets and are linked with nothing. Rows with a null id
-take part; a component of such rows alone has a null id. Rows that share an id are judged
+Null, empty and blank texts have empty sets and are linked with nothing. Ids may be of any type that
+has an order. Rows with a null id take part; a component of such rows alone has a null id. Rows that share an id are judged
 each by its text.
 """
 
@@ -62,8 +62,8 @@ def class_of(shingles: np.ndarray) -> bytes:
 
 
 def reference(doc_id: str, text: str) -> Column:
-    """A value that finds a row's text again: its id, or a hash of the text if that is null."""
-    return F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text))
+    """A value that finds a row's text again."""
+    return F.xxhash64(doc_id, text)
 
 
 def sketches(rows: DataFrame, size: int) -> DataFrame:
@@ -85,7 +85,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "ref", "n", "class", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "doc_id bigint, ref bigint, n bigint, class binary, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ref bigint, n bigint, class binary, sketch binary")
 
 
 def paths(classes: DataFrame) -> DataFrame:
@@ -288,8 +288,8 @@ def linked_parts(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ref, class, n_shingles, component_id) for each row."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), reference(doc_id, text).alias("ref"), F.col(text).alias("text"))
+    """(doc_id, ref, class, part, n_shingles, component_id) for each row; ``part`` names the component."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), reference(doc_id, text).alias("ref"), F.col(text).alias("text"))
     drawn = cut_lineage(sketches(rows, size))
     classes = cut_lineage(drawn.filter(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min("ref").alias("ref"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     clusters = candidate_clusters(classes, percent)
@@ -297,15 +297,29 @@ def near_groups(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id"
     parts = cut_lineage(linked_parts(sets, percent))
     named = classes.select("class", "first_id").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     component = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(component, "part").select("class", "component_id")
+    of_class = named.join(component, "part").select("class", "part", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return drawn.select("doc_id", "ref", "n", "class").join(of_class, "class", "left").select("doc_id", "ref", "class", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return drawn.select("doc_id", "ref", "n", "class").join(of_class, "class", "left").select("doc_id", "ref", "class", "part", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, size: int, percent: int, doc_id: str = "doc_id", text: str = "text", single: bool = False) -> DataFrame:
     """The documents with the smallest id of their component, with their columns as they were.
 
-    Rows that share an id stay or go together; rows without an id stay where their component has none with one.
+    Rows without an id stay where their component has none with one. Rows that share an id may stay
+    together; with ``single`` one row of each component stays, and all rows without words.
     """
-    kept = near_groups(docs, size, percent, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("ref").distinct()
-    return docs.select(F.struct(*docs.columns).alias("row"), reference(doc_id, text).alias("ref")).join(kept, "ref", "left_semi").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), reference(doc_id, text).alias("ref"))
+    if not single:
+        ids = near_groups(docs, size, percent, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return rows.join(ids.select("ref").distinct(), "ref", "left_semi").select("row.*")
+    found = cut_lineage(near_groups(docs, size, percent, doc_id, text))
+    some = found.filter("n_shingles > 0")
+    one = some.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref"))["ref"].alias("ref"))
+    kept = cut_lineage(one.select("ref").unionByName(found.filter("n_shingles = 0").select("ref")).distinct())
+    rows = rows.join(kept, "ref", "left_semi")
+    # rows that are equal in id and text
+    several = cut_lineage(some.join(one, ["part", "ref"], "left_semi").groupBy("ref").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ref"))
+    if several.isEmpty():
+        return rows.select("row.*")
+    equal = rows.join(several, "ref", "left_semi").groupBy("ref").agg(F.first("row").alias("row"))
+    return rows.join(several, "ref", "left_anti").select("row.*").unionByName(equal.select("row.*"))

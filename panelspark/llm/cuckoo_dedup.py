@@ -11,9 +11,9 @@ fills a third of the corpus sends a few rows, and shards hold distinct digests o
 number of shards follows the number of rows.
 
 Of equal texts the row with most code points, then the smallest id, stays; a null id comes
-last. Null counts as the empty text, and all empty or blank texts are equal. Rows that share
-an id are judged each by its text; identical rows with one id are all marked as staying, since
-the id is the only name a row has.
+last. Null counts as the empty text, and all empty or blank texts are equal. Ids may be of any type
+that has an order. Rows that share an id are judged each by its text; ``exact_groups`` marks identical
+rows with one id all as staying, since the id is the only name a row has, and ``drop_copies`` keeps one of them if asked to.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut_lineage
 from .common import SPACE, forget, raw_texts, schema_with, slices, with_column
@@ -145,17 +146,21 @@ def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema_with(docs, "digest binary", "length bigint"))
 
 
-_RECORD = "digest binary, n bigint, length bigint, keep_id bigint"
 
+def _record(rows: DataFrame) -> tuple[str, pa.DataType]:
+    """Schema of the index's rows, and the type of their ids."""
+    kind = rows.schema["keep_id"].dataType
+    return f"digest binary, n bigint, length bigint, keep_id {kind.simpleString()}", to_arrow_type(kind)
 
-def _better(length: int, doc_id: int | None, record: list) -> bool:
+
+def _better(length: int, doc_id: object, record: list) -> bool:
     """Whether (length, id) comes before the record's keeper."""
     if length != record[1]:
         return length > record[1]
     return doc_id is not None and (record[2] is None or doc_id < record[2])
 
 
-def _merge(index: CuckooIndex, key: bytes, n: int, length: int, doc_id: int | None) -> None:
+def _merge(index: CuckooIndex, key: bytes, n: int, length: int, doc_id: object) -> None:
     record = index.find(key)
     if record is None:
         index.insert(key, [n, length, doc_id])
@@ -167,23 +172,23 @@ def _merge(index: CuckooIndex, key: bytes, n: int, length: int, doc_id: int | No
         index.delete(key)
 
 
-def _rows(index: CuckooIndex, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+def _rows(index: CuckooIndex, ids: pa.DataType, size: int = 10_000) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for key, record in index.items():
         rows.append((key, *record))
         if len(rows) == size:
-            yield _batch(rows)
+            yield _batch(rows, ids)
             rows = []
     if rows:
-        yield _batch(rows)
+        yield _batch(rows, ids)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("digest", pa.binary()), ("n", pa.int64()), ("length", pa.int64()), ("keep_id", pa.int64())]
+def _batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+    kinds = [("digest", pa.binary()), ("n", pa.int64()), ("length", pa.int64()), ("keep_id", ids)]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
 
 
-def _indexed(limit: int | None):
+def _indexed(limit: int | None, ids: pa.DataType):
     """Fold rows (digest, n, length, keep_id) through an index, sending it on whenever it holds ``limit`` keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +198,9 @@ def _indexed(limit: int | None):
             for row in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "length", "keep_id"))):
                 _merge(index, *row)
             if limit and len(index) >= limit:
-                yield from _rows(index)
+                yield from _rows(index, ids)
                 index = CuckooIndex()
-        yield from _rows(index)
+        yield from _rows(index, ids)
 
     return run
 
@@ -203,11 +208,20 @@ def _indexed(limit: int | None):
 def live_digests(rows: DataFrame, shards: int) -> DataFrame:
     """Net live digests of rows (digest, n, length, keep_id).
 
-    ``n`` may be negative: those occurrences are deleted, and a digest with none left goes. The
-    keeper is the best row ever entered for a digest that is still live.
+    ``n`` may be negative: those occurrences are deleted, and a digest with none left goes. The keeper
+    is the best row that was ever entered; ``living_keepers`` gives the best one still there.
     """
-    folded = rows.select("digest", "n", "length", "keep_id").mapInArrow(_indexed(FOLD_KEYS), _RECORD)
-    return folded.repartition(shards, "digest").mapInArrow(_indexed(None), _RECORD)
+    schema, ids = _record(rows)
+    folded = rows.select("digest", "n", "length", "keep_id").mapInArrow(_indexed(FOLD_KEYS, ids), schema)
+    return folded.repartition(shards, "digest").mapInArrow(_indexed(None, ids), schema).filter("n > 0")
+
+
+def living_keepers(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """The live digests, each with the best of its rows that were not deleted; for rows with deletions."""
+    left = rows.groupBy("digest", "length", "keep_id").agg(F.sum("n").alias("n")).filter("n > 0")
+    longest = left.groupBy("digest").agg(F.max("length").alias("length"))
+    best = left.join(longest, ["digest", "length"]).groupBy("digest", "length").agg(F.min("keep_id").alias("keep_id"))
+    return live.select("digest", "n").join(best, "digest").select("digest", "n", "length", "keep_id")
 
 
 def shard_count(rows: DataFrame) -> int:
@@ -216,9 +230,9 @@ def shard_count(rows: DataFrame) -> int:
 
 
 def groups(digests: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(digest, keep_id, group_size) of rows with ``digest`` and ``length``."""
-    rows = digests.select("digest", F.lit(1).cast("bigint").alias("n"), "length", F.col(doc_id).cast("bigint").alias("keep_id"))
-    return live_digests(rows, shard_count(digests)).select("digest", "keep_id", F.col("n").alias("group_size"))
+    """(digest, keep_id, keep_length, group_size) of rows with ``digest`` and ``length``."""
+    rows = digests.select("digest", F.lit(1).cast("bigint").alias("n"), "length", F.col(doc_id).alias("keep_id"))
+    return live_digests(rows, shard_count(digests)).select("digest", "keep_id", F.col("length").alias("keep_length"), F.col("n").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,10 +244,24 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with their columns as they were."""
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", single: bool = False) -> DataFrame:
+    """The documents that stay, with their columns as they were.
+
+    ``single`` keeps one row of each group also where rows share their id or have none; else all rows
+    that have the keeper's id stay, whatever their length.
+    """
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = groups(cut_lineage(with_digest(docs.select(doc_id, text), text).select(doc_id, "digest", "length")), doc_id)
-    marked = with_digest(rows).drop("text", "length").join(found, "digest")
-    return marked.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    digests = cut_lineage(with_digest(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "digest", "length"))
+    found = groups(digests)
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    if not single:
+        return with_digest(rows).drop("text", "length").join(found, "digest").filter(keeper).select("row.*")
+    best = keeper & (F.col("length") == F.col("keep_length"))
+    # rows that share their id, or have none, can be best together
+    several = cut_lineage(digests.join(found, "digest").filter(best).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"))
+    stay = with_digest(rows).drop("text").join(found, "digest").filter(best)
+    if several.isEmpty():
+        return stay.select("row.*")
+    one = stay.join(several, "digest", "left_semi").groupBy("digest").agg(F.first("row").alias("row"))
+    return stay.join(several, "digest", "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -64,7 +64,7 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cuckoo_dedup.exact_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return cuckoo_dedup.exact_groups(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 _BLANK = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
@@ -81,7 +81,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}', {len(h) + len(p)})" for v, h, p in URL_RULES)
+# as in the trie, a rule with more host labels is longer, then one with a longer path
+_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}', {100_000 * (h.count('.') + 1) + len(p)})" for v, h, p in URL_RULES)
 SQL["op4_url_filter"] = f"""
 WITH rules(verdict, rhost, rpath, size) AS (VALUES {_RULES_SQL}),
 cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -72,3 +72,19 @@ def test_stage_keeps_columns(edges, empty):
 def test_sql_agrees(spark):
     for name in ("op3_exact_dedup", "op4_url_filter"):
         assert compare(spark, duck(SF), SF, queries.QUERIES[name], queries.SQL[name]) is None
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "y"), (1, "ab", "z"), (None, "c", "x"), (None, "c", "y"), (None, " c", "z"), (2, "d", "x"), (None, None, "x"), (None, "", "y")]
+    got = c.drop_copies(spark.createDataFrame(rows, "doc_id bigint, text string, digest string"), single=True)
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").replace(" ", "")) for r in got.collect()) == [(0, ""), (0, "c"), (1, "ab"), (2, "d")]
+    assert {r["text"] for r in got.collect()} >= {"a b", " c", "d"}
+
+
+def test_ids_of_any_type_and_deletions(spark):
+    df = spark.createDataFrame([("a2", "t"), ("a10", "t"), ("b", "u")], "doc_id string, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in c.exact_groups(df).collect()} == {"a2": "a10", "a10": "a10", "b": "b"}
+    rows = spark.createDataFrame([(b"x", 1, 10, 5), (b"x", 1, 9, 7), (b"x", 1, 9, 8), (b"x", -1, 10, 5), (b"y", -1, 3, 1), (b"z", 1, 1, 2), (b"z", -1, 1, 2)], "digest binary, n bigint, length bigint, keep_id bigint")
+    live = c.live_digests(rows, 2)
+    assert [(bytes(r["digest"]), r["n"]) for r in live.collect()] == [(b"x", 2)]
+    assert [(bytes(r["digest"]), r["n"], r["length"], r["keep_id"]) for r in c.living_keepers(rows, live).collect()] == [(b"x", 2, 9, 7)]

@@ -148,3 +148,16 @@ def test_a_minwise_token_agrees_as_often_as_sets_overlap():
 def test_query_matches_brute_force(spark, given):
     want = [(i, n, c, i == c) for i, n, c in brute([(r["doc_id"], r["text"]) for r in given.collect()])]
     assert sorted((tuple(r) for r in queries.op10_near_dedup(spark, "/root/testdata/sf0.001").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_one_row_of_each_component_stays(spark):
+    from panelspark.llm import chosen_path
+
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words), "x"), (1, " ".join(words), "y"), (1, "quite another text here", "z"), (2, near, "x"), (None, "no id at all here", "x"), (None, "no id at all here", "y"), (3, None, "x"), (3, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, ref string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in chosen_path.drop_near_copies(df, size=5, percent=80, single=True).collect())
+    assert got == [(0, "no id at all here"), (1, "quite another text here"), (1, " ".join(words)), (3, ""), (3, "")]
+    named = spark.createDataFrame([("b", "one two three"), ("a", "one two three")], "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in chosen_path.near_groups(named, size=3, percent=85).collect()} == {"a": "a", "b": "a"}
