@@ -3,7 +3,8 @@
 Stages take (spark, docs, sf_dir). All but the last return the columns of ``docs``: language ID
 drops texts without a language, exact dedup and near-duplicate detection keep one document of
 each group, decontamination drops documents that hold benchmark passages, and the last stage
-encodes what is left. Null texts count as empty and go with the first stage. An empty table passes through all stages.
+encodes what is left. Null texts count as empty and go with the first
+stage. Rows that share an id or have none are told apart: of equal rows one stays. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cuckoo_dedup.drop_copies(docs)
+    return cuckoo_dedup.drop_copies(docs, single=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return chosen_path.drop_near_copies(docs, size=5, percent=80)
+    return chosen_path.drop_near_copies(docs, size=5, percent=80, single=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
