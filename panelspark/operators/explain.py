@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stable_number
 from ..session import cut_lineage
-from .ladder import bin_by_edges, edge_bounds, hashed_position, quantile_edges
+from .ladder import bin_by_edges, edge_bounds, quantile_edges
 from .metrics import basic_metrics
 from .reshape import explode_grid
 from .sampling import stable_sample
@@ -17,27 +18,79 @@ from .sampling import stable_sample
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def permute(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
-    """The column's values in another row order: every value is used once.
+#: Rounds of the shuffle of positions, and the numbers that its keys and coins are drawn with.
+ROUNDS, _PRIME, _SPREAD = 16, (1 << 31) - 1, 1_326_507_023
 
-    Two hash orders give two exact positions; the rows meet on equal position.
+
+def _mixed(x: Column) -> Column:
+    spread = x % _PRIME * _SPREAD % _PRIME
+    return spread * spread % _PRIME
+
+
+def shuffle_keys(spark: SparkSession, jobs: int, first: int = 0) -> DataFrame:
+    """(_job, _keys): the keys of each job's rounds."""
+    rounds = F.sequence(F.lit(1).cast("bigint"), F.lit(ROUNDS).cast("bigint"))
+    return spark.range(first, first + jobs).select(F.col("id").alias("_job"), F.transform(rounds, lambda i: _mixed(_mixed(F.col("id") * ROUNDS + i) + i)).alias("_keys"))
+
+
+def shuffled(position: Column, count: int, keys: Column) -> Column:
+    """Position in a permutation of 0..count-1 that the keys name, without a table.
+
+    In each round a position and its mirror image about the round's key change places or not, by a coin that
+    both see alike. A round is its own inverse, so all positions are permuted, for any count.
+    """
+
+    def swap(at: Column, key: Column) -> Column:
+        mirror = F.pmod(key * (count // _PRIME + 1) + key - at, F.lit(count).cast("bigint"))
+        return F.when(_mixed(F.greatest(at, mirror) + key) < F.lit(_PRIME // 2), mirror).otherwise(at)
+
+    return F.aggregate(keys, position.cast("bigint"), swap)
+
+
+def numbered(df: DataFrame, key: str, seed: int, out: str = "_pos") -> DataFrame:
+    """Position 0..n-1 of every row in the order of a portable hash of its key, exact and without a single-task sort."""
+    hashed = df.withColumn("_h", stable_number(key, seed))
+    slices = hashed.groupBy(F.shiftright("_h", 44).alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # 65,536 slices at most
+    before = slices.select("_slice", F.coalesce(F.sum("_n").over(along), F.lit(0).cast("bigint")).alias("_before"))
+    inside = Window.partitionBy("_slice").orderBy("_h", key)
+    placed = hashed.withColumn("_slice", F.shiftright("_h", 44)).withColumn("_inner", F.row_number().over(inside) - 1)
+    return placed.join(before, "_slice").withColumn(out, F.col("_before") + F.col("_inner")).drop("_h", "_slice", "_inner", "_before")
+
+
+def permute(df: DataFrame, key: str, column: str, seed: int, job: int = 0) -> DataFrame:
+    """The column's values in another row order: every value is used once."""
+    rows = cut_lineage(numbered(df, key, seed))
+    keys = shuffle_keys(df.sparkSession, 1, job).select("_keys").scalar()
+    sent = rows.withColumn("_keys", keys).select(shuffled(F.col("_pos"), max(1, rows.count()), F.col("_keys")).alias("_pos"), column)
+    return rows.drop(column).join(sent, "_pos").drop("_pos")
+
+
+def permuted_scores(score: Scorer, df: DataFrame, key: str, features: list[str], y: str, repeats: int, seed: int = 42) -> DataFrame:
+    """(feature, repeat, mse) with one feature permuted at a time, all from one scoring job.
+
+    Every row sends its values on, one for each feature and repeat, to the position that the job's
+    permutation gives; the rows meet them there. The plan is the same for one job and for a thousand.
     """
-    here = hashed_position(df, [key], seed, "_pos").drop(column)
-    there = hashed_position(df.select(key, column), [key], seed + 7919, "_pos").select("_pos", column)
-    return here.join(there, "_pos").drop("_pos")
+    rows = cut_lineage(numbered(df.withColumns({f: F.col(f).cast("double") for f in features}), key, seed))
+    count, jobs = max(1, rows.count()), len(features) * repeats
+    listed = shuffle_keys(df.sparkSession, jobs).agg(F.collect_list(F.struct("_job", "_keys")).alias("j")).scalar()
+    each = rows.withColumn("_jobs", listed).select("_pos", F.array(*features).alias("_values"), F.explode("_jobs").alias("_j")).select("_pos", "_values", "_j.*")
+    number = F.floor(F.col("_job") / repeats).cast("int")
+    sent = each.select(shuffled(F.col("_pos"), count, F.col("_keys")).alias("_pos"), "_job", F.get("_values", number).alias("_value"))
+    mixed = rows.join(sent, "_pos").withColumns({f: F.when(number == i, F.col("_value")).otherwise(F.col(f)) for i, f in enumerate(features)})
+    miss = F.col(y) - F.col("prediction")
+    errors = score(mixed).groupBy("_job").agg(F.avg(miss * miss).alias("mse"))
+    name = F.get(F.array(*[F.lit(f) for f in features]), number)
+    return errors.select(name.alias("feature"), (F.col("_job") % repeats).cast("int").alias("repeat"), "mse")
 
 
 def permutation_importance(score: Scorer, df: DataFrame, key: str, features: list[str], y: str, repeats: int = 3, seed: int = 42) -> DataFrame:
     """Rise of the mean squared error when one feature is permuted; mean and deviation over repeats."""
     rows = cut_lineage(df)
     base = basic_metrics(score(rows), y, "prediction").select(F.col("mse").alias("_base"))
-    parts = None
-    for i, f in enumerate(features):
-        for j in range(repeats):
-            mixed = score(permute(rows, key, f, seed + 1000 * i + j))
-            part = basic_metrics(mixed, y, "prediction").select(F.lit(f).alias("feature"), "mse")
-            parts = part if parts is None else parts.unionByName(part)
-    parts = parts.withColumn("_base", base.scalar())
+    parts = permuted_scores(score, rows, key, features, y, repeats, seed).withColumn("_base", base.scalar())
     rise = F.col("mse") - F.col("_base")
     return parts.groupBy("feature").agg(F.avg(rise).alias("score"), F.stddev_pop(rise).alias("deviation"))
 

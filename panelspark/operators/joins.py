@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width of a range of periods that one task carries values through, in reaches.
+RANGE_REACHES = 8
+
+
 class CardinalityError(ValueError):
     """A join key repeats on a side that should hold it once."""
 
@@ -29,17 +33,27 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
 def latest_within(facts: DataFrame, wanted: DataFrame, keys: list[str], period: str, value: str, reach: int) -> DataFrame:
     """As-of backfill: the value of the wanted period, else the latest of the ``reach`` periods before.
 
-    Each fact is copied to the ``reach`` following periods (a narrow explode), which turns
-    the range condition into an equi-join and the choice into ``max_by`` with map-side combine.
+    Facts and requests of a key go by period in one stream, in which the last known value is carried
+    with its period and dropped where it lies too far back. No fact is copied for its reach. Keys
+    are dealt by (key, range of periods): a range takes the facts of the range before it along, so
+    a key with most of the rows is shared by several tasks.
     """
-    spread = facts.where(F.col(value).isNotNull()).select(
-        *keys,
-        F.explode(F.sequence(F.col(period), F.col(period) + reach)).alias("_wanted"),
-        F.col(period).alias("_from"),
-        value,
-    )
-    best = spread.groupBy(*keys, "_wanted").agg(F.max_by(value, "_from").alias(value), F.max("_from").alias(f"{value}_from"))
-    return wanted.join(best.withColumnRenamed("_wanted", period), [*keys, period], "left")
+    width = max(1, RANGE_REACHES * reach)
+    slot = lambda p: F.floor(p / F.lit(width))
+    known = facts.where(F.col(value).isNotNull()).select(*keys, F.col(period).alias("_at"), F.lit(0).alias("_asked"), F.col(value).alias("_v"))
+    # of a range only its last ``reach`` periods can serve the next one
+    near_end = F.col("_at") + reach >= (slot(F.col("_at")) + 1) * width
+    held = known.withColumn("_slot", F.explode(F.when(near_end, F.array(slot(F.col("_at")), slot(F.col("_at")) + 1)).otherwise(F.array(slot(F.col("_at"))))))
+    # of several facts of one period the greatest counts
+    held = held.groupBy(*keys, "_slot", "_at", "_asked").agg(F.max("_v").alias("_v"))
+    asked = wanted.select(*keys, F.col(period).alias("_at")).distinct()
+    asked = asked.withColumns({"_slot": slot(F.col("_at")), "_asked": F.lit(1), "_v": F.lit(None).cast(facts.schema[value].dataType)})
+    stream = held.unionByName(asked)
+    upto = Window.partitionBy(*keys, "_slot").orderBy("_at", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_asked") == 0, F.struct(F.col("_v").alias("v"), F.col("_at").alias("p"))), ignorenulls=True).over(upto)
+    found = stream.withColumn("_last", last).where("_asked = 1").withColumn("_last", F.when(F.col("_last.p") >= F.col("_at") - reach, F.col("_last")))
+    best = found.select(*keys, F.col("_at").alias(period), F.col("_last.v").alias(value), F.col("_last.p").alias(f"{value}_from"))
+    return wanted.join(best, [*keys, period], "left")
 
 
 def previous_event(df: DataFrame, kind: str, period: str) -> DataFrame:

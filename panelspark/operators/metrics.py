@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..session import cut_lineage
 from .ladder import attach, avg_rank, quantiles, value_ladder
 
 
@@ -73,11 +74,22 @@ def _block_sum(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"s": [s * float(pdf["sign"].iloc[0])]})
 
 
-def _grid_sum(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = [p for p in pdfs if len(p)]
-    if parts:
-        g = pd.concat(parts)
-        yield pd.DataFrame({"s": [_signed_pairs(g["bx"].to_numpy("float64"), g["by"].to_numpy("float64"), g["w"].to_numpy("float64"))]})
+def _grid_pairs(cells: DataFrame) -> DataFrame:
+    """(s): signed pairs of cells that differ in both parts, from running sums along either axis.
+
+    The cells are filled up to all pairs of parts that occur. A window along one x part, and then one along one y part,
+    sees as many rows as there are parts, so no task sees the grid.
+    """
+    grid = cells.groupBy("bx", "by").agg(F.sum("w").cast("double").alias("w"))
+    columns = grid.agg(F.sort_array(F.collect_set("by")).alias("by")).scalar()
+    full = grid.select("bx").distinct().withColumn("_all", columns).select("bx", F.explode("_all").alias("by"))
+    row, upto = Window.partitionBy("bx"), Window.partitionBy("bx").orderBy("by").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("by").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)
+    filled = full.join(grid, ["bx", "by"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    # of one x part: what lies below a y part less what lies above it
+    balance = filled.select("bx", "by", "w", (2 * F.sum("w").over(upto) - F.col("w") - F.sum("w").over(row)).alias("_lean"))
+    met = balance.withColumn("_d", F.sum("_lean").over(earlier)).where("w > 0 AND _d IS NOT NULL")
+    return met.agg(F.coalesce(F.sum(F.col("w") * F.col("_d")), F.lit(0.0)).alias("s"))
 
 
 #: Rows of one part of an order, at most on average, and the fewest parts.
@@ -88,15 +100,17 @@ def kendall(df: DataFrame, x: str, y: str, blocks: int | None = None) -> DataFra
     """Exact Kendall tau-b without comparing all pairs.
 
     Rows are cut into ``blocks`` equal parts of the x order and of the y order, as many as
-    the rows ask for: more rows make more parts, not larger ones. Pairs in
-    different parts of both follow from the counts of the grid of parts. Pairs inside one
+    the rows ask for, while the cells of the grid of parts stay fewer than the rows. Pairs in
+    different parts of both follow from running sums over that grid. Pairs inside one
     x part, or one y part, are counted there by divide and conquer, and those inside the
     same cell, counted twice, are subtracted. A single value that fills a part of its own
     adds no pair inside that part, so a hot value never forms a large block.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop("any")
     counted = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    blocks = blocks or max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
+    if not blocks:
+        n = rows.count()
+        blocks = max(LEAST_PARTS, min(-(-n // PART_ROWS), math.isqrt(n) // 4))
 
     def placed(frame: DataFrame, c: str) -> DataFrame:
         rungs = value_ladder(rows, [], c)
@@ -105,7 +119,8 @@ def kendall(df: DataFrame, x: str, y: str, blocks: int | None = None) -> DataFra
         return frame.join(rungs.select(c, (2 * part + alone.cast("int")).alias(f"b{c}"), alone.alias(f"hot_{c}")), c)
 
     cells = placed(placed(counted, "x"), "y")
-    grid = cells.groupBy("bx", "by").agg(F.sum("w").cast("double").alias("w")).repartition(1).mapInPandas(_grid_sum, "s double")
+    cells = cut_lineage(cells)
+    grid = _grid_pairs(cells)
     jobs = F.array(
         F.when(~F.col("hot_x"), F.struct(F.col("bx").alias("i"), F.lit(-1).cast("bigint").alias("j"), F.lit(1.0).alias("sign"))),
         F.when(~F.col("hot_y"), F.struct(F.lit(-1).cast("bigint").alias("i"), F.col("by").alias("j"), F.lit(1.0).alias("sign"))),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lookup, ratio
 from ..functions.text import POLLSTERS, french_end_date, noisy_integer, percent_number
+from ..session import cut_lineage
 
+# Names that stand for no candidate, and the name that all others are summed under.
 NOT_A_CANDIDATE = ["Abstention", "Indécis", "Indécis (échantillon)"]
 OTHERS = "Autres"
 
@@ -73,6 +76,43 @@ def poll_errors(polls: DataFrame, truth: DataFrame, cols: list[str], left: str =
     return out.withColumns(errors).drop(*[f"_t_{c}" for c in dict.fromkeys([*cols, left, right])])
 
 
+#: Days of a series that are filtered one after the other; a longer series is filtered in chunks.
+CHUNK_DAYS = 50_000
+
+#: What a run of days does to any state before it: arrays A, b, C, eta, J with one row for each run.
+Element = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def day_elements(z: np.ndarray, n: np.ndarray, q: tuple[float, float], r: float) -> Element:
+    """One element for each day: predict, then update with ``n`` polls of mean ``z`` if there are any."""
+    seen = n > 0
+    s = q[0] + r / np.where(seen, n, 1)
+    gain, z = np.where(seen, q[0] / s, 0.0), np.where(seen, z, 0.0)
+    zero, one = np.zeros(len(n)), np.ones(len(n))
+    stack = lambda *rows: np.stack([np.stack(row, -1) for row in rows], -2)
+    known = np.where(seen, 1 / s, 0.0)
+    return stack((1 - gain, 1 - gain), (zero, one)), np.stack([gain * z, zero], -1), stack(((1 - gain) * q[0], zero), (zero, one * q[1])), np.stack([z * known, z * known], -1), stack((known, known), (known, known))
+
+
+def joined_elements(i: Element, j: Element) -> Element:
+    """The element of each run followed by another; joining is associative."""
+    (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = i, j
+    turned = lambda m: np.swapaxes(m, -1, -2)
+    times = lambda m, v: (m @ v[..., None])[..., 0]
+    forth = a2 @ np.linalg.inv(np.eye(2) + c1 @ j2)
+    back = turned(a1) @ np.linalg.inv(np.eye(2) + j2 @ c1)
+    return forth @ a1, times(forth, b1 + times(c1, e2)) + b2, forth @ c1 @ turned(a2) + c2, times(back, e2 - times(j2, b1)) + e1, back @ j2 @ a1 + j1
+
+
+def run_element(days: Element) -> Element:
+    """All days joined, neighbours by neighbours."""
+    while len(days[0]) > 1:
+        even = len(days[0]) // 2 * 2
+        pairs = joined_elements(tuple(x[0:even:2] for x in days), tuple(x[1:even:2] for x in days))
+        days = tuple(np.concatenate([p, x[even:]]) for p, x in zip(pairs, days))
+    return days
+
+
 def kalman_level(
     df: DataFrame,
     series: list[str],
@@ -86,15 +126,39 @@ def kalman_level(
     """Level and slope of each series by a constant-velocity Kalman filter (predict, then update).
 
     ``day`` is a date. The polls of one day count as their mean with the noise divided by
-    their number, which equals one update for each; a day without values only predicts. A
-    series so has one row a day, however many polls, and is folded as one group.
+    their number, which equals one update for each; a day without values only predicts.
+
+    A series of more than ``CHUNK_DAYS`` days is cut into chunks by its days. What a chunk does to any state before
+    it is one element; the elements of a series, in order, give every chunk its starting state, and all
+    chunks are filtered at the same time.
     """
-    daily = df.groupBy(*series, day).agg(F.avg(value).cast("double").alias("observed"), F.count(value).alias("_n"))
+    daily = cut_lineage(df.groupBy(*series, day).agg(F.avg(value).cast("double").alias("observed"), F.count(value).alias("_n")))
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*series, day]]
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    chunked = daily.withColumn("_chunk", F.floor(number / CHUNK_DAYS).cast("int"))
+    # by calendar days: a chunk holds as many rows at most
+    several = chunked.groupBy(*series).agg((F.max("_chunk") > F.min("_chunk")).alias("m")).where("m").limit(1).count() > 0
+    state = ["level0", "slope0", "a0", "b0", "c0"]
+    start = (*x0, p0[0], 0.0, p0[1])
+
+    def element(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(day)
+        found = run_element(day_elements(pdf["observed"].to_numpy(float), pdf["_n"].to_numpy(float), q, r))
+        return pdf[[*series, "_chunk"]].head(1).assign(element=[np.concatenate([x[0].ravel() for x in found]).tobytes()])
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state before each chunk of a series."""
+        pdf, rows = pdf.sort_values("_chunk"), []
+        now = (np.zeros((1, 2, 2)), np.array([x0], float), np.array([[[p0[0], 0.0], [0.0, p0[1]]]]), np.zeros((1, 2)), np.zeros((1, 2, 2)))
+        for raw in pdf["element"]:
+            rows.append((now[1][0, 0], now[1][0, 1], now[2][0, 0, 0], now[2][0, 0, 1], now[2][0, 1, 1]))
+            x = np.frombuffer(raw)
+            now = joined_elements(now, (x[:4].reshape(1, 2, 2), x[4:6].reshape(1, 2), x[6:10].reshape(1, 2, 2), x[10:12].reshape(1, 2), x[12:].reshape(1, 2, 2)))
+        return pdf[[*series, "_chunk"]].assign(**{c: [row[i] for row in rows] for i, c in enumerate(state)})
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(day)
-        level, slope, a, b, c = *x0, p0[0], 0.0, p0[1]
+        level, slope, a, b, c = pdf[state].iloc[0] if several else start
         states = []
         for z, n in zip(pdf["observed"], pdf["_n"]):
             # predict: x = F x with F = [[1, 1], [0, 1]], P = F P F' + Q; P = [[a, b], [b, c]]
@@ -106,4 +170,14 @@ def kalman_level(
             states.append((level, slope))
         return pdf[[*series, day, "observed"]].assign(level=[s[0] for s in states], slope=[s[1] for s in states])
 
-    return daily.groupBy(*series).applyInPandas(fold, ", ".join([*kinds, "observed double", "level double", "slope double"]))
+    out = ", ".join([*kinds, "observed double", "level double", "slope double"])
+    if not several:
+        return chunked.groupBy(*series).applyInPandas(fold, out)
+    ids = ", ".join([*kinds[:-1], "_chunk int"])
+    found = chunked.groupBy(*series, "_chunk").applyInPandas(element, f"{ids}, element binary")
+    before = found.groupBy(*series).applyInPandas(starts, f"{ids}, " + ", ".join(f"{c} double" for c in state))
+    before = cut_lineage(before.withColumnsRenamed({c: f"_{c}" for c in [*series, "_chunk"]}))
+    same = F.col("_chunk").eqNullSafe(F.col("__chunk"))
+    for c in series:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return chunked.join(before, same).groupBy(*series, "_chunk").applyInPandas(fold, out)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_bucket
+from ..session import cut_lineage
 from .windows import group_mean_fill, level_deltas
 
 
@@ -60,11 +61,46 @@ def target_frame(df: DataFrame, target: str, mode: str, features: list[str], met
     return filled.where(F.col(y).isNotNull()).select(*meta, *features, F.col(y).alias("y"), F.col(y_prev).alias("y_prev"))
 
 
+#: Rows of a strip of the product matrix, and parts that one task of the tree adds for a strip.
+STRIP_ROWS, TREE_PARTS = 64, 32
+
+
+def added_in_tree(rows: DataFrame, key: str, part: str) -> DataFrame:
+    """Sums of vectors of doubles, packed as bytes, by key: no task adds more than about ``TREE_PARTS`` parts of a key.
+
+    Each level writes its sums, a ``TREE_PARTS``-th of those before, until one is left for each key.
+    """
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            for k, g, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "g", "part"))):
+                if (k, g) != at:
+                    if at is not None:
+                        yield made(at, total)
+                    at, total = (k, g), np.zeros(len(raw) // 8)
+                total += np.frombuffer(raw)
+        if at is not None:
+            yield made(at, total)
+
+    def made(at: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["k", "g", "part"])
+
+    now = cut_lineage(rows.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("g"), F.col(part).alias("part")))
+    while True:
+        most = now.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return now.select(F.col("k").alias(key), F.col("part").alias(part))
+        groups = -(-most // TREE_PARTS)
+        dealt = now.withColumn("g", F.pmod(F.xxhash64("g"), F.lit(groups)))
+        now = cut_lineage(dealt.repartition("k", "g").sortWithinPartitions("k", "g").mapInArrow(added, "k int, g bigint, part binary"))
+
+
 def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
     """Pearson correlations of all pairs of features over the rows where both are given.
 
-    Tasks add up products of the centred values, their squares and their presence; one task
-    adds the sums as they come, so a matrix of (3 k)² numbers is all that moves.
+    Tasks add up products of the centred values, their squares and their presence. Their matrices of
+    (3 k)² numbers are cut into strips, which are added in a tree, each by itself.
     """
     row = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
     middle, k = np.array([0.0 if m is None else m for m in row]), len(features)
@@ -77,18 +113,17 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
             x = np.where(given, x, 0.0)
             wide = np.hstack([given, x, x * x])
             total += wide.T @ wide
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(9 * k * k)
-        for batch in batches:
-            for part in batch.column("part").to_pylist():
-                total += np.frombuffer(part)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        for i in range(0, 3 * k, STRIP_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + STRIP_ROWS].tobytes()], pa.binary())], names=["i", "part"])
 
     numbers = df.select(*[F.col(f).cast("double") for f in features])
-    sums = numbers.mapInArrow(products, "part binary").repartition(1).mapInArrow(added, "part binary").first()[0]
-    g = np.frombuffer(sums).reshape(3, k, 3, k).swapaxes(1, 2)
+    rows = numbers.mapInArrow(products, "i int, part binary")
+    sums = added_in_tree(rows, "i", "part")
+    found = {r["i"]: np.frombuffer(r["part"]) for r in sums.collect()}
+    if not found:
+        return np.full((k, k), np.nan)
+    g = np.vstack([found[i].reshape(-1, 3 * k) for i in sorted(found)])
+    g = g.reshape(3, k, 3, k).swapaxes(1, 2)
     n, x, xx, xy = g[0, 0], g[1, 0], g[2, 0], g[1, 1]  # by (i, j): rows with both, sums of i, of its squares, of products
     with np.errstate(invalid="ignore", divide="ignore"):
         return (xy - x * x.T / n) / np.sqrt((xx - x * x / n) * (xx - x * x / n).T)

@@ -13,7 +13,7 @@ from ..plans import backtest
 from ..plans import panel as P
 from ..session import cut_lineage, shared_folder
 from ..sources import files
-from .base import PANEL_SQL, panel, r, region_panel, share_sql, table
+from .base import PANEL_SQL, panel, r, region_panel, share_sql, stable_sql, table
 from .q_forecast import _PREV_SQL, history
 from .q_schema import _LONG_SQL, yearly_wide
 from .q_spatial import PLACES_SQL, places
@@ -156,18 +156,40 @@ def linear_model(spark, sf):
 _FIT_SQL = f"WITH {_PREV_SQL}, x AS (SELECT entity, period, y, y_prev FROM h WHERE y_prev IS NOT NULL), f AS (SELECT regr_slope(y, y_prev) AS b, regr_intercept(y, y_prev) AS a, avg(y_prev) AS m FROM x)"
 
 
-@query("x1_permutation_importance")
+def _mixed_sql(x: str) -> str:
+    spread = f"(({x}) % {explain._PRIME} * {explain._SPREAD} % {explain._PRIME})"
+    return f"({spread} * {spread} % {explain._PRIME})"
+
+
+# the keys of ``explain.shuffle_keys`` and the permutation of ``explain.shuffled``
+_KEYS_SQL = f"keys AS MATERIALIZED (SELECT job, list_transform(range(1, {explain.ROUNDS + 1}), lambda i: {_mixed_sql(_mixed_sql(f'job * {explain.ROUNDS} + i') + ' + i')}) AS ks FROM (SELECT unnest(range(20)) AS job))"
+_MIRROR_SQL = f"(((k * (n // {explain._PRIME} + 1) + k - p) % n + n) % n)"
+_SHUFFLED_SQL = f"list_reduce(list_prepend(p0, ks), lambda p, k: CASE WHEN {_mixed_sql(f'greatest(p, {_MIRROR_SQL}) + k')} < {explain._PRIME // 2} THEN {_MIRROR_SQL} ELSE p END)"
+_POS_SQL = f"pos AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {stable_sql('key')}, key) - 1 AS p0, count(*) OVER () AS n FROM (SELECT entity || '|' || period AS key, y, y_prev, size FROM h WHERE y_prev IS NOT NULL))"
+
+
+@query(
+    "x1_permutation_importance",
+    f"WITH {_PREV_SQL}, {_POS_SQL}, {_KEYS_SQL}, m AS (SELECT avg(y) AS my, avg(y_prev) AS mu, avg(size) AS mv, covar_pop(y_prev, y_prev) AS uu, covar_pop(size, size) AS vv, covar_pop(y_prev, size) AS uv, covar_pop(y_prev, y) AS uy, covar_pop(size, y) AS vy FROM pos), "
+    "k AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS a, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b FROM m), base AS (SELECT avg(pow(y - my - a * (y_prev - mu) - b * (size - mv), 2)) AS mse FROM pos, k), "
+    f"sent AS (SELECT job, {_SHUFFLED_SQL} AS p, CASE WHEN job < 10 THEN y_prev ELSE size END AS v FROM pos, keys), "
+    "e AS (SELECT job, avg(pow(y - my - a * (CASE WHEN job < 10 THEN v ELSE y_prev END - mu) - b * (CASE WHEN job < 10 THEN size ELSE v END - mv), 2)) AS mse FROM sent JOIN pos ON p = p0, k GROUP BY job) "
+    "SELECT CASE WHEN job < 10 THEN 'y_prev' ELSE 'size' END AS feature, round(avg(e.mse - base.mse) / 1e8, 3) AS score, round(stddev_pop(e.mse - base.mse) / 1e8, 3) AS deviation FROM e, base GROUP BY 1",
+)
 def _(spark, sf):
     df = rows(spark, sf)
-    model = models.fit("forest", df, ["y_prev", "size"], "y", numTrees=5, maxDepth=3)
-    score = lambda d: models.predict(model, d, ["y_prev", "size"])
-    return explain.permutation_importance(score, df, "key", ["y_prev", "size"], "y", repeats=2)
+    model = models.fit("linear", df, ["y_prev", "size"], "y", solver="normal")
+    out = explain.permutation_importance(lambda d: models.predict(model, d, ["y_prev", "size"]), df, "key", ["y_prev", "size"], "y", repeats=10)
+    return out.select("feature", r(F.col("score") / 1e8, 3).alias("score"), r(F.col("deviation") / 1e8, 3).alias("deviation"))
 
 
-@query("x1_permuted_column", f"WITH {_PREV_SQL} SELECT CAST(count(*) AS BIGINT) AS n, round(sum(y_prev), 2) AS total, min(y_prev) AS low, max(y_prev) AS high FROM h WHERE y_prev IS NOT NULL")
+@query(
+    "x1_permuted_column",
+    f"WITH {_PREV_SQL}, {_POS_SQL}, {_KEYS_SQL}, sent AS (SELECT {_SHUFFLED_SQL} AS p, y_prev AS mixed FROM pos, keys WHERE job = 3) SELECT key, round(mixed, 2) AS y_prev FROM pos JOIN sent ON p = p0",
+)
 def _(spark, sf):
-    mixed = explain.permute(rows(spark, sf), "key", "y_prev", 42)
-    return mixed.agg(F.count(F.lit(1)).alias("n"), r(F.sum("y_prev"), 2).alias("total"), F.min("y_prev").alias("low"), F.max("y_prev").alias("high"))
+    mixed = explain.permute(rows(spark, sf), "key", "y_prev", 42, job=3)
+    return mixed.select("key", r("y_prev", 2).alias("y_prev"))
 
 
 @query("x2_linear_shapley", f"{_FIT_SQL} SELECT entity || '|' || period AS key, 'y_prev' AS feature, round(b * (y_prev - m), 3) AS value FROM x, f")

@@ -258,6 +258,7 @@ def scan_geojson(spark: SparkSession, path: str, one_per_line: bool = False) ->
 
 # ---- nested polls ----
 
+# Field names of the nested polls.
 POLL_SCHEMA = (
     "tours array<struct<tour: string, hypotheses: array<struct<sous_echantillon: bigint, candidats: array<struct<"
     "candidat: string, parti: array<string>, intentions: double, erreur_sup: double, erreur_inf: double>>>>>>"
