@@ -68,7 +68,7 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def french_end_date(c: Column | str, default_year: Column | int) -> Column:
     """Last day of a French date or date range.
 
-    Reads '8 avril 2022', '1er avril', '6-8 avril' and '31 mars 2021 - 4 avril 2022'.
+    Reads '14 juin 2018', '1er mars', '2-5 mai' and '30 août 2019 - 3 septembre 2020'.
     A side without a year takes ``default_year``; a range without years whose second
     month precedes the first ends in the next year; a same-month range that runs
     backwards ends in the next month; everything else is null.

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import threading
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forecast, metrics
 from ..operators.models import baseline_constant, baseline_previous, fit, predict, predict_trends
 from ..operators.splits import temporal_split
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
+from ..sources.files import exists
 
 
 def train_trends(df: DataFrame, trends: list[str], features: list[str], kind: str, year: int, wanted: str, reach: int = 15, **params) -> dict:
@@ -28,34 +36,69 @@ def forecast_event(models: dict, rows: DataFrame, blocs: list[str]) -> DataFrame
     return forecast.shares_to_counts(forecast.normalise_shares(scored, blocs), blocs)
 
 
-def backtest_grid(df: DataFrame, grid: list[dict], features: list[str], trends: list[str], years: list[int], wanted: str, reach: int = 15) -> DataFrame:
-    """mse, rmse and mae of model, in-sample, previous and constant predictions per (model, trend, year).
+_SCORES = "model string, params string, trend string, year int, scored string, n bigint, mse double, rmse double, mae double"
+
 
-    The loop runs over a small grid of fits; each fit, prediction and metric is distributed,
-    and the scores are united into one frame.
+def recorded_jobs(spark: SparkSession, jobs: dict[tuple, Callable[[], list[tuple]]], path: str, schema: str, key: list[str], parallel: int = 1) -> DataFrame:
+    """The rows of all jobs, each written as soon as its job has ended.
+
+    A job gives a few rows that begin with its key. Up to ``parallel`` jobs run at a time, their Spark jobs side by side.
+    Jobs whose rows are at ``path`` already are not run again, so a run that was stopped goes on where it was.
+    """
+    done = set()
+    if exists(spark, path):
+        done = {tuple(r) for r in spark.read.schema(schema).parquet(path).select(*key).distinct().collect()}
+    lock = threading.Lock()
+
+    def run(job: Callable[[], list[tuple]]) -> None:
+        rows = job()
+        with lock:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        # a failed job is raised when the others have ended and are recorded
+        for ended in [pool.submit(run, job) for k, job in jobs.items() if k not in done]:
+            ended.result()
+    wanted = spark.createDataFrame(list(jobs), ", ".join(f.strip() for f in schema.split(",")[: len(key)]))
+    return spark.read.schema(schema).parquet(path).join(wanted, key, "left_semi")
+
+
+def backtest_grid(df: DataFrame, grid: list[dict], features: list[str], trends: list[str], years: list[int], wanted: str, reach: int = 15, record: str | None = None, parallel: int = 1) -> DataFrame:
+    """n, mse, rmse and mae of model, in-sample, previous and constant predictions per (model, trend, year).
+
+    Each fit is a recorded job whose four score rows are stored when it ends, at ``record`` if it is
+    named, where a later run finds them; the plan of the result does not grow with the grid.
     """
     rows = cut_lineage(df)
-    out = None
+    jobs = {}
     for spec in grid:
         kind, params = spec["model"], {k: v for k, v in spec.items() if k != "model"}
         for trend in trends:
-            y, prev = f"pvote_{trend}", f"previous_pvote_{trend}"
-            use = [*features, prev]
             for year in years:
-                parts = temporal_split(rows, "period", "kind", year, wanted, y, reach)
-                model = fit(kind, parts["train"], use, y, **params)
-                scored = {
-                    "test": predict(model, parts["test"], use),
-                    "in_sample": predict(model, parts["train"], use),
-                    "previous": baseline_previous(parts["train"], parts["test"], y, prev),
-                    "constant": baseline_constant(parts["test"], 0.0),
-                }
-                for name, s in scored.items():
-                    part = s.select(
-                        F.lit(kind).alias("model"), F.lit(trend).alias("trend"), F.lit(year).alias("year"), F.lit(name).alias("scored"), F.col(y).alias("_y"), F.col("prediction").cast("double").alias("_p")
-                    )
-                    out = part if out is None else out.unionByName(part)
-    return metrics.basic_metrics(out, "_y", "_p", ["model", "trend", "year", "scored"])
+                key = (kind, json.dumps(params, sort_keys=True), trend, year)
+                jobs[key] = partial(_fit_scores, rows, key, kind, params, features, wanted, reach)
+    path = record or f"{shared_folder(df.sparkSession)}/scores-{uuid.uuid4().hex}"
+    return recorded_jobs(df.sparkSession, jobs, path, _SCORES, ["model", "params", "trend", "year"], parallel)
+
+
+def _fit_scores(rows: DataFrame, key: tuple, kind: str, params: dict, features: list[str], wanted: str, reach: int) -> list[tuple]:
+    _, _, trend, year = key
+    y, prev = f"pvote_{trend}", f"previous_pvote_{trend}"
+    use = [*features, prev]
+    parts = temporal_split(rows, "period", "kind", year, wanted, y, reach)
+    model = fit(kind, parts["train"], use, y, **params)
+    scored = {
+        "test": predict(model, parts["test"], use),
+        "in_sample": predict(model, parts["train"], use),
+        "previous": baseline_previous(parts["train"], parts["test"], y, prev),
+        "constant": baseline_constant(parts["test"], 0.0),
+    }
+    out = None
+    for name, s in scored.items():
+        part = s.select(F.lit(name).alias("scored"), F.col(y).alias("_y"), F.col("prediction").cast("double").alias("_p"))
+        out = part if out is None else out.unionByName(part)
+    counted = out.groupBy("scored").agg(F.count(F.lit(1)).alias("n"))
+    return [(*key, r["scored"], r["n"], r["mse"], r["rmse"], r["mae"]) for r in metrics.basic_metrics(out, "_y", "_p", ["scored"]).select("scored", "mse", "rmse", "mae").join(counted, "scored").collect()]
 
 
 def backtest_report(df: DataFrame, truth: DataFrame, trends: list[str], blocs: list[str], features: list[str], kind: str, year: int, wanted: str, **params) -> tuple[DataFrame, DataFrame]:
@@ -64,5 +107,5 @@ def backtest_report(df: DataFrame, truth: DataFrame, trends: list[str], blocs: l
     models = train_trends(rows, trends, features, kind, year, wanted, **params)
     pred = forecast_event(models, rows.where((F.col("period") == year) & (F.col("kind") == wanted)), blocs)
     cols = ["participants", "pvote_par", *[f"vote_{b}" for b in blocs], *[f"pvote_{b}" for b in blocs]]
-    errors = cut_lineage(forecast.error_table(pred, truth, "entity", cols, check=False))
+    errors = cut_lineage(forecast.error_table(pred, truth, "entity", cols, check=True))
     return errors, forecast.synthetic_report(errors, blocs)

@@ -32,18 +32,22 @@ def logit_field(events: DataFrame, places: DataFrame, share: str, blocs: int = 0
     return out
 
 
-def centred_field(field: DataFrame, per_bin: int = 1000) -> DataFrame:
+def centred_field(field: DataFrame, per_bin: int = 1000, stored: bool = False) -> DataFrame:
     """tau minus the mean of its (event, size bin).
 
-    The field feeds the edges, the bin search and the rows, so it is written once.
+    The field feeds the edges, the bin search and the rows, so it is written once, unless it is ``stored`` already.
     """
-    field = cut_lineage(field)
+    field = field if stored else cut_lineage(field)
     binned, _ = size_bins(field, ["event"], "size", per_bin)
     return centre(binned, ["event", "size_bin"], "tau", "tau_minus_m")
 
 
 def correlation_job(events: DataFrame, places: DataFrame, share: str, edges: list[float], blocs: int = 0, per_bin: int = 1000) -> DataFrame:
-    centred = cut_lineage(centred_field(logit_field(events, places, share, blocs), per_bin).select("event", "lat", "long", "tau_minus_m"))
+    """Correlation by distance of one share; the places and the stored field are held to their contracts."""
+    assert_unique(places, ["entity"], "places")
+    field = cut_lineage(logit_field(events, places, share, blocs))
+    require(field, {"tau": F.col("tau").isNotNull() & ~F.isnan("tau"), "p_alpha": F.col("p_alpha").between(0, 1)})
+    centred = cut_lineage(centred_field(field, per_bin, stored=True).select("event", "lat", "long", "tau_minus_m"))
     return spatial_correlation(centred, "event", "tau_minus_m", edges)
 
 

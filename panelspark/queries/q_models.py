@@ -136,13 +136,16 @@ def _(spark, sf):
     return scores.withColumns({"cumulative": F.col("feature").isin(kept), "recursive": F.col("feature").isin(left), "top": F.col("feature").isin(models.top_features(scores, 2))})
 
 
-@query("s16_model_save_load")
+@query(
+    "s16_model_save_load",
+    f"WITH {_PREV_SQL}, f AS (SELECT regr_slope(y, y_prev) AS b, regr_intercept(y, y_prev) AS a FROM h WHERE y_prev IS NOT NULL AND period < 2000) SELECT entity, period, round(a + b * y_prev, 3) AS prediction FROM h, f WHERE y_prev IS NOT NULL AND period >= 2000",
+)
 def _(spark, sf):
     train, test = train_test(rows(spark, sf))
     path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
-    files.save_models(spark, {"y": (models.fit("linear", train, _FEATURES, "y"), _FEATURES)}, path, sf, train)
+    files.save_models(spark, {"y": (models.fit("linear", train, ["y_prev"], "y", solver="normal"), ["y_prev"])}, path, sf, train)
     model, names = files.load_models(spark, path)["y"]
-    return models.predict(model, test, names).select("entity", "period", "prediction")
+    return models.predict(model, test, names).select("entity", "period", r("prediction", 3).alias("prediction"))
 
 
 # ---- explanation ----
@@ -199,12 +202,18 @@ def _(spark, sf):
     return explain.linear_shapley(df, "key", weights).withColumn("value", r("value", 3))
 
 
-@query("x2_sampled_shapley")
+@query(
+    "x2_sampled_shapley",
+    f"WITH {_PREV_SQL}, x AS (SELECT entity || '|' || period AS key, y, y_prev, size FROM h WHERE y_prev IS NOT NULL), m AS (SELECT covar_pop(y_prev, y_prev) AS uu, covar_pop(size, size) AS vv, covar_pop(y_prev, size) AS uv, covar_pop(y_prev, y) AS uy, covar_pop(size, y) AS vy FROM x), "
+    f"k AS (SELECT (uy * vv - vy * uv) / (uu * vv - uv * uv) AS a, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b FROM m), refs AS (SELECT avg(y_prev) AS ru, avg(size) AS rv FROM (SELECT * FROM x ORDER BY {stable_sql('key')}, key LIMIT 8)) "
+    "SELECT 'y_prev' AS feature, round(avg(abs(a * (y_prev - ru))), 2) AS importance FROM x, k, refs UNION ALL SELECT 'size', round(avg(abs(b * (size - rv))), 2) FROM x, k, refs",
+)
 def _(spark, sf):
+    """Eight references and four orders with their reverses; of a linear model the values are known."""
     df = rows(spark, sf)
-    model = models.fit("forest", df, ["y_prev", "size"], "y", numTrees=5, maxDepth=3)
-    values = explain.sampled_shapley(lambda d: models.predict(model, d, ["y_prev", "size"]), df, "key", ["y_prev", "size"], background=4, orders=1)
-    return explain.shapley_importance([values], softmax=False)
+    model = models.fit("linear", df, ["y_prev", "size"], "y", solver="normal")
+    values = explain.sampled_shapley(lambda d: models.predict(model, d, ["y_prev", "size"]), df, "key", ["y_prev", "size"])
+    return explain.shapley_importance([values], softmax=False).withColumn("importance", r("importance", 2))
 
 
 #: Fifty points of the feature's axis.
@@ -232,12 +241,12 @@ def _(spark, sf):
     return explain.local_effects(lambda d: models.predict(model, d, ["y_prev", "size"]), df, "key", "y_prev", 50)
 
 
-@query("s17_explanation_sink")
+@query("s17_explanation_sink", f"{_FIT_SQL} SELECT 'y_prev' AS feature, round(avg(abs(b * (y_prev - m))), 2) AS importance FROM x, f GROUP BY 1")
 def _(spark, sf):
     df, model = linear_model(spark, sf)
     values = explain.linear_shapley(df, "key", models.coefficients(model, ["y_prev"]))
     path = files.write_parquet(values, shared_folder(spark), f"shap-{uuid.uuid4().hex}")
-    return explain.shapley_importance([spark.read.parquet(path)])
+    return explain.shapley_importance([spark.read.parquet(path)]).withColumn("importance", r("importance", 2))
 
 
 # ---- whole jobs ----
@@ -305,7 +314,7 @@ def _(spark, sf):
 @query("m20_backtest_grid")
 def _(spark, sf):
     grid = [{"model": "linear"}, {"model": "boosting", "maxIter": 3, "maxDepth": 2}]
-    return backtest.backtest_grid(region_events(spark, sf), grid, ["size"], ["par", "g"], [2000], "BUILDING", reach=4)
+    return backtest.backtest_grid(region_events(spark, sf), grid, ["size"], ["par", "g", "d"], [1998, 1999, 2000], "BUILDING", parallel=4)
 
 
 @query("v12_backtest_report")

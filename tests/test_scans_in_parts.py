@@ -55,3 +55,26 @@ def test_strips_are_added_in_a_tree(spark, monkeypatch):
     assert splits.correlated_to_drop(df, [f"f{i}" for i in range(5)]) == ["f3"]
     parts = spark.range(40).select((F.col("id") % 2).cast("int").alias("i"), F.lit(np.ones(3).tobytes()).alias("part")).repartition(9)
     assert {r["i"]: np.frombuffer(r["part"]).tolist() for r in splits.added_in_tree(parts, "i", "part").collect()} == {0: [20.0] * 3, 1: [20.0] * 3}
+
+
+def test_recorded_jobs_go_on_where_they_were(spark, tmp_path):
+    from panelspark.plans import backtest
+
+    ran, path, schema = [], f"{tmp_path}/scores", "name string, year int, value double"
+
+    def job(name, year, fail=False):
+        def run():
+            ran.append((name, year))
+            if fail:
+                raise RuntimeError("lost")
+            return [(name, year, float(i)) for i in range(2)]
+
+        return run
+
+    jobs = {("a", 1): job("a", 1), ("a", 2): job("a", 2, fail=True), ("b", 1): job("b", 1)}
+    with pytest.raises(RuntimeError):
+        backtest.recorded_jobs(spark, jobs, path, schema, ["name", "year"], parallel=2)
+    jobs[("a", 2)] = job("a", 2)
+    got = backtest.recorded_jobs(spark, jobs, path, schema, ["name", "year"], parallel=2)
+    assert got.count() == 6 and sorted(ran) == [("a", 1), ("a", 2), ("a", 2), ("b", 1)]
+    assert backtest.recorded_jobs(spark, {("b", 1): job("b", 1)}, path, schema, ["name", "year"]).count() == 2
