@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, explain, models, splits
+from ..operators import aggregates, explain, models, splits, tree_shapley
 from ..operators.reshape import pivot_values, unpivot_years
 from ..operators.schema import BLOCS
 from ..plans import backtest
@@ -216,6 +216,18 @@ def _(spark, sf):
     return explain.shapley_importance([values], softmax=False).withColumn("importance", r("importance", 2))
 
 
+@query("x2_tree_shapley", f"WITH {_PREV_SQL} SELECT CAST(count(*) AS BIGINT) AS n, 0.0 AS gap FROM h WHERE y_prev IS NOT NULL")
+def _(spark, sf):
+    """Values of every row add up to its prediction less the mean: the largest relative gap over the whole table."""
+    df = rows(spark, sf)
+    model = models.fit("forest", df, _FEATURES, "y", numTrees=20, maxDepth=6)
+    values, mean = tree_shapley.tree_shapley(model, df, "key", _FEATURES)
+    sums = values.groupBy("key").agg(F.sum("value").alias("s"))
+    both = models.predict(model, df, _FEATURES).select("key", "prediction").join(sums, "key")
+    gap = F.max(F.abs(F.col("s") + mean - F.col("prediction")) / F.greatest(F.abs("prediction"), F.lit(1.0)))
+    return both.agg(F.count(F.lit(1)).alias("n"), r(gap, 8).alias("gap"))
+
+
 #: Fifty points of the feature's axis.
 _GRID = [10_000.0 * i for i in range(1, 51)]
 
