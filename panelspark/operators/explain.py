@@ -71,15 +71,17 @@ def permuted_scores(score: Scorer, df: DataFrame, key: str, features: list[str],
     """(feature, repeat, mse) with one feature permuted at a time, all from one scoring job.
 
     Every row sends its values on, one for each feature and repeat, to the position that the job's
-    permutation gives; the rows meet them there. The plan is the same for one job and for a thousand.
+    permutation gives; the rows meet them there. The plan is the same for one job and for a thousand. The
+    partition count is stated: the table is small against the work and would else be merged into few tasks.
     """
+    tasks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(numbered(df.withColumns({f: F.col(f).cast("double") for f in features}), key, seed))
     count, jobs = max(1, rows.count()), len(features) * repeats
     listed = shuffle_keys(df.sparkSession, jobs).agg(F.collect_list(F.struct("_job", "_keys")).alias("j")).scalar()
-    each = rows.withColumn("_jobs", listed).select("_pos", F.array(*features).alias("_values"), F.explode("_jobs").alias("_j")).select("_pos", "_values", "_j.*")
+    each = rows.repartition(tasks, "_pos").withColumn("_jobs", listed).select("_pos", F.array(*features).alias("_values"), F.explode("_jobs").alias("_j")).select("_pos", "_values", "_j.*")
     number = F.floor(F.col("_job") / repeats).cast("int")
     sent = each.select(shuffled(F.col("_pos"), count, F.col("_keys")).alias("_pos"), "_job", F.get("_values", number).alias("_value"))
-    mixed = rows.join(sent, "_pos").withColumns({f: F.when(number == i, F.col("_value")).otherwise(F.col(f)) for i, f in enumerate(features)})
+    mixed = rows.repartition(tasks, "_pos").join(sent.repartition(tasks, "_pos"), "_pos").withColumns({f: F.when(number == i, F.col("_value")).otherwise(F.col(f)) for i, f in enumerate(features)})
     miss = F.col(y) - F.col("prediction")
     errors = score(mixed).groupBy("_job").agg(F.avg(miss * miss).alias("mse"))
     name = F.get(F.array(*[F.lit(f) for f in features]), number)
