@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_bucket
 from .ladder import attach
-from .metrics import basic_metrics
 from .windows import keep_until_cumulative
 
 
@@ -166,31 +165,6 @@ def sample_params(space: dict[str, list], trials: int, seed: int = 42) -> list[d
     return [{n: rng.choice(v) for n, v in space.items()} for _ in range(trials)]
 
 
-def two_stage_search(train: DataFrame, features: list[str], label: str, key: str, rates: list[float], space: dict[str, list], trials: int, folds: int = 3, kind: str = "boosting", seed: int = 42) -> dict:
-    """First the learning rate, then random draws over the other parameters at that rate."""
-    rate, _ = cross_validate(kind, train, features, label, key, [{"stepSize": r} for r in rates], folds)
-    best, _ = cross_validate(kind, train, features, label, key, [p | rate for p in sample_params(space, trials, seed)], folds)
-    return best
-
-
-def nested_ensemble(train: DataFrame, features: list[str], label: str, key: str, space: dict[str, list], outer: int = 4, inner: int = 4, trials: int = 4, kind: str = "boosting", seed: int = 42) -> tuple[list[PipelineModel], list[float]]:
-    """Outer folds score the best inner parameters; one model per outer fold is refitted on all rows.
-
-    Folds are hashes of the key, with another seed inside than outside; the training rows
-    are cached once for all fits.
-    """
-    rows = _folds(train, key, outer, seed).withColumnRenamed("_fold", "_outer").cache()
-    models, scores = [], []
-    for o in range(outer):
-        part = rows.where(F.col("_outer") != o)
-        best, _ = cross_validate(kind, part, features, label, key, sample_params(space, trials, seed + o), inner, seed=seed + 1)
-        scored = predict(fit(kind, part, features, label, **best), rows.where(F.col("_outer") == o), features)
-        scores.append(float(basic_metrics(scored, label, "prediction").first()["mse"]))
-        models.append(fit(kind, rows, features, label, **best))
-    rows.unpersist()
-    return models, scores
-
-
 def predict_mean(models: list[PipelineModel], df: DataFrame, features: list[str], weights: list[float] | None = None, out: str = "prediction") -> DataFrame:
     """Weighted mean (equal by default) of the models' predictions."""
     w = weights or [1.0 / len(models)] * len(models)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, explain, models, splits, tree_shapley
+from ..operators import aggregates, explain, models, searches, splits, tree_shapley
 from ..operators.reshape import pivot_values, unpivot_years
 from ..operators.schema import BLOCS
 from ..plans import backtest
@@ -86,21 +86,59 @@ def _(spark, sf):
     return out.select(F.col("class").cast("bigint").alias("class"), *[r(c, 8).alias(c) for c in ("precision", "recall", "f1")], F.col("support").cast("bigint").alias("support"))
 
 
+#: Ten learning rates, evenly from 0.0001 to 1.
+_RATES = [0.0001 + i * (1 - 0.0001) / 9 for i in range(10)]
+_SPACE = {"maxDepth": [1, 2, 3, 4, 5], "minInstancesPerNode": [1, 4, 5, 6, 7], "subsamplingRate": [0.5, 0.6, 0.7], "maxIter": [5, 10, 20]}
+
+
 @query("m12_two_stage_search")
 def _(spark, sf):
     train, test = train_test(rows(spark, sf))
-    best = models.two_stage_search(train, _FEATURES, "y", "key", [0.1, 0.3], {"maxDepth": [2, 3], "maxIter": [3, 4]}, trials=2, folds=2)
+    best = searches.two_stage_search(train, _FEATURES, "y", "key", _RATES, _SPACE, trials=4, folds=3, parallel=8, first={"maxIter": 10, "maxDepth": 3})
     model = models.fit("boosting", train, _FEATURES, "y", **best)
     return models.predict(model, test, _FEATURES).select("entity", "period", "prediction")
 
 
+def _fold_sql(folds: int, seed: int = 42) -> str:
+    key = stable_sql("entity || '|' || period", seed)
+    return f"t AS (SELECT y, y_prev, {key} % {folds} AS fold FROM h WHERE y_prev IS NOT NULL AND period < 2000), folds AS (SELECT unnest(range({folds})) AS f)"
+
+
+@query(
+    "m12_fold_scores",
+    f"WITH {_PREV_SQL}, {_fold_sql(3)}, k AS (SELECT f, regr_slope(y, y_prev) AS b, regr_intercept(y, y_prev) AS a, sum(y * y_prev) / sum(y_prev * y_prev) AS o FROM t JOIN folds ON fold <> f GROUP BY f), "
+    "e AS (SELECT f, count(*) AS n, avg(pow(y - a - b * y_prev, 2)) AS straight, avg(pow(y - o * y_prev, 2)) AS origin FROM t JOIN k ON fold = f GROUP BY f) "
+    "SELECT CAST(f AS INT) AS fold, true AS intercept, CAST(n AS BIGINT) AS n, round(straight / 1e8, 3) AS mse FROM e UNION ALL SELECT CAST(f AS INT), false, CAST(n AS BIGINT), round(origin / 1e8, 3) FROM e",
+)
+def _(spark, sf):
+    """The recorded errors of two linear maps, whose values are known, in each fold."""
+    train, _ = train_test(rows(spark, sf))
+    out = searches.fold_scores(train, ["y_prev"], "y", "key", models.grid_of(fitIntercept=[True, False], solver=["normal"]), folds=3, kind="linear")
+    return out.select("fold", F.get_json_object("params", "$.fitIntercept").cast("boolean").alias("intercept"), "n", r(F.col("mse") / 1e8, 3).alias("mse"))
+
+
 @query("m13_nested_ensemble")
 def _(spark, sf):
     train, test = train_test(rows(spark, sf))
-    fitted, _ = models.nested_ensemble(train, _FEATURES, "y", "key", {"maxDepth": [2, 3], "maxIter": [3]}, outer=2, inner=2, trials=2)
+    fitted, _ = searches.nested_ensemble(train, _FEATURES, "y", "key", {"maxDepth": [2, 3, 4], "stepSize": [0.1, 0.3], "maxIter": [5, 10]}, outer=3, inner=3, trials=3, parallel=8)
     return models.predict_mean(fitted, test, _FEATURES).select("entity", "period", "prediction")
 
 
+@query(
+    "m13_nested_linear",
+    f"WITH {_PREV_SQL}, {_fold_sql(3)}, k AS (SELECT f, regr_slope(y, y_prev) AS b, regr_intercept(y, y_prev) AS a FROM t JOIN folds ON fold <> f GROUP BY f), e AS (SELECT f, avg(pow(y - a - b * y_prev, 2)) AS mse FROM t JOIN k ON fold = f GROUP BY f), "
+    "g AS (SELECT regr_slope(y, y_prev) AS b, regr_intercept(y, y_prev) AS a FROM t) "
+    "SELECT CAST(f AS INT) AS fold, round(mse / 1e8, 3) AS mse, round(b, 6) AS slope, round(a, 3) AS intercept FROM e, g",
+)
+def _(spark, sf):
+    """Outer errors and refitted lines of an ensemble of linear models, whose values are known."""
+    train, _ = train_test(rows(spark, sf))
+    fitted, errors = searches.nested_ensemble(train, ["y_prev"], "y", "key", {"solver": ["normal"]}, outer=3, inner=2, trials=1, kind="linear")
+    lines = [models.coefficients(m, ["y_prev"]) for m in fitted]
+    found = spark.createDataFrame([(o, e, c["y_prev"], c["intercept"]) for o, (e, c) in enumerate(zip(errors, lines))], "fold int, mse double, slope double, intercept double")
+    return found.select("fold", r(F.col("mse") / 1e8, 3).alias("mse"), r("slope", 6).alias("slope"), r("intercept", 3).alias("intercept"))
+
+
 _OLS = "regr_slope(y, y_prev) AS b{0}, regr_intercept(y, y_prev) AS a{0}"
 
 
