@@ -1,22 +1,25 @@
 """Language ID by cross-parsing: the language whose sample needs fewest phrases wins.
 
-Each language has a suffix automaton of its labelled sample. A text is parsed into phrases:
-the longest match in the automaton, then on from there; a character that no match can take is
-a phrase of its own. Phrases end at word ends at the latest, which lets a worker keep the
-counts of the words it met. Counts are normalised: times the bits that name a place in the
-sample, per letter of the text. Ties go to the language that comes first.
-
-The automata are fitted on a bounded sample: of each language the ``SAMPLE_DOCS`` documents
-with the smallest hash of their id, ``SAMPLE_TEXT`` code points of each, up to ``SAMPLE_CHARS`` letters over all languages together. Every
-text is judged whole. A null text or one without letters is ``und`` with score 0; so is every text
-if nothing is labelled. The score is the winner's share of the weights that the languages'
-normalised counts give. Rows are independent; the input's columns stay, and one named like an
-output is replaced.
+Each language has a suffix automaton of the words of its labelled sample. A text is parsed into
+phrases: the longest match in the automaton, then on from there; a letter that the sample does not
+hold is a phrase of its own. Phrases end at word ends at the latest, which lets a worker keep the
+costs of the words it met. Counts are normalised: a phrase costs the bits that name a place in the
+language's sample, an unknown letter those of the largest sample, per letter of the text. Ties go
+to the language that comes first.
+
+The automata are fitted on a bounded sample: of each language the ``SAMPLE_DOCS`` documents with
+the smallest hash of their id are read whole, and their words are taken from the most frequent
+down, with ``SAMPLE_LETTERS`` letters in all words of all languages together, shared out evenly.
+Every text is judged whole. A null text or one without letters is ``und`` with score 0; so is
+every text if no labelled text has letters. The score is the winner's share of the weights that
+the languages' normalised counts give. Rows are independent; the input's columns stay, and one
+named like an output is replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,16 +31,16 @@ from .common import BEYOND_LATIN1, latin1_pattern, resident, schema_with, slices
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 1_200_000
-#: Code points of one sampled text that the fit reads. Texts to be judged are read whole.
-SAMPLE_TEXT = 20_000
+SAMPLE_LETTERS = 400_000
 #: Words whose phrase counts a worker keeps.
 KEPT_WORDS = 1 << 16
 #: How fast a language's weight falls with its bits per letter above the best.
 SHARPNESS = 8.0
 
 
-FIELD = 40
+FIELD = 44
+#: Parts of a bit in which costs are counted.
+PARTS = 16
 _LATIN1_WORD = latin1_pattern(r"\p{L}+")
 
 
@@ -110,9 +113,13 @@ class SuffixAutomaton:
             state = to
         return n + (state != 0)
 
+    def strange(self, word: str) -> int:
+        """Letters that no word of the sample holds."""
+        return sum(ord(c) not in self.step for c in word)
+
 
 class Parser(dict):
-    """word -> its letters and its phrases in each language, each in a field of ``FIELD`` bits of one integer.
+    """word -> its letters and its cost in each language, each in a field of ``FIELD`` bits of one integer.
 
     Sums of such integers give all sums at once. Emptied when it holds ``KEPT_WORDS``.
     """
@@ -121,14 +128,18 @@ class Parser(dict):
         super().__init__()
         self.langs = [lang for lang, _ in samples]
         self.automata = [SuffixAutomaton(list(words)) for _, words in samples]
-        self.bits = [math.log2(max(a.chars, 2)) for a in self.automata]
+        self.bits = [round(PARTS * math.log2(max(a.chars, 2))) for a in self.automata]
+        self.unknown = [max(self.bits) - b for b in self.bits]
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
         packed = len(word)
         for i, a in enumerate(self.automata, 1):
-            packed |= a.phrases(word) << FIELD * i
+            cost = a.phrases(word) * self.bits[i - 1]
+            if self.unknown[i - 1]:
+                cost += a.strange(word) * self.unknown[i - 1]
+            packed |= cost << FIELD * i
         self[word] = packed
         return packed
 
@@ -138,36 +149,43 @@ class Parser(dict):
             return UNDETERMINED, 0.0
         packed = sum(map(self.__getitem__, words))
         size, *counts = (packed >> FIELD * i & (1 << FIELD) - 1 for i in range(len(self.langs) + 1))
-        rates = [n * b / size for n, b in zip(counts, self.bits)]
+        rates = [n / (PARTS * size) for n in counts]
         best = min(range(len(rates)), key=rates.__getitem__)
         return self.langs[best], 1 / sum(2 ** (SHARPNESS * (rates[best] - r)) for r in rates)
 
 
 def samples(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """For each language the distinct words of its sample, within the stated bounds.
+    """For each language the words of its sample, within the stated bounds; a language whose sample has no letter is left out.
 
-    Ids are chosen without reading texts; only the chosen documents' texts are then read.
+    Ids are chosen without reading texts; only the chosen documents' texts are then read, and their words counted in Spark.
     """
     named = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
     chosen = named.select(doc_id, lang).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS).select(doc_id).distinct()
     ids = [r[0] for r in chosen.collect()]
-    rows = named.filter(F.col(doc_id).isin(ids)).select(lang, doc_id, F.substring(text, 1, SAMPLE_TEXT)).collect() if ids else []
-    found: dict[str, list[tuple]] = {}
-    for row in rows:
-        found.setdefault(row[0], []).append((row[1], row[2]))
-    share = SAMPLE_CHARS // max(1, len(found))
-    out = []
-    for name, texts in sorted(found.items()):
-        words, size = {}, 0
-        for _, t in sorted(texts):
-            for w in letters(t):
-                if size >= share:
-                    break
-                size += len(w)
-                words[w] = None
-        out.append((name, tuple(words)))
-    return tuple(out)
+    if not ids:
+        return ()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                found: dict[str, Counter] = {}
+                for name, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                    found.setdefault(name, Counter()).update(letters(t))
+                rows = [(name, w, n) for name, words in found.items() for w, n in words.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    read = named.filter(F.col(doc_id).isin(ids)).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    words = read.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.xxhash64("word"), "word")
+    # a word has a letter at least, so no more words than letters can be wanted
+    ranked = words.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_LETTERS)
+    filled = ranked.withColumn("size", F.sum(F.length("word")).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    found: dict[str, list] = {}
+    for r in filled.filter(F.col("size") <= SAMPLE_LETTERS).orderBy("lang", "rank").collect():
+        found.setdefault(r["lang"], []).append(r)
+    share = SAMPLE_LETTERS // max(1, len(found))
+    return tuple((name, tuple(r["word"] for r in rows if r["size"] <= share)) for name, rows in found.items() if rows[0]["size"] <= share)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
