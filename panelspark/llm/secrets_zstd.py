@@ -3,10 +3,15 @@
 The base kinds are patterns. The method adds spans of kind ``novel``: a long string of key
 characters with letters and digits, close after a sensitive word and outside the base spans,
 whose marginal compressed size is nearly that of random characters of its alphabet although the
-compressor is primed with a dictionary of common identifiers and the text around the string.
+compressor is primed with a dictionary of identifiers and the text around the string.
 What the surrounding code or the dictionary explains compresses and is left alone; that holds
 for a string that stands there itself, too. Strings are judged to their end, however long.
 
+The dictionary holds common identifiers and the ``LEARNT`` most frequent parts of the identifiers,
+paths and hosts of all documents, each identifier counted once however often it stands there.
+Short strings give zstandard too little to find, so one whose letters and digits are words of the
+dictionary for more than half (``getUserById2``, ``src/main/java``) is left alone beforehand.
+
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows are
 independent; the input's columns stay, and one named like an output is replaced.
 """
@@ -21,8 +26,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import schema_with, slices, texts, with_column
+from .common import resident, schema_with, slices, texts, with_column
 
 # The base patterns, the words that announce a secret, and identifiers of everyday code.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -33,14 +39,14 @@ HINTS = ("passw", "secret", "token", "api", "credential", "private", "bearer", "
 IDENTIFIERS = (
     "access account address application argument array authorization base boolean buffer bytes cache callback class client "
     "column config configuration connection const container content context count create credential data database date debug "
-    "default delete description directory element email encoding endpoint environment error event example exception export "
-    "false file filter float format function handler header host http https import index init input instance integer item "
-    "iterator json label length level list local localhost logger main manager message method model module name null number "
-    "object offset option output package page param password path pattern port prefix private process property public query "
+    "com default delete description directory element email encoding endpoint environment error event example exception export "
+    "false file filter float format function get handler header host html http https import index init input instance integer item "
+    "iterator java json label length level list local localhost logger main manager message method model module name null number "
+    "object offset option org output package page param password path pattern port prefix private process property public query "
     "random record reference request response result return route row schema secret select self server service session "
-    "settings size source start state static status string struct system table target task test text thread time timeout "
+    "settings size source src start state static status string struct system table target task test text thread time timeout "
     "token true type undefined update url user username utf-8 value variable vector version void width window www"
-).encode()
+).split()
 
 KINDS = ("assign", "access", "hex", "novel")
 LEAST = 16
@@ -56,9 +62,42 @@ ALPHABETS = tuple(frozenset(a) for a in (*_HEX, *_BASE32, string.digits + string
 #: Characters of random strings that are compressed at most; the size of longer ones is in proportion.
 DRAWN = 1 << 14
 
+#: A whole run of key characters that is an identifier of several words, a path or a host, without digits.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z][a-z]*(?:[A-Z][a-z]+){1,40}|[A-Za-z]+(?:[_./-]+[A-Za-z]+){1,40})(?![A-Za-z0-9+/_=-])"
+#: Where identifiers are cut into words.
+CUT = r"[_./-]+|(?<=[a-z])(?=[A-Z])"
+#: Words that are learnt at most, and in how many different identifiers each must stand.
+LEARNT, LEAST_IDENTIFIERS = 2048, 4
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+
 Span = tuple[str, int, int]
 
 
+class Known:
+    """Words of identifiers, and the bytes that prime the compressor with them; the commonest stand last, nearest to the text."""
+
+    def __init__(self, learnt: tuple[str, ...] = ()):
+        self.words = frozenset(IDENTIFIERS) | frozenset(learnt)
+        self.primer = " ".join([*reversed(learnt), *IDENTIFIERS]).encode()
+
+    def explains(self, candidate: str) -> bool:
+        """True if more than half of the letters and digits stand in words of three letters or more that are known."""
+        parts = PART.findall(candidate)
+        return 2 * sum(len(p) for p in parts if len(p) > 2 and p.lower() in self.words) > sum(map(len, parts))
+
+
+COMMON = Known()
+
+
+def identifier_words(docs: DataFrame, text: str = "text") -> tuple[str, ...]:
+    """The words that stand in the most different identifiers of all documents, the commonest first."""
+    whole = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)))).alias("whole")).distinct()
+    words = whole.select(F.explode(F.array_distinct(F.transform(F.split("whole", CUT), F.lower))).alias("word"))
+    counted = words.filter(F.length("word").between(3, 24)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.filter(F.col("n") >= LEAST_IDENTIFIERS).orderBy(F.col("n").desc(), "word").limit(LEARNT)
+    return tuple(r["word"] for r in top.collect())
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the base kinds by start, then kind.
 
@@ -100,11 +139,11 @@ def random_size(candidate: str) -> float:
     return _random_size(alphabet, n) * len(candidate) / n
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
+def novelty(candidate: str, before: str, after: str, known: Known = COMMON) -> float:
     """Marginal compressed bytes, given identifiers and the text around, per byte of random characters alike."""
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + after.encode() + b" " + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(known.primer + b" " + after.encode() + b" " + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return _size(candidate.encode(), primed) / random_size(candidate)
 
 
@@ -127,7 +166,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             at = run_end
 
 
-def novel_spans(text: str, base: list[Span]) -> list[Span]:
+def novel_spans(text: str, base: list[Span], known: Known = COMMON) -> list[Span]:
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
@@ -136,7 +175,9 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
         if start < done or any(a < end and start < b for _, a, b in base):
             continue
         done = end
-        if novelty(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY:
+        if known.explains(text[start:end]):
+            continue
+        if novelty(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND], known) >= NOVELTY:
             found.append(("novel", start, end))
     return found
 
@@ -145,19 +186,24 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Append ``base`` and ``found``: arrays of (kind, start, end), the latter with the novel spans."""
+def scan(docs: DataFrame, text: str = "text", learnt: tuple[str, ...] | None = None) -> DataFrame:
+    """Append ``base`` and ``found``: arrays of (kind, start, end), the latter with the novel spans.
+
+    ``learnt`` are words of identifiers as ``identifier_words`` gives them; they are counted in ``docs`` if not given.
+    """
+    words = identifier_words(docs, text) if learnt is None else learnt
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     shown = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = resident(Known, words)
         for whole in batches:
             for batch in slices(whole, text):
                 base, every = [], []
                 for t in texts(batch, text):
                     own = base_spans(t)
                     base.append(shown(own))
-                    every.append(shown(in_order(own + novel_spans(t, own))))
+                    every.append(shown(in_order(own + novel_spans(t, own, known))))
                 yield with_column(batch, base=pa.array(base, kind), found=pa.array(every, kind))
 
     struct = "array<struct<kind:string,start:bigint,end:bigint>>"

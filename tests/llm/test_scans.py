@@ -141,3 +141,28 @@ def test_scan_of_edges(edges, empty):
     for r in rows:
         assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["base"]] == plain(r["text"])
     assert secrets_zstd.scan(empty).count() == 0
+
+
+def test_identifiers_paths_and_hosts_are_left():
+    for text in ("credential store: getUserAccountById2", "bearer of https://www.example.org/en/page1/index.html", "token count in src/main/java/com/acme/Foo2.java"):
+        assert secrets_zstd.novel_spans(text, []) == [], text
+
+
+def test_identifiers_are_learnt_from_all_documents(spark):
+    rows = [(i, f"call zork{w}Quux and frob_zork/{w.lower()}.{n} or {'x' * 300}Yy") for i, (w, n) in enumerate(zip(("Alpha", "Beta", "Gamma", "Delta", "Alpha"), ("one", "two", "one", "two", "one")))]
+    rows += [(9, None), (10, ""), (11, "aB" * 100_000), (12, "a" * 300_000 + "_b"), (13, "key7AbcDefGhi=zzz_zzz_9")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert secrets_zstd.identifier_words(docs) == ("zork", "frob", "quux")
+    assert secrets_zstd.identifier_words(docs.filter("doc_id < 0")) == ()
+    text = "the secret of zork2QuuxFrobZork1"
+    assert [k for k, _, _ in secrets_zstd.novel_spans(text, [])] == ["novel"]
+    assert secrets_zstd.novel_spans(text, [], secrets_zstd.Known(("zork", "frob", "quux"))) == []
+
+
+def test_planted_keys_are_found_with_a_learnt_dictionary(given):
+    known = secrets_zstd.Known(secrets_zstd.identifier_words(given))
+    rnd, found = random.Random(8), 0
+    for i in range(300):
+        key = "a7" + "".join(rnd.choices(string.ascii_letters + string.digits, k=rnd.choice((18, 22, 30, 62))))
+        found += secrets_zstd.novel_spans(f"the private_key is {key} in the config", [], known) == [("novel", 19, 19 + len(key))]
+    assert found >= 297
