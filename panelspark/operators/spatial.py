@@ -13,6 +13,8 @@ from ..session import cut_lineage
 from .ladder import attach
 
 EARTH_KM = 6371.0088
+#: Events whose sums stand side by side in one row of a folded field.
+EVENTS_AT_ONCE = 8
 
 
 # ---- polygons ----
@@ -152,13 +154,41 @@ def bin_bounds(spark, edges: list[float]) -> DataFrame:
 # ---- correlation ----
 
 
-def pair_correlation(pairs: DataFrame, field: DataFrame, event: str, key: str, value: str) -> DataFrame:
-    """Normalised covariance per (event, bin) from a stored pair table."""
-    a = field.select(event, key, F.col(value).alias("_a"))
-    b = field.select(event, F.col(key).alias(f"{key}_dest"), F.col(value).alias("_b"))
-    sums = pairs.join(a, key).join(b, [event, f"{key}_dest"]).groupBy(event, "distance_bin").agg(
-        F.count(F.lit(1)).alias("pairs"), F.avg(F.col("_a") * F.col("_b")).alias("_c")
+def pair_correlation(pairs: DataFrame, field: DataFrame, event: str, key: str, value: str, members: DataFrame | None = None) -> DataFrame:
+    """Normalised covariance per (event, bin) from a stored pair table.
+
+    ``members`` (key, place) tells which keys stand at a place where ``pairs`` are pairs of places: every key of
+    the one then meets every key of the other. The field is folded first to sums and counts of a place, all events
+    side by side, so that a pair of places costs one row for ``EVENTS_AT_ONCE`` events, however many keys stand there.
+    The events are numbered on the driver.
+    """
+    held = field.where(F.col(event).isNotNull()).select(F.col(event).alias("_event"), key, F.col(value).cast("double").alias("_x"))
+    place = key if members is None else next(c for c in members.columns if c != key)
+    held = held if members is None else held.join(members, key)
+    names = [row[0] for row in field.select(event).distinct().orderBy(event).collect() if row[0] is not None]
+    kind = dict(field.dtypes)[event]
+    if not names:
+        return field.sparkSession.createDataFrame([], f"`{event}` {kind}, distance_bin int, pairs bigint, c_tau double")
+    listed = F.array(*[F.struct(F.lit(n).cast(kind).alias("_event"), F.lit(i).alias("_e")) for i, n in enumerate(names)])
+    numbers = field.sparkSession.range(1).select(F.explode(listed).alias("_v")).select("_v.*")
+    slots = range(min(EVENTS_AT_ONCE, len(names)))
+    chunk = F.floor(F.col("_e") / EVENTS_AT_ONCE).cast("int").alias("_chunk")
+    mine = lambda i, c: F.when(F.col("_e") % EVENTS_AT_ONCE == i, c)
+    folded = cut_lineage(
+        held.join(numbers, "_event").groupBy(F.col(place).alias("_place"), chunk).agg(
+            F.array(*[F.sum(mine(i, F.col("_x"))) for i in slots]).cast("array<double>").alias("_s"),
+            F.array(*[F.count(mine(i, F.col("_x"))) for i in slots]).cast("array<bigint>").alias("_m"),
+            F.array(*[F.count(mine(i, F.lit(1))) for i in slots]).cast("array<bigint>").alias("_n"),
+        )
+    )
+    side = lambda suffix: folded.select(F.col("_place").alias(f"{place}{suffix}"), "_chunk", *[F.col(c).alias(f"{c}{suffix}") for c in ("_s", "_m", "_n")])
+    met = pairs.select("distance_bin", place, f"{place}_dest").join(side(""), place).join(side("_dest"), ["_chunk", f"{place}_dest"])
+    # a sum is null where an event has no value at the place, so it adds nothing
+    product = lambda c, i: F.sum(F.get(c, F.lit(i)) * F.get(f"{c}_dest", F.lit(i)))
+    cells = met.groupBy("_chunk", "distance_bin").agg(
+        F.array(*[F.struct((F.col("_chunk") * EVENTS_AT_ONCE + i).alias("_e"), product("_n", i).alias("pairs"), ratio(product("_s", i), product("_m", i)).alias("_c")) for i in slots]).alias("_cells")
     )
+    sums = cells.select("distance_bin", F.explode("_cells").alias("_v")).select("distance_bin", "_v.*").where("pairs > 0").join(numbers, "_e").withColumnRenamed("_event", event)
     spread = field.groupBy(event).agg(F.avg(F.col(value) * F.col(value)).alias("_v"))
     return attach(sums, spread, [event]).select(event, "distance_bin", "pairs", ratio("_c", "_v").alias("c_tau"))
 

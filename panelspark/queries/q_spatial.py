@@ -213,11 +213,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     field = cut_lineage(correlation.centred_field(correlation.logit_field(event_rows(spark, sf), places(spark, sf).drop("region"), "turnout"), 200))
-    # places are paired once; then every entity of the one place meets every entity of the other
-    named = places(spark, sf).select("entity", "lat", "long").join(spots(spark, sf).select("place", "lat", "long"), ["lat", "long"]).select("place", "entity")
+    # places are paired once; every entity of the one place meets every entity of the other by their sums
+    named = places(spark, sf).select("entity", "lat", "long").join(spots(spark, sf).select("place", "lat", "long"), ["lat", "long"]).select("entity", "place")
     pairs = spatial.pair_table(spots(spark, sf), "place", _CORR_EDGES)
-    pairs = pairs.join(named, "place").join(named.select(F.col("place").alias("place_dest"), F.col("entity").alias("entity_dest")), "place_dest")
-    out = spatial.pair_correlation(pairs.select("entity", "entity_dest", "distance_bin"), field, "event", "entity", "tau_minus_m")
+    out = spatial.pair_correlation(pairs.select("place", "place_dest", "distance_bin"), field, "event", "entity", "tau_minus_m", named)
     return out.select("event", F.col("distance_bin").cast("bigint").alias("distance_bin"), "pairs", r("c_tau").alias("c_tau"))
 
 
