@@ -8,6 +8,8 @@ _OF_BYTE = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 2
 _BASE = 0x9FB21C651E98DF25
 #: Powers that are kept at least.
 _KEPT = (1 << 20) + 4096
+#: Suffixes whose common prefixes are sought at once.
+COMPARED = 1 << 16
 
 
 class _Powers:
@@ -31,6 +33,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def index_type(n: int) -> type:
+    """The type of places in a text of ``n`` symbols; half as wide where that is enough."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def prefix_sums(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums from which the hash of any substring follows, and the factors that make it free of its place."""
     up, down = _POWERS.to(len(text))
@@ -44,7 +51,7 @@ def substring_hashes(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end:
 def smaller_types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the sentinel at the end counts as smaller."""
     n = len(text)
-    settled = np.where(text[:-1] != text[1:], np.arange(n - 1), n)
+    settled = np.where(text[:-1] != text[1:], np.arange(n - 1, dtype=index_type(n)), index_type(n)(n))
     settled = np.minimum.accumulate(settled[::-1])[::-1]
     return np.concatenate([(text[:-1] < text[1:])[np.minimum(settled, n - 2)], [True]])
 
@@ -66,7 +73,7 @@ class _Buckets:
 
     def take(self, symbol: int) -> np.ndarray:
         parts, self.waiting[symbol] = self.waiting[symbol], []
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
 def _induced(text: np.ndarray, smaller: np.ndarray, symbols: int, leftmost: np.ndarray) -> np.ndarray:
@@ -85,7 +92,7 @@ def _induced(text: np.ndarray, smaller: np.ndarray, symbols: int, leftmost: np.n
             here = text[before] == symbol
             buckets.deal(before[~here])
             wave = before[here]
-        return np.concatenate(done) if done else np.empty(0, np.int64)
+        return np.concatenate(done) if done else np.empty(0, np.int32)
 
     def induce(buckets: _Buckets, suffixes: np.ndarray, kind: bool) -> None:
         before = suffixes[suffixes > 0] - 1
@@ -97,7 +104,7 @@ def _induced(text: np.ndarray, smaller: np.ndarray, symbols: int, leftmost: np.n
     for symbol in range(symbols):
         of_larger.append(swept(larger, symbol, False))
         induce(larger, seeds.take(symbol), False)
-    small.deal(np.array([len(text) - 1]))
+    small.deal(np.array([len(text) - 1], leftmost.dtype))
     out = []
     for symbol in reversed(range(symbols)):
         out.append(swept(small, symbol, True))
@@ -115,14 +122,15 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """
     smaller = smaller_types(text)
     is_leftmost = np.concatenate([[False], smaller[1:] & ~smaller[:-1]])
-    places = np.flatnonzero(is_leftmost)
+    places = np.flatnonzero(is_leftmost).astype(index_type(len(text)))
     first = _induced(text, smaller, symbols, places)
     ordered = first[is_leftmost[first]]
     sums, down = prefix_sums(text)
-    number = np.empty(len(text), np.int64)
+    number = np.empty(len(text), places.dtype)
     number[places] = np.arange(len(places))
-    end = np.append(places[1:] + 1, len(text))[number[ordered]]
+    end = np.append(places[1:] + 1, places.dtype.type(len(text)))[number[ordered]]
     hashes = substring_hashes(sums, down, ordered, end)
+    del sums, first
     new = (hashes[1:] != hashes[:-1]) | (np.diff(end - ordered) != 0)
     name = np.empty(len(places), np.int64)
     name[number[ordered]] = np.concatenate([[1], 1 + np.cumsum(new)])
@@ -141,17 +149,19 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, at: np.ndarray
     Only pairs with ``limit`` symbols left are compared; the others get 0.
     """
     sums, down = prefix_sums(text)
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(text), -1, order.dtype)
     before[order[1:]] = order[:-1]
-    other, common = before[at], np.zeros(len(at), np.int64)
-    fits = (other >= 0) & (np.maximum(other, at) + limit <= len(text))
-    a, b = at[fits], other[fits]
-    have = np.zeros(len(a), np.int64)
-    step = 1 << (limit.bit_length() - 1)
-    while step:
-        start, stop = have, np.minimum(have + step, limit)
-        same = substring_hashes(sums, down, a + start, a + stop) == substring_hashes(sums, down, b + start, b + stop)
-        have = np.where(same, stop, have)
-        step >>= 1
-    common[fits] = have
+    other, common = before[at], np.zeros(len(at), at.dtype)
+    for i in range(0, len(at), COMPARED):
+        mine, theirs = at[i : i + COMPARED], other[i : i + COMPARED]
+        fits = (theirs >= 0) & (np.maximum(theirs, mine) <= len(text) - limit)
+        a, b = mine[fits], theirs[fits]
+        have = np.zeros(len(a), at.dtype)
+        step = 1 << (limit.bit_length() - 1)
+        while step:
+            start, stop = have, np.minimum(have + step, limit)
+            same = substring_hashes(sums, down, a + start, a + stop) == substring_hashes(sums, down, b + start, b + stop)
+            have = np.where(same, stop, have)
+            step >>= 1
+        common[i : i + COMPARED][fits] = have
     return other, common

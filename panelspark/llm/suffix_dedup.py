@@ -11,8 +11,8 @@ to collisions of 64-bit hashes.
 3. The distinct strings of the other names are dealt out to shards by name. A shard builds
    suffix arrays of them by induced sorting and takes the permuted common prefixes: a
    window is repeated if its suffix shares ``LENGTH`` bytes with its neighbour in the array. Names with more
-   than ``HOT_STRINGS`` distinct strings, which would fill a task, have their windows counted by
-   content instead, with partial sums before the shuffle.
+   than ``HOT_STRINGS`` distinct strings, or ``HOT_BYTES`` in them, which would fill a task, have their windows
+   counted by content instead, with partial sums before the shuffle.
 4. The repeated windows go back to all places of their strings, and the texts lose what they cover.
 
 Null, empty and short texts lose nothing. Rows are told apart by a hash of id and text:
@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import raw_texts, slices
-from .suffix_arrays import permuted_common_prefixes, prefix_sums, substring_hashes, suffix_array
+from .common import forget, raw_texts, slices
+from .suffix_arrays import index_type, permuted_common_prefixes, prefix_sums, substring_hashes, suffix_array
 from .words import key_groups, mix
 
 LENGTH = 200
@@ -40,7 +40,8 @@ GRAM = 64
 LONGEST = 1 << 12
 #: Bytes of strings that one suffix array is built of; the strings of a name are never parted.
 ARRAY_BYTES = 1 << 21
-HOT_STRINGS = 10_000
+#: Distinct strings of a name, and their bytes, beyond which its windows are counted by content.
+HOT_STRINGS, HOT_BYTES = 10_000, 1 << 22
 _PLACE_BITS = 14
 
 
@@ -128,12 +129,12 @@ def repeated_in(strings: list[bytes], counts: list[int]) -> list[np.ndarray]:
     """For each string the windows that occur again in the strings; all, if it has several places."""
     sizes = np.array([len(s) + 1 for s in strings])
     starts = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8).astype(np.int16) + np.int16(2)
     text[text == 257] = 1  # the end of a string
-    text = np.append(text, 0)
+    text = np.append(text, np.int16(0))
     order = suffix_array(text, 258)
     windows = sizes - LENGTH
-    at = np.concatenate([np.arange(a, a + w) for a, w in zip(starts, windows)])
+    at = np.concatenate([np.arange(a, a + w, dtype=index_type(len(text))) for a, w in zip(starts, windows)])
     before, common = permuted_common_prefixes(text, order, at, LENGTH)
     again = np.zeros(len(text), bool)
     again[at[common >= LENGTH]] = True
@@ -163,7 +164,10 @@ def repeats_by_arrays(strings: DataFrame) -> DataFrame:
         for table in arrays(batches):
             found = repeated_in(table.column("content").to_pylist(), table.column("n").to_pylist())
             names, strings_ = (table.column(c).combine_chunks() for c in ("name", "string"))
-            yield pa.RecordBatch.from_arrays([names, strings_, pa.array([_ranges(f) for f in found], _RANGE_TYPE)], names=["name", "string", "ranges"])
+            ranges = pa.array([_ranges(f) for f in found], _RANGE_TYPE)
+            del found
+            forget()
+            yield pa.RecordBatch.from_arrays([names, strings_, ranges], names=["name", "string", "ranges"])
 
     return strings.repartition("name").sortWithinPartitions("name").mapInArrow(run, _RANGES)
 
@@ -190,7 +194,8 @@ def repeats_by_counts(strings: DataFrame) -> DataFrame:
 
 def repeated_windows(strings: DataFrame) -> DataFrame:
     """(name, string, ranges) of all contested strings (name, string, n, content)."""
-    hot = cut_lineage(strings.groupBy("name").agg(F.count(F.lit(1)).alias("strings")).filter(F.col("strings") > HOT_STRINGS).select("name"))
+    size = strings.groupBy("name").agg(F.count(F.lit(1)).alias("strings"), F.sum(F.octet_length("content")).alias("bytes"))
+    hot = cut_lineage(size.filter((F.col("strings") > HOT_STRINGS) | (F.col("bytes") > HOT_BYTES)).select("name"))
     if hot.isEmpty():
         return repeats_by_arrays(strings)
     return repeats_by_arrays(strings.join(hot, "name", "left_anti")).unionByName(repeats_by_counts(strings.join(hot, "name", "left_semi")))
