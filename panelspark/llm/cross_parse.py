@@ -58,15 +58,14 @@ def letters(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """All substrings of some words. Transitions lie in one dict: state * 2**21 + character -> state."""
+    """All substrings of some words. A state is a dict: character -> the state after it."""
 
     def __init__(self, words: list[str]):
-        self.step: dict[int, int] = {}
         self.chars = sum(map(len, words))
         length, link, out = [0], [-1], [{}]
         for word in words:
             last = 0
-            for c in map(ord, word):
+            for c in word:
                 if c in out[last]:
                     q = out[last][c]
                     last = q if length[q] == length[last] + 1 else self._clone(last, c, q, length, link, out)
@@ -83,12 +82,14 @@ class SuffixAutomaton:
                     q = out[p][c]
                     link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q, length, link, out)
                 last = new
-        for state, moves in enumerate(out):
-            for c, to in moves.items():
-                self.step[state << 21 | c] = to
+        for moves in out:
+            for c in moves:
+                moves[c] = out[moves[c]]
+        self.root: dict[str, dict] = out[0]
+        self.known = frozenset(out[0])
 
     @staticmethod
-    def _clone(p: int, c: int, q: int, length: list, link: list, out: list) -> int:
+    def _clone(p: int, c: str, q: int, length: list, link: list, out: list) -> int:
         """A state for the strings of q that end with those of p and c."""
         new = len(length)
         length.append(length[p] + 1)
@@ -101,27 +102,30 @@ class SuffixAutomaton:
         return new
 
     def phrases(self, word: str) -> int:
-        step, state, n = self.step.get, 0, 0
-        for c in map(ord, word):
-            to = step(state << 21 | c)
+        root, n = self.root, 0
+        state = root
+        for c in word:
+            to = state.get(c)
             if to is None:
-                if state:
+                if state is not root:
                     n += 1  # the phrase so far ends; this character begins the next
-                    to = step(c)
+                    to = root.get(c)
                 if to is None:
-                    n, to = n + 1, 0
+                    n, to = n + 1, root
             state = to
-        return n + (state != 0)
+        return n + (state is not root)
 
     def strange(self, word: str) -> int:
         """Letters that no word of the sample holds."""
-        return sum(ord(c) not in self.step for c in word)
+        return 0 if self.known.issuperset(word) else sum(c not in self.known for c in word)
 
 
 class Parser(dict):
     """word -> its letters and its cost in each language, each in a field of ``FIELD`` bits of one integer.
 
-    Sums of such integers give all sums at once. Emptied when it holds ``KEPT_WORDS``.
+    Sums of such integers give all sums at once. It holds ``KEPT_WORDS`` at most, half of them as ``older`` ones: when the
+    newer half is full it takes the place of the older one, and an older word that is met again is a newer one,
+    so that frequent words stay known among ever so many rare ones.
     """
 
     def __init__(self, samples: tuple[tuple[str, tuple[str, ...]], ...]):
@@ -130,17 +134,25 @@ class Parser(dict):
         self.automata = [SuffixAutomaton(list(words)) for _, words in samples]
         self.bits = [round(PARTS * math.log2(max(a.chars, 2))) for a in self.automata]
         self.unknown = [max(self.bits) - b for b in self.bits]
+        self.older: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
+        packed = self.older.get(word)
+        if packed is None:
+            packed = self.cost(word)
+        if 2 * len(self) >= KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
+        self[word] = packed
+        return packed
+
+    def cost(self, word: str) -> int:
         packed = len(word)
         for i, a in enumerate(self.automata, 1):
             cost = a.phrases(word) * self.bits[i - 1]
             if self.unknown[i - 1]:
                 cost += a.strange(word) * self.unknown[i - 1]
             packed |= cost << FIELD * i
-        self[word] = packed
         return packed
 
     def judge(self, text: str | None) -> tuple[str, float]:
