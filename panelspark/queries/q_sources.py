@@ -196,7 +196,9 @@ def _(spark, sf):
         F.col("event_type"), F.lit("</td><td>"), day, F.lit("</td></tr><tr><td></td><td> </td></tr></table><table><caption>Sondages "), who,
         F.lit("</caption><tr><th>Sondeur</th><th>Dates</th></tr><tr><td>"), F.col("user_id").cast("string"), F.lit("</td><td>a &amp; b</td></tr></table>"),
     ]
-    html = table(spark, sf, "events").select(F.col("event_id").alias("page_id"), F.concat(*text).alias("html"))
+    # the narrow rows are dealt out: a file of few row groups would leave the pages to few tasks
+    events = table(spark, sf, "events").select("event_id", "ts", "event_type", "user_id").repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    html = events.select(F.col("event_id").alias("page_id"), F.concat(*text).alias("html"))
     return pages.table_columns(pages.scan_html_tables(html), ["Sondeur", "Dates"]).drop("row_no")
 
 
