@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def shuffled(position: Column, count: int, keys: Column) -> Column:
     return F.aggregate(keys, position.cast("bigint"), swap)
 
 
+def _rest(x: np.ndarray, by: int) -> np.ndarray:
+    """x modulo ``by``, never negative; a division by one number is much faster than the remainder."""
+    return x - x // by * by
+
+
+def _mixed_array(x: np.ndarray) -> np.ndarray:
+    spread = _rest(_rest(x, _PRIME) * _SPREAD, _PRIME)
+    return _rest(spread * spread, _PRIME)
+
+
+def shuffled_array(positions: np.ndarray, count: int, job: int) -> np.ndarray:
+    """What ``shuffled`` gives with the keys that ``shuffle_keys`` names for the job, for whole arrays."""
+    rounds = np.arange(1, ROUNDS + 1, dtype=np.int64)
+    at = positions
+    for key in _mixed_array(_mixed_array(job * ROUNDS + rounds) + rounds).tolist():
+        mirror = _rest(key * (count // _PRIME + 1) + key - at, count)
+        at = np.where(_mixed_array(np.maximum(at, mirror) + key) < _PRIME // 2, mirror, at)
+    return at
+
+
 def numbered(df: DataFrame, key: str, seed: int, out: str = "_pos") -> DataFrame:
     """Position 0..n-1 of every row in the order of a portable hash of its key, exact and without a single-task sort."""
     hashed = df.withColumn("_h", stable_number(key, seed))
@@ -77,10 +99,16 @@ def permuted_scores(score: Scorer, df: DataFrame, key: str, features: list[str],
     tasks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(numbered(df.withColumns({f: F.col(f).cast("double") for f in features}), key, seed))
     count, jobs = max(1, rows.count()), len(features) * repeats
-    listed = shuffle_keys(df.sparkSession, jobs).agg(F.collect_list(F.struct("_job", "_keys")).alias("j")).scalar()
-    each = rows.repartition(tasks, "_pos").withColumn("_jobs", listed).select("_pos", F.array(*features).alias("_values"), F.explode("_jobs").alias("_j")).select("_pos", "_values", "_j.*")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            positions = batch.column(0).to_numpy()
+            for job in range(jobs):
+                to = pa.array(shuffled_array(positions, count, job))
+                yield pa.RecordBatch.from_arrays([to, pa.array(np.full(len(to), job)), batch.column(1 + job // repeats)], names=["_pos", "_job", "_value"])
+
     number = F.floor(F.col("_job") / repeats).cast("int")
-    sent = each.select(shuffled(F.col("_pos"), count, F.col("_keys")).alias("_pos"), "_job", F.get("_values", number).alias("_value"))
+    sent = rows.select("_pos", *features).repartition(tasks, "_pos").mapInArrow(send, "_pos bigint, _job bigint, _value double")
     mixed = rows.repartition(tasks, "_pos").join(sent.repartition(tasks, "_pos"), "_pos").withColumns({f: F.when(number == i, F.col("_value")).otherwise(F.col(f)) for i, f in enumerate(features)})
     miss = F.col(y) - F.col("prediction")
     errors = score(mixed).groupBy("_job").agg(F.avg(miss * miss).alias("mse"))
