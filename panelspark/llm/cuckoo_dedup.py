@@ -137,6 +137,7 @@ def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
     """Append ``digest`` (SHA-256 of the normalised text) and ``length`` (code points of the original)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in slices(whole, text):
                 raws = raw_texts(batch, text)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from .common import SPACE, forget
 
 #: Bytes that are hashed at once; a chunk ends at white space, so a longer word makes a longer one.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of a word whose random numbers are kept in a table.
 _TABLE_BYTES = 64
 _SEED = 0x9FB21C651E98DF25
